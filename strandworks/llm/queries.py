@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extract import op4_html_extraction
+from .media import op2_media_columns
 from .url_filters import op7_url_filters
+from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media_columns": op2_media_columns,
         "op4_html_extraction": op4_html_extraction,
+        "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
     }
 
