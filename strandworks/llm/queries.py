@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extract import op4_html_extraction
+from .language_id import op3_language_id
 from .media import op2_media_columns
 from .url_filters import op7_url_filters
 from .warc import op6_warc
@@ -15,6 +16,7 @@ from .warc import op6_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op3_language_id": op3_language_id,
         "op4_html_extraction": op4_html_extraction,
         "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
