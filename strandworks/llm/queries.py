@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_extract import op4_html_extraction
 from .language_id import op3_language_id
 from .media import op2_media_columns
+from .near_dedup import op5_near_dedup
 from .url_filters import op7_url_filters
 from .warc import op6_warc
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_language_id": op3_language_id,
         "op4_html_extraction": op4_html_extraction,
+        "op5_near_dedup": op5_near_dedup,
         "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
     }
