@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op9_fingerprints
 from .html_extract import op4_html_extraction
 from .language_id import op3_language_id
 from .media import op2_media_columns
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
