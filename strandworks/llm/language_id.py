@@ -218,12 +218,16 @@ def held_out(doc_id: Column, of: int = 4, part: int = 2) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int, salt: str = "lid") -> DataFrame:
-    """At most about per_language learnable documents of each label, spread evenly by a hash of doc_id; all of a rarer label."""
+    """About per_language learnable documents of each label at most, spread evenly by a hash of doc_id; all of a rarer label.
+
+    Ids are chosen without texts; the chosen ones, bounded by per_language times the number of labels, then pick the texts.
+    """
     able = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = pick(docs, "lang").where("lang is not null").groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
+    ids = pick(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    share = ids.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")).withColumnRenamed("lang", "_lang")
     at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return able.join(counts.select(F.col("lang").alias("_lang"), share.alias("share")), F.col("lang") == F.col("_lang")).where(at < F.col("share")).select("doc_id", "text", "lang")
+    chosen = ids.join(share, F.col("lang") == F.col("_lang")).where(at < F.col("share")).select(F.col("doc_id").alias("_id")).distinct()
+    return able.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
 def fit(docs: DataFrame, per_language: int = 150, windows_per_document: int = 12, **options) -> Net | None:

@@ -10,7 +10,9 @@ from .fingerprints import op9_fingerprints
 from .html_extract import op4_html_extraction
 from .language_id import op3_language_id
 from .media import op2_media_columns
+from .mixing import op10_mixing, op10_sql
 from .near_dedup import op5_near_dedup
+from .packing import op8_best_fit_packing
 from .url_filters import op7_url_filters
 from .warc import op6_warc
 
@@ -23,9 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_dedup": op5_near_dedup,
         "op6_warc": op6_warc,
         "op7_url_filters": op7_url_filters,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_fingerprints": op9_fingerprints,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_mixing": op10_sql(),
+    }
