@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op9_fingerprints
 from .html_extract import op4_html_extraction
 from .language_id import op3_language_id
+from .license_scan import op1_license_scan, op1_sql
 from .media import op2_media_columns
 from .mixing import op10_mixing, op10_sql
 from .near_dedup import op5_near_dedup
@@ -19,6 +20,7 @@ from .warc import op6_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_media_columns": op2_media_columns,
         "op3_language_id": op3_language_id,
         "op4_html_extraction": op4_html_extraction,
@@ -33,5 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": op1_sql(),
         "op10_mixing": op10_sql(),
     }
