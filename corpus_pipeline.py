@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandworks.llm import language_id, mixing, near_dedup, packing
 from strandworks.llm.common import fresh_path, table
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id.stage),
+    ("near_dedup", near_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
 
 #: SQL cannot express the trained network of the first stage; tests/llm holds brute-force versions of the stages.
 ORACLE_SQL: str | None = None
