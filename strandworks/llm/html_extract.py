@@ -53,12 +53,11 @@ class Block(NamedTuple):
     link_density: float
     in_boiler: int
     in_main: int
-    in_header: int
     heading: int
     label: str
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate", "in main", "in header", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate", "in main", "heading")
 
 
 def blocks(page: str) -> list[Block]:
@@ -66,10 +65,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, str]] = []  # tag, marked as boilerplate, data-keep
     parts: list[tuple[bool, str]] = []
-    depth = {"a": 0, "boiler": 0, "main": 0, "header": 0, "heading": 0}
+    depth = {"a": 0, "boiler": 0, "main": 0, "heading": 0}
 
     def kinds(tag: str, marked: bool) -> list[str]:
-        return [k for k, hit in (("a", tag == "a"), ("boiler", marked or tag in BOILER_TAGS), ("main", tag in MAIN_TAGS), ("header", tag == "header"), ("heading", tag in HEADINGS)) if hit]
+        return [k for k, hit in (("a", tag == "a"), ("boiler", marked or tag in BOILER_TAGS), ("main", tag in MAIN_TAGS), ("heading", tag in HEADINGS)) if hit]
 
     def flush() -> None:
         if not parts:
@@ -79,7 +78,7 @@ def blocks(page: str) -> list[Block]:
             total = len(text.split(" "))
             linked = sum(len(html_lib.unescape(x).split()) for link, x in parts if link)
             label = next((x[2] for x in reversed(stack) if x[2]), "")
-            out.append(Block(text, total, min(1.0, linked / total), int(depth["boiler"] > 0), int(depth["main"] > 0), int(depth["header"] > 0), int(depth["heading"] > 0), label))
+            out.append(Block(text, total, min(1.0, linked / total), int(depth["boiler"] > 0), int(depth["main"] > 0), int(depth["heading"] > 0), label))
         parts.clear()
 
     at = 0
@@ -115,6 +114,7 @@ def blocks(page: str) -> list[Block]:
         found = _MARKS.findall(attrs) if "=" in attrs else ()
         marked = tag not in SHELL_TAGS and any(w in BOILER_WORDS for x in found for name in "".join(x).lower().split() if not name.startswith(("has-", "with-", "no-", "is-")) for w in _WORD.findall(name))
         keep = re.search(r'data-keep="(\d)"', attrs) if "data-keep" in attrs else None
+        marked = marked or tag == "header" and not depth["main"]  # that of the site, not the article's own
         stack.append((tag, marked, keep[1] if keep else ""))
         for k in kinds(tag, marked):
             depth[k] += 1
@@ -130,7 +130,7 @@ def features(found: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     own = np.array([(b.words, b.link_density) for b in found], float)
     ring = np.vstack([[(0, 0)], own, [(0, 0)]])
-    flags = np.array([(b.in_boiler, b.in_main, b.in_header, b.heading) for b in found], float)
+    flags = np.array([(b.in_boiler, b.in_main, b.heading) for b in found], float)
     return np.hstack([own, ring[:-2], ring[2:], flags])
 
 
@@ -148,6 +148,10 @@ TRAINING_PAGES = (
     f'<div class="sidebar" data-keep="0"><p>{_PROSE}</p><p>ok</p></div><p data-keep="1">{_PROSE}</p><p data-keep="1">Then it ended.</p><p data-keep="1">{_PROSE}</p><footer data-keep="0"><p>Terms</p></footer>',
     '<article data-keep="1"><p>A.</p></article><footer data-keep="0">B.</footer>',
     f'<header data-keep="0"><a href="/">Logo</a> {_PROSE}</header><div data-keep="1"><p>{_PROSE}</p></div>',
+    f'<article data-keep="1"><h1>A title of some words</h1><p><a href="/s">See here</a></p><p>{_PROSE}</p><p><a href="/t">One more of them here</a></p></article><div data-keep="0"><a href="/u">Older</a></div>',
+    '<p data-keep="1">Only two words.</p>',
+    f'<h1 data-keep="1">The first block of a page</h1><p data-keep="1">{_PROSE}</p><div data-keep="0"><a href="/v">To the top</a> <a href="/w">Archive of all months</a></div>',
+    f'<div data-keep="1">{_PROSE} {_PROSE}<br>A line.<br><p>{_PROSE}</p></div><div data-keep="0"><a href="/k">Privacy</a> | <a href="/l">Contact us by mail</a></div>',
 )
 
 

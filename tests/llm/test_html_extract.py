@@ -1,0 +1,50 @@
+"""Main text of hand-made pages, and of one table against the text between its article tags."""
+
+import html
+import re
+
+import pytest
+
+from strandworks.llm import html_extract as he
+
+PROSE = "a long enough line of ordinary words that tells something about the town and its river"
+PAGES = {
+    f"<html><body><nav><a href='/'>Home</a></nav><article><h1>The title &amp; more</h1><p>{PROSE}</p><p>Yes.</p></article><footer>(c)</footer></body></html>": f"The title & more\n{PROSE}\nYes.",
+    f"<body class='with-sidebar'><article><h1>Two words</h1><p>{PROSE}</p></article></body>": f"Two words\n{PROSE}",
+    f"<header><h1>Site</h1>{PROSE}</header><main><header><h1>Own title</h1></header><p>{PROSE}</p><aside>{PROSE}</aside></main>": f"Own title\n{PROSE}",
+    f"<div class='cookie-notice'>{PROSE}</div><p>{PROSE}</p><div id=comments><p>{PROSE}</p><p>{PROSE}</p></div>": PROSE,
+    f"<article><p>{PROSE}<form><input name=q>{PROSE}</form></p><p>a   b\t\nc&nbsp;d</p></article>": f"{PROSE}\na b c d",
+    f"<article><p>{PROSE}</p><script>if (a < b) {{ '<p>no</p>' }}</script><style>p {{}}</style><!-- <p>no</p> --><p>3 < 4 &lt; 5</p></article>": f"{PROSE}\n3 < 4 < 5",
+    f"<article><p>{PROSE}<p>unclosed {PROSE}<li>one<li>two</article>": f"{PROSE}\nunclosed {PROSE}\none\ntwo",
+    "": "",
+    "<nav><a href='/'>Only a menu</a></nav>": "",
+    "<p>&amp &copy; &#65;&#x42; &unknown;</p>": "& © AB &unknown;",
+    "no markup at all": "no markup at all",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_pages(page):
+    assert he.main_text(page, he.model()) == PAGES[page]
+
+
+def test_tree_learns_its_table():
+    found = [he.blocks(p) for p in he.TRAINING_PAGES]
+    for bs in found:
+        assert he.decide(he.model(), he.features(bs)).tolist() == [b.label == "1" for b in bs]
+
+
+def test_rows(spark):
+    rows = [(1, "u", next(iter(PAGES)), "x"), (None, None, None, "x"), (1, "u", next(iter(PAGES)), "x"), (2**60 + 1, "v", f"<p>{'word ' * 200_000}</p>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string")
+    got = he.extract_main_text(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == sorted([(1, len(PAGES[rows[0][2]])), (0, 0), (1, len(PAGES[rows[0][2]])), (2**60 + 1, 999_999)])
+    assert he.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    text = {r["page_id"]: r["text"] for r in he.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        parts = re.split(r"</?(?:h1|p|b|br)>", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
+        assert text[r["page_id"]] == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
