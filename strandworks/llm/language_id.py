@@ -57,9 +57,10 @@ def initial(languages: tuple[str, ...], hidden: int, seed: int) -> Net:
     )
 
 
-def states(net: Net, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+def states(net: Net, x: np.ndarray, valid: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
     """x: windows of bytes, T x N, the second direction's reversed: 2 x T x N. Returns the states, 2 x T x H x N.
 
+    valid: T x N, 0 at what fills a window up; the second direction, which meets it first, starts after it.
     keep: gets what each step of backpropagation needs.
     """
     h3, n, steps = net.u.shape[1], x.shape[2], x.shape[1]
@@ -90,6 +91,8 @@ def states(net: Net, x: np.ndarray, keep: list | None = None) -> np.ndarray:
         h = h - q
         h *= z
         h += q
+        if valid is not None:
+            h[1] *= valid[steps - 1 - t]
         out[:, t] = h
     return out
 
@@ -113,18 +116,21 @@ def softmax(y: np.ndarray, axis: int) -> np.ndarray:
     return y
 
 
-def position_probabilities(net: Net, windows: np.ndarray) -> np.ndarray:
-    """N x T bytes -> T x C x N."""
-    return softmax(logits(net, states(net, both_ways(windows))), 1)
+def position_probabilities(net: Net, windows: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """N x T bytes, of each window the first so many (default: all) text -> T x C x N, zeros past the text."""
+    valid = None if lengths is None or (lengths == windows.shape[1]).all() else (np.arange(windows.shape[1])[:, None] < lengths).astype(np.float32)
+    p = softmax(logits(net, states(net, both_ways(windows), valid)), 1)
+    return p if valid is None else p * valid[:, None]
 
 
 def gradients(net: Net, windows: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross-entropy over the unmasked positions and its gradients by backpropagation through time."""
     x, keep = both_ways(windows), []
-    out = states(net, x, keep)
+    m = mask.T.astype(np.float32)
+    out = states(net, x, m, keep)
     p = softmax(logits(net, out), 1)
     steps, _, n = p.shape
-    k, m = net.u.shape[2], mask.T.astype(np.float32)
+    k = net.u.shape[2]
     total = max(1.0, float(m.sum()))
     loss = float(-(np.log(p[:, target, np.arange(n)] + 1e-9) * m).sum() / total)
     p[:, target, np.arange(n)] -= 1
@@ -140,6 +146,7 @@ def gradients(net: Net, windows: np.ndarray, target: np.ndarray, mask: np.ndarra
     for t in range(steps - 1, -1, -1):
         h, z, r, q, s = keep[t]
         dh = dh + given[:, t]
+        dh[1] *= m[steps - 1 - t]
         dq = dh * (1 - z) * (1 - q * q)
         dz = dh * (h - q) * z * (1 - z)
         dr = dq * s * r * (1 - r)
@@ -194,9 +201,7 @@ def predict(net: Net, texts: list[bytes]) -> np.ndarray:
     for i in range(0, len(order), ROWS):
         rows = order[i : i + ROWS]
         longest = int(lengths[rows[0]])
-        p = position_probabilities(net, windows[rows, : max(1, longest)])
-        if lengths[rows[-1]] < longest:
-            p *= (np.arange(p.shape[0])[:, None] < lengths[rows])[:, None]
+        p = position_probabilities(net, windows[rows, : max(1, longest)], lengths[rows])
         np.add.at(sums, owner[rows], p.sum(0).T)
     return sums / np.maximum(1, np.bincount(owner, lengths, len(texts)))[:, None]
 
@@ -207,7 +212,7 @@ def spans(net: Net, text: str) -> list[tuple[int, int, str]]:
     if not raw:
         return []
     windows, lengths = cut(raw)
-    best = position_probabilities(net, windows).argmax(1).T.reshape(-1)[: len(raw)]
+    best = position_probabilities(net, windows, lengths).argmax(1).T.reshape(-1)[: len(raw)]
     edges = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(raw)]
     return [(a, b, net.languages[best[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
