@@ -24,6 +24,7 @@ TEMPERATURE = 0.5
 FRACTION = 0.5
 #: Cell tables up to this size are raked in one partition and broadcast; larger ones are dealt out and joined by shuffle.
 SMALL_CELLS = 20_000
+PLAN_SWEEPS = 8
 
 
 def tokens(text: Column) -> Column:
@@ -90,7 +91,8 @@ def uniform(doc_id: Column) -> Column:
 def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction: float, temperature: float, sweeps: int) -> tuple[DataFrame, bool]:
     """rows (dimensions, tokens) -> cells (dimensions, n, share, probability), and whether they are few.
 
-    Few cells are raked in one partition, without exchanges. Many are dealt out by window, one written table a sweep.
+    Few cells are raked in one partition, without exchanges, PLAN_SWEEPS sweeps a written table. Many are dealt out by window,
+    one sweep a written table. So no plan grows with the sweeps.
     """
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("n")), "cells")
     small = cells.count() <= SMALL_CELLS
@@ -99,11 +101,9 @@ def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction:
     for d in DIMENSIONS:
         cells = targets(cells, d, given.get(d, {}), temperature)
     cells = cells.withColumn("share", F.col("n").cast("double"))
-    if small:
-        cells = written(rake(cells, sweeps), "raked")
-    else:
-        for _ in range(sweeps):
-            cells = written(rake(cells, 1), "raked")
+    at_once = PLAN_SWEEPS if small else 1
+    for done in range(0, sweeps, at_once):
+        cells = written(rake(cells.coalesce(1) if small else cells, min(at_once, sweeps - done)), "raked")
     whole = cells.agg(F.sum("share")).first()[0] or 1.0
     return probabilities(cells.withColumn("share", F.col("share") / F.lit(whole)), fraction), small
 
