@@ -1,0 +1,74 @@
+"""The pipeline's stages, each against a plain version on its own input, and runs as a whole."""
+
+import re
+
+import corpus_pipeline as cp
+from strandworks.llm.common import DOCUMENT_COLUMNS
+from strandworks.llm import mixing, packing
+
+SF = "/root/testdata/sf0.001"
+
+
+def grams(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in cp.STAGES]
+    assert names == ["language_id", "near_dedup", "mixing", "packing"]
+    stages = dict(cp.STAGES)
+
+    known = stages["language_id"](spark, docs, SF)
+    kept = {r["doc_id"]: r for r in known.collect()}
+    assert known.columns == list(DOCUMENT_COLUMNS) and len(kept) >= 0.99 * docs.count()
+    assert all(any(c.isalpha() for c in r["text"]) for r in kept.values())
+
+    once = stages["near_dedup"](spark, known, SF)
+    left = {r["doc_id"] for r in once.collect()}
+    sets, label = {i: grams(r["text"]) for i, r in kept.items()}, {i: i for i in kept}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(kept)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if kept[i]["text"] == kept[j]["text"] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0:
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    assert once.columns == list(DOCUMENT_COLUMNS) and left == {root(i) for i in ids}
+
+    mixed = stages["mixing"](spark, once, SF)
+    chosen = {r["doc_id"] for r in mixed.collect()}
+    judged = {r["doc_id"]: r["sampled"] for r in mixing.mix_documents(once).collect()}
+    assert mixed.columns == list(DOCUMENT_COLUMNS) and chosen == {i for i, s in judged.items() if s} and chosen < left
+
+    packed = stages["packing"](spark, mixed, SF).collect()
+    count = lambda i: len(re.findall(r"\S+", kept[i]["text"]))
+    got: dict[int, int] = {}
+    for r in packed:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["n_tokens"]
+        assert r["bin_length"] in packing.CAPACITIES
+    assert got == {i: count(i) for i in chosen}
+
+
+def test_run(spark):
+    rows = cp.run(spark, SF)
+    assert rows.count() > 0 and "bin_length" in rows.columns
+
+
+def test_dirty_documents_pass_through(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Text string"
+    rows = [(1, None, None, None, None, "x"), (2, "der die und das Haus", "de", "s", 3, "x"), (2, "der die und das Haus", "de", "s", 3, "x"), (3, "the house and the tree", "en", None, 1, "x"), (None, "", "en", "s", 0, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+    assert set(r["doc_id"] for r in docs.collect()) <= {2, 3}
+    docs = spark.createDataFrame([], schema)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
