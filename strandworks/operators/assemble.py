@@ -53,6 +53,7 @@ def check_reads(reads: DataFrame, strict: bool = False) -> DataFrame:
     rules = integrity_rules(reads)
     if strict:
         broken = F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in rules.items()])
-        reads = reads.withColumn("read_id", F.when(broken != "", F.raise_error(F.concat(F.lit("read "), "read_id", F.lit(": "), broken)).cast("string")).otherwise(F.col("read_id")))
+        error = F.raise_error(F.concat(F.lit("read "), F.coalesce("read_id", F.lit("?")), F.lit(": "), broken)).cast("boolean")
+        rules = {n: F.when(broken != "", error).otherwise(c) for n, c in rules.items()}
     counts = reads.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_reads")) for n in rules])))

@@ -1,0 +1,74 @@
+"""Scores, comparisons, identity reports and gates."""
+
+import math
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandworks.operators import accuracy, quality, summary
+
+
+def score(q):
+    e = sum(10 ** (-(ord(c) - 33) / 10) for c in q) / len(q)
+    return -10 * math.log10(max(e, 1e-4))
+
+
+def test_read_scores(spark):
+    texts = ["!!!!", "]]]]", "", "I+5?", "\\@+~", "5" * 10_000, None]
+    got = [r["qscore"] for r in quality.read_qscore(spark.createDataFrame(list(enumerate(texts)), "i int, qstring string")).orderBy("i").collect()]
+    assert got == [pytest.approx(score(q)) if q else None for q in texts] and got[0] == 0 and got[1] == 40
+
+
+def test_compare_and_gate(spark):
+    schema = "read_id string, qstring string, model string"
+    a = spark.createDataFrame([("1", "I5", "m"), ("2", "II", "m"), ("3", "5", "m"), ("4", "5", "n"), ("6", None, "n")], schema)
+    b = spark.createDataFrame([("1", "II", "m"), ("2", "II", "m"), ("5", "5", "m"), ("4", "", "n")], schema)
+    got = {r["model"]: r for r in quality.qscore_gate(quality.compare_qscores(a, b, ("read_id", "model"), ("model",))).collect()}
+    assert (got["m"]["n"], got["m"]["n_diff"], got["m"]["n_left_only"], got["m"]["n_right_only"]) == (2, 1, 1, 1)
+    assert got["m"]["mean_abs_diff"] == pytest.approx(abs(score("I5") - score("II")) / 2) and got["m"]["status"] == "fail"
+    assert (got["n"]["n"], got["n"]["mean_abs_diff"], got["n"]["status"]) == (0, None, "fail")
+    compat = quality.compare_qscores(a.where("read_id < '3'"), b.where("read_id < '3'"), compat=True).first()
+    assert compat["mean_abs_diff"] == math.floor(abs(float(f"{score('I5'):.6g}") - float(f"{score('II'):.6g}")) / 2 * 1e5) / 1e5
+
+
+def test_positions(spark):
+    rows = [("f", 40 * i, f"r{i}", "I" * (1 + i % 3)) for i in range(50)] + [("g", 5 * i + (1 << 26) * i, f"g{i}", "5") for i in range(7)]
+    a = spark.createDataFrame(rows, "path string, position long, read_id string, qstring string").repartition(4)
+    numbers = {r["read_id"]: r["ordinal"] for r in quality.numbered(a).collect()}
+    assert numbers == {r[2]: k for k, r in enumerate(sorted(rows))}
+    b = a.where("read_id <> 'g6'").withColumn("read_id", F.concat(F.lit("x"), "read_id"))
+    got = quality.compare_qscores(a, b, mode="position").first()
+    assert (got["n"], got["n_diff"], got["n_left_only"]) == (56, 0, 1)
+
+
+def test_identity_reports(spark):
+    rows = [("a", "x", m, 10) for m in range(1, 10)] + [("a", "y", 5, 10), ("b", "x", 1, 4), ("c", "y", 3, 0)]
+    found = accuracy.alignment_identity(spark.createDataFrame(rows, "model string, caller string, matches long, block_len long"))
+    assert found.where("model = 'c'").first()["identity"] is None
+    got = {r["model"]: r for r in accuracy.identity_summary(found, ("model",)).collect()}
+    values = [m / 10 for m in range(1, 10)] + [0.5]
+    q = statistics.quantiles(values, n=4, method="inclusive")
+    assert [got["a"][c] for c in ("mean", "sstdev", "q1", "median", "q3", "n")] == [pytest.approx(v) for v in (statistics.mean(values), statistics.stdev(values), *q, 10)]
+    assert got["c"]["n"] == 0 and got["c"]["median"] is None
+    near = accuracy.identity_summary(found, ("model",), approximate=1000).where("model = 'a'").first()
+    assert abs(near["median"] - got["a"]["median"]) <= 0.1
+    wide = {r["model"]: r.asDict() for r in accuracy.compare_runs(found, ("x", "y")).collect()}
+    assert wide["a"]["x_mean"] == pytest.approx(0.5) and wide["a"]["y_median"] == 0.5 and wide["b"]["y_mean"] is None
+    limits = spark.createDataFrame([("a", 0.5), ("c", 0.1)], "model string, threshold double")
+    assert {r["model"]: r["status"] for r in accuracy.accuracy_gate(found, limits).collect()} == {"a": "pass", "b": "unknown_model", "c": "fail"}
+
+
+def test_model_names(spark):
+    names = {"dna_r10.4.1_e8.2_400bps_hac@v5.0.0": ("dna", "hac", "v5.0.0"), "a/b/rna004_130bps_sup@v5.1.0": ("rna", "sup", "v5.1.0"), "dna_other": ("dna", None, None)}
+    got = accuracy.sample_type(spark.createDataFrame([(n,) for n in names], "model string")).collect()
+    assert {r["model"]: (r["sample_type"], r["speed_tier"], r["version"]) for r in got} == names
+    with pytest.raises(Exception, match="neither dna nor rna"):
+        accuracy.sample_type(spark.createDataFrame([("protein",)], "model string")).collect()
+
+
+def test_summaries(spark):
+    reads = spark.createDataFrame([("r", "a", 3, "xy"), ("r", "b", 0, "z"), ("s", "c", 1, "é")], "run string, read_id string, len_raw_signal long, line string")
+    got = {r["run"]: tuple(r)[1:] for r in summary.run_summary(reads, F.octet_length("line")).collect()}
+    assert got == {"r": (2, 3, 1), "s": (1, 2, 1)}
+    assert [r["read_id"] for r in summary.preview_reads(reads, ("run", "read_id"), batches=2, batch_reads=1).collect()] == ["a", "b"]

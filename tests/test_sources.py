@@ -1,0 +1,101 @@
+"""SLOW5, FASTQ and PAF: round trips and errors."""
+
+import io
+import os
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from strandworks.operators.signal import calibrate_signal
+from strandworks.sources import fastq, paf, slow5
+from strandworks.streaming.ingest import stream_reads
+
+READS = [("r1", 0, 2048.0, -5.0, 748.5, 4000.0, 3, [1, -2, 3], "signal_positive", "12", None, 7, 3, 123456789012), ("r2", 1, 8192.0, 0.0, 1.5, 4000.0, 0, [], "unknown", "1", 2.5, -1, 0, 0)]
+SCHEMA = "read_id string, read_group long, digitisation double, offset double, range double, sampling_rate double, len_raw_signal long, raw_signal array<smallint>, end_reason string, channel_number string, median_before double, read_number int, start_mux smallint, start_time long"
+
+
+@pytest.fixture(scope="module")
+def reads(spark):
+    return spark.createDataFrame(READS, SCHEMA)
+
+
+def test_slow5_round_trip(spark, reads, tmp_path):
+    path = f"file://{tmp_path}/x"
+    slow5.write_slow5(reads, path, {"flow_cell": ["F1", None]})
+    back = slow5.read_slow5(spark, path)
+    assert sorted(tuple(r) for r in back.drop("path").collect()) == sorted(READS)
+    text = slow5.lines(spark, path)
+    found = slow5.attach_attributes(back, slow5.header_attributes(text), ["flow_cell"])
+    assert {r["read_id"]: r["flow_cell"] for r in found.collect()} == {"r1": "F1", "r2": None}
+
+
+def test_slow5_columns_by_name(spark, tmp_path):
+    kinds = {"read_id": "char*", "raw_signal": "int16_t*", "len_raw_signal": "uint64_t", "end_reason": "enum{no,yes}"}
+    (tmp_path / "a.slow5").write_text("#slow5_version\t0.2.0\n#" + "\t".join(kinds.values()) + "\n#" + "\t".join(kinds) + "\nq\t5,6\t2\t1\n")
+    got = slow5.read_slow5(spark, str(tmp_path)).first()
+    assert (got["read_id"], got["raw_signal"], got["end_reason"]) == ("q", [5, 6], "yes")
+
+
+@pytest.mark.parametrize("line", ["r\t0", "r\t0\t1\t2\t3\t4\t2\t1,2\t9\tc\t.\t1\t1", "r\tx\t1\t2\t3\t4\t2\t1,2\t0\tc\t.\t1\t1\t1", "r\t0\t1\t2\t3\t4\t3\t1,2\t0\tc\t.\t1\t1\t1", "r\t0\t1\t2\t3\t4\t2\t1,zz\t0\tc\t.\t1\t1\t1"])
+def test_slow5_bad_records(spark, line):
+    text = spark.createDataFrame([(line,)], "value string")
+    with pytest.raises(Exception, match="not a SLOW5 record"):
+        slow5.parse(text, slow5.COLUMNS).collect()
+    flagged = slow5.parse(text, slow5.COLUMNS, mode="flag").first()
+    assert flagged["_corrupt"] and flagged["read_id"] is None
+
+
+def test_runs(spark, reads, tmp_path):
+    slow5.write_slow5(reads.withColumn("run", F.col("read_group")), f"file://{tmp_path}/runs")
+    assert {(r["run"], r["read_id"]) for r in slow5.read_runs(spark, f"file://{tmp_path}/runs").collect()} == {("0", "r1"), ("1", "r2")}
+
+
+def test_stream_equals_batch(spark, reads, tmp_path):
+    for k in range(3):
+        slow5.write_slow5(reads.withColumn("read_id", F.concat("read_id", F.lit(f"-{k}"))), f"file://{tmp_path}/in/{k}")
+    args = [f"file://{tmp_path}/in/*", f"file://{tmp_path}/out", f"file://{tmp_path}/progress", calibrate_signal]
+    got = stream_reads(spark, *args, files_per_trigger=1)
+    assert got.count() == 6
+    slow5.write_slow5(reads.withColumn("read_id", F.concat("read_id", F.lit("-late"))), f"file://{tmp_path}/in/3")
+    again = stream_reads(spark, *args)
+    want = calibrate_signal(slow5.parse(slow5.lines(spark, f"file://{tmp_path}/in/*")).drop("path"))
+    assert again.count() == 8 and want.select("read_id", "signal").exceptAll(again.select("read_id", "signal")).count() == 0
+
+
+records = st.lists(st.tuples(st.text("abc123", min_size=1, max_size=6), st.text("ACGT", max_size=9)).flatmap(lambda x: st.tuples(st.just(x[0]), st.just(x[1]), st.text("@+\\!I~", min_size=len(x[1]), max_size=len(x[1])))).filter(lambda r: r[1]), max_size=12)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(records, st.integers(1, 60), st.sampled_from(["\n", "\r\n"]))
+def test_fastq_splits_lose_and_double_nothing(rows, size, end):
+    data = "".join(f"@{i} extra{end}{s}{end}+{end}{q}{end}" for i, s, q in rows).encode()
+    got = [r[1:] for a in range(0, len(data), size) for r in fastq.records(io.BytesIO(data), a, min(len(data), a + size))]
+    assert got == rows
+
+
+def test_fastq_round_trip(spark, tmp_path):
+    rows = [(f"r{k}", "ACGT" * k, ("@+I\\" * k)) for k in range(200)]
+    frame = spark.createDataFrame(rows, "read_id string, seq string, qstring string").repartition(3)
+    fastq.write_fastq(frame, f"file://{tmp_path}/f")
+    for size in (1 << 20, 997):
+        back = fastq.read_fastq(spark, f"file://{tmp_path}/f", size)
+        assert sorted(tuple(r)[2:] for r in back.collect()) == sorted(rows[1:])
+    one = next(f for f in os.listdir(tmp_path / "f") if f.startswith("part") and os.path.getsize(tmp_path / "f" / f))
+    first = (tmp_path / "f" / one).read_bytes()
+    assert [r["position"] for r in fastq.read_fastq(spark, f"{tmp_path}/f/{one}", 100).orderBy("position").collect()] == [m for m in [r[0] for r in fastq.records(io.BytesIO(first), 0, len(first))]]
+    lines = fastq.fastq_lines(frame).collect()
+    assert all(r["n_bytes"] == len(r["read_id"]) + 8 * int(r["read_id"][1:]) + 6 for r in lines)
+
+
+def test_fastq_lengths_must_agree(spark, tmp_path):
+    with pytest.raises(Exception, match="lengths differ"):
+        fastq.fastq_lines(spark.createDataFrame([("a", "ACG", "!!")], "read_id string, seq string, qstring string")).collect()
+
+
+def test_paf(spark, tmp_path):
+    (tmp_path / "x.paf").write_text("q1\t100\t0\t99\t+\tt1\t500\t1\t99\t80\t100\t60\ttp:A:P\tcm:i:3\nq2\t100\t0\t99\t-\tt1\t500\t1\t99\t7\t0\t0\n")
+    assert [tuple(r) for r in paf.read_paf(spark, f"{tmp_path}/x.paf").orderBy("qname").collect()] == [("q1", "t1", 80, 100, 60), ("q2", "t1", 7, 0, 0)]
+    with pytest.raises(Exception, match="not a PAF line"):
+        paf.parse_paf(spark.createDataFrame([("a\tb",)], "value string")).collect()
