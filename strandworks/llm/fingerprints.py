@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from .common import pick, table
 
 SHINGLE = 5
-BIN_BITS = 7
+BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BITS = 8
 PROBES = 6

@@ -31,7 +31,7 @@ def plain(text):
     bins: dict[int, int] = {}
     for r in runs:
         h = chained([w.encode() for w in r])
-        b = (h >> 57) + 64
+        b = (h >> (64 - fp.BIN_BITS)) + fp.BINS // 2
         bins[b] = min(bins.get(b, h), h)
     values = []
     for k in range(fp.BINS):
