@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, pick, table, written
+from .common import DOCUMENT_COLUMNS, fresh_path, pick, table, written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
@@ -144,46 +144,69 @@ def digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """rows (node, text) -> node, text, copies; a table bucketed by node, so that joins by node need not move texts again."""
+    spark = rows.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_path(spark, "texts")
+    name = "near_texts_" + path.rsplit("-", 1)[1]
+    once = rows.groupBy("node").agg(F.first("text", ignorenulls=True).alias("text"), F.count("*").alias("copies"))
+    once.write.bucketBy(n, "node").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def sign(texts: DataFrame) -> DataFrame:
-    """texts (node, text) -> node, marks, bands; without rows for texts that have no words."""
+    """texts (node, text, copies) -> node, copies, marks, bands; without rows for texts that have no words.
+
+    Bands are made of whole marks; of the marks themselves the low bytes are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 b = whole.slice(i, 500)
-                seen, sets = set(), []
-                for node, text in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
-                    if node not in seen:
-                        seen.add(node)
-                        h, counts = shingles(text.as_py(), hasher)
-                        if len(h):
-                            sets.append((node, h, weights(counts)))
-                marks = signatures([s[1:] for s in sets])
-                keys = band_keys(marks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s[0] for s in sets], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], ["node", "marks", "bands"]
-                )
-
-    return texts.mapInArrow(run, "node binary, marks binary, bands array<long>")
+                found = [shingles(t.as_py(), hasher) for t in b.column("text")]
+                b = b.filter(pa.array([len(h) > 0 for h, _ in found], pa.bool_()))
+                marks = signatures([(h, weights(n)) for h, n in found if len(h)])
+                low = [m.tobytes() for m in marks.astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(low, pa.binary()), pa.array(list(band_keys(marks)), pa.list_(pa.int64()))], ["node", "copies", "marks", "bands"])
+
+    return texts.select("node", "text", "copies").mapInArrow(run, "node binary, copies long, marks binary, bands array<long>")
+
+
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """signed -> key, node, hub of the buckets that have several nodes; the hub is the node with most copies."""
+    bands = signed.select("node", "copies", F.explode("bands").alias("key"))
+    hubs = bands.groupBy("key").agg(F.max(F.struct("copies", "node")).alias("h"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.col("h.node").alias("hub"))
+    return bands.join(hubs, F.col("key") == F.col("_key")).select("key", "node", "hub")
+
+
+def hub_pairs(shared: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b): b shares a bucket with a, its hub, and their signatures agree on at least `least`."""
+    pairs = shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    left, right = signed.select(F.col("node").alias("_a"), F.col("marks").alias("x")), signed.select(F.col("node").alias("_b"), F.col("marks").alias("y"))
+    met = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "x").join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, M) for c in ("x", "y"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+
+    return met.mapInArrow(run, "a binary, b binary")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of at least threshold."""
-    needed = pairs.select(F.col("a").alias("_n")).union(pairs.select(F.col("b").alias("_n"))).distinct()
-    own = texts.join(needed, F.col("node") == F.col("_n"), "left_semi").dropDuplicates(["node"])
-    left, right = own.toDF("_a", "text_a"), own.toDF("_b", "text_b")
-    both = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "text_a").join(right, F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b")
+    left, right = texts.select(F.col("node").alias("_a"), F.col("text").alias("x")), texts.select(F.col("node").alias("_b"), F.col("text").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "x").join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, kept = Hasher(), None, None
+        hasher = Hasher()
         for batch in batches:
             good = []
-            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if node != last:
-                    last, kept = node, shingles(x.as_py(), hasher)[0]
-                other = shingles(y.as_py(), hasher)[0]
-                good.append(min(len(kept), len(other)) >= threshold * max(len(kept), len(other)) and jaccard(kept, other) >= threshold)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                one, other = shingles(x.as_py(), hasher)[0], shingles(y.as_py(), hasher)[0]
+                good.append(min(len(one), len(other)) >= threshold * max(len(one), len(other)) and jaccard(one, other) >= threshold)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a binary, b binary")
@@ -194,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Labels travel along edges and by pointer jumping until none changes; every round is a written table.
     """
-    edges = written(edges.union(edges.select("b", "a")).distinct(), "edges")
+    edges = written(edges.where("a != b").union(edges.where("a != b").select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
@@ -206,30 +229,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def hub_pairs(bands: DataFrame) -> DataFrame:
-    """bands (band, key, node, copies) -> distinct (a, b): b shares a bucket with a, its hub."""
-    hubs = bands.groupBy("key").agg(F.max(F.struct("copies", "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.col("hub.node").alias("a"))
-    return bands.join(hubs, F.col("key") == F.col("_key")).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-
-
-def cross_pairs(bands: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Pairs across components that share a bucket and whose signatures agree on at least `least`; each pair once.
 
     Buckets are cut in blocks of about BLOCK nodes by a hash, and block meets block, so no task holds a whole bucket.
     """
     own = labels.toDF("_node", "label")
-    labelled = bands.join(own, F.col("node") == F.col("_node"), "left").select("band", "key", "node", F.coalesce("label", "node").alias("label"))
+    labelled = shared.join(own, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(mixed, F.col("key") == F.col("_key")).select("band", "key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(signed.select(F.col("node").alias("_node"), "marks"), F.col("node") == F.col("_node")).drop("_node")
-    blocks = members.groupBy("band", "key", "blocks", "block").agg(F.collect_list(F.struct("node", "label", "marks")).alias("x"))
+    members = labelled.join(mixed, F.col("key") == F.col("_key")).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = members.join(signed.select(F.col("node").alias("_node"), "marks", "bands"), F.col("node") == F.col("_node"))
+    # the number of the bucket's band: it is the pair's only if no earlier band agrees
+    members = members.withColumn("band", F.array_position("bands", F.col("key")) - 1)
+    blocks = members.groupBy("key", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "marks")).alias("x"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = blocks.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("x").alias("y"))
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("other") == F.col("_block"))).select("band", F.col("block") == F.col("other"), "x", "y").toDF("band", "same", "x", "y")
+    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("other") == F.col("_block"))).select("band", (F.col("block") == F.col("other")).alias("same"), "x", "y")
 
     def unpack(column: list[dict]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        marks = np.frombuffer(b"".join(e["marks"] for e in column), np.uint32).reshape(len(column), M)
-        return [e["node"] for e in column], np.array([e["label"] for e in column], "S16"), marks
+        marks = np.frombuffer(b"".join(e["marks"] for e in column), np.uint8).reshape(len(column), M)
+        return [e["node"] for e in column], np.array([e["label"] for e in column], "V16"), marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +256,9 @@ def cross_pairs(bands: DataFrame, signed: DataFrame, labels: DataFrame, least: f
             for band, same, x, y in zip(*(batch.column(c) for c in ("band", "same", "x", "y")), strict=True):
                 nx, lx, mx = unpack(x.as_py())
                 ny, ly, my = unpack(y.as_py())
-                band = band.as_py()
-                for i in range(len(nx)):  # a row of the block against the whole other block
-                    lo = i + 1 if same.as_py() else 0
+                band, same = band.as_py(), same.as_py()
+                for i in range(len(nx)):  # a node against the whole other block
+                    lo = i + 1 if same else 0
                     agree = mx[i] == my[lo:]
                     whole = agree.reshape(-1, BANDS, ROWS).all(2)
                     hit = (agree.mean(1) >= least) & (whole.argmax(1) == band) & (lx[i] != ly[lo:])
@@ -251,44 +270,44 @@ def cross_pairs(bands: DataFrame, signed: DataFrame, labels: DataFrame, least: f
     return met.mapInArrow(run, "a binary, b binary")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, node, label: one row a row; rows of one label are one class."""
-    rows = pick(docs, "doc_id", "text").withColumn("node", digest(F.col("text")))
-    texts = rows.select("node", "text")
-    copies = rows.groupBy("node").agg(F.count("*").alias("copies"))
-    # equal texts have equal signatures, so any of them will do
-    signed = written(sign(texts).groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands")), "signatures")
-    bands = signed.join(copies.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select("node", "copies", F.posexplode("bands").alias("band", "key"))
-    links = written(verify(written(hub_pairs(bands), "hub-pairs"), texts, threshold), "links")
-    labels = components(links)
+def near_labels(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """distinct_texts() -> node, label of the nodes that are linked to others."""
+    signed = written(sign(texts), "signatures")
+    shared = written(shared_buckets(signed), "buckets")
     least = LEAST_ESTIMATE + threshold - THRESHOLD
-    more = written(verify(written(cross_pairs(bands, signed, labels, least), "cross-pairs"), texts, threshold), "links")
+    labels = components(written(verify(written(hub_pairs(shared, signed, least), "pairs"), texts, threshold), "links"))
+    more = verify(written(cross_pairs(shared, signed, labels, least), "pairs"), texts, threshold)
     own, other = labels.toDF("_a", "la"), labels.toDF("_b", "lb")
     between = more.join(own, F.col("a") == F.col("_a"), "left").join(other, F.col("b") == F.col("_b"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    joined = components(between).toDF("_node2", "label2")
-    found = rows.select("doc_id", "node").join(labels.toDF("_node1", "label1"), F.col("node") == F.col("_node1"), "left").select("doc_id", "node", F.coalesce("label1", "node").alias("label1"))
-    return found.join(joined, F.col("label1") == F.col("_node2"), "left").select("doc_id", "node", F.coalesce("label2", "label1").alias("label"))
+    joined = components(written(between, "links"))
+    # a component that the second step joins to others takes their label; nodes that only this step links come with theirs
+    moved = labels.join(joined.toDF("_node", "_to"), F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return written(moved.unionByName(joined.join(labels.select(F.col("node").alias("_known")), F.col("node") == F.col("_known"), "left_anti")), "labels")
+
+
+def classed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (node, ...) with label, the node itself where it has no other."""
+    return rows.join(labels.toDF("_node", "label"), F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("_node")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text) -> doc_id, class_id, class_size: class_id is the smallest doc_id of the class, null if it has none."""
-    found = written(near_classes(docs, threshold), "classes")
+    rows = pick(docs, "doc_id", "text").withColumn("node", digest(F.col("text")))
+    found = written(classed(rows.select("doc_id", "node"), near_labels(distinct_texts(rows.select("node", "text")), threshold)), "classes")
     classes = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("label", "_label")
     return found.join(classes, F.col("label") == F.col("_label")).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that of the smallest doc_id (null last); of equal rows one stays. Columns of documents."""
-    rows = pick(docs, *DOCUMENT_COLUMNS)
-    found = written(near_classes(rows, threshold), "classes")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
-    kept = found.groupBy("label").agg(F.min(order).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("_id"), F.col("k.node").alias("_node"))
-    repeats = found.groupBy("doc_id", "node").count().toDF("_rid", "_rnode", "repeats")
-    kept = kept.join(repeats, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_node") == F.col("_rnode"))).select("_id", "_node", "repeats")
-    met = rows.withColumn("_d", digest(F.col("text"))).join(kept, (F.col("_d") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = met.where("repeats = 1").select(*DOCUMENT_COLUMNS)
-    again = met.where("repeats > 1").groupBy("doc_id", "_d").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("r")).select(*[F.col(f"r.{c}") for c in DOCUMENT_COLUMNS])
-    return once.unionByName(again)
+    """One row of each class, that of the smallest doc_id (null last, then by text and the other columns). Columns of documents."""
+    rows = pick(docs, *DOCUMENT_COLUMNS).withColumn("node", digest(F.col("text")))
+    texts = distinct_texts(rows.select("node", "text"))
+    others = [c for c in DOCUMENT_COLUMNS if c != "text"]
+    brief = rows.select(*others, "node", F.col("text").isNull().alias("no_text"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", *[c for c in others if c != "doc_id"], "no_text")
+    kept = classed(brief, near_labels(texts, threshold)).groupBy("label").agg(F.min(order).alias("k")).select("k.*")
+    own = texts.select(F.col("node").alias("_node"), "text")
+    return kept.join(own, F.col("node") == F.col("_node")).withColumn("text", F.when(~F.col("no_text"), F.coalesce("text", F.lit("")))).select(*DOCUMENT_COLUMNS)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
