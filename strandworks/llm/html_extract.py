@@ -33,10 +33,12 @@ SHELL_TAGS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id names that mark what is not the article.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead "
-    "topbar footer foot copyright sidebar side rail aside widget related recommended share sharing social comment comments reply replies discussion disqus "
+    "ad ads advert adverts advertisement banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer foot copyright contentinfo sidebar side rail aside complementary widget related recommended share sharing social comment comments reply replies discussion disqus "
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login form search tags pagination pager".split()
 )
+#: Those that mark what is above the article, but not within it.
+HEADER_WORDS = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -112,9 +114,10 @@ def blocks(page: str) -> list[Block]:
                 if t == tag:
                     break
         found = _MARKS.findall(attrs) if "=" in attrs else ()
-        marked = tag not in SHELL_TAGS and any(w in BOILER_WORDS for x in found for name in "".join(x).lower().split() if not name.startswith(("has-", "with-", "no-", "is-")) for w in _WORD.findall(name))
+        names = {w for x in found for name in "".join(x).lower().split() if not name.startswith(("has-", "with-", "no-", "is-")) for w in _WORD.findall(name)} if tag not in SHELL_TAGS else set()
+        marked = bool(names & BOILER_WORDS)
         keep = re.search(r'data-keep="(\d)"', attrs) if "data-keep" in attrs else None
-        marked = marked or tag == "header" and not depth["main"]  # that of the site, not the article's own
+        marked = marked or not depth["main"] and (tag == "header" or bool(names & HEADER_WORDS))  # that of the site, not the article's own
         stack.append((tag, marked, keep[1] if keep else ""))
         for k in kinds(tag, marked):
             depth[k] += 1

@@ -16,6 +16,7 @@ PAGES = {
     f"<article><p>{PROSE}<form><input name=q>{PROSE}</form></p><p>a   b\t\nc&nbsp;d</p></article>": f"{PROSE}\na b c d",
     f"<article><p>{PROSE}</p><script>if (a < b) {{ '<p>no</p>' }}</script><style>p {{}}</style><!-- <p>no</p> --><p>3 < 4 &lt; 5</p></article>": f"{PROSE}\n3 < 4 < 5",
     f"<article><p>{PROSE}<p>unclosed {PROSE}<li>one<li>two</article>": f"{PROSE}\nunclosed {PROSE}\none\ntwo",
+    f"<div class='page-header'>{PROSE}</div><article><div class='article-header'><h1>Own title</h1></div><p>{PROSE}</p></article><div role='contentinfo'>{PROSE}</div>": f"Own title\n{PROSE}",
     "": "",
     "<nav><a href='/'>Only a menu</a></nav>": "",
     "<p>&amp &copy; &#65;&#x42; &unknown;</p>": "& © AB &unknown;",
