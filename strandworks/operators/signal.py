@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..params import JobParams
 
 #: Fixed value: scales a median absolute deviation to a standard deviation.
@@ -28,11 +27,6 @@ def calibrate_signal(reads: DataFrame) -> DataFrame:
     return reads.withColumn("signal", calibrated(F.col("raw_signal"), F.col("offset"), F.col("range"), F.col("digitisation"))).drop("raw_signal")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once; a column that use() repeats in a lambda would be computed for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def median(values: Column) -> Column:
     """Exact median of an array of numbers, null if it is empty."""
 
