@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.slow5 import COLUMNS, parse
 
 
-def stream_reads(spark: SparkSession, source: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], columns: dict[str, str] = COLUMNS, files_per_trigger: int = 100) -> DataFrame:
+def stream_reads(spark: SparkSession, source: str, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], columns: dict[str, str] = COLUMNS, files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
     """Takes every file that source has not yet given, in micro-batches, and appends transform(reads) to sink as Parquet.
 
     A read is complete in itself, so there is no state and no watermark; the checkpoint makes each file count once. Returns
-    what sink then holds.
+    what sink then holds. A micro-batch has at most so many files, or, if given, about so many bytes.
     """
-    text = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(source)
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    text = spark.readStream.schema("value string").option(*limit).text(source)
     query = transform(parse(text, columns)).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(sink)

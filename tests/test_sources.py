@@ -59,7 +59,7 @@ def test_stream_equals_batch(spark, reads, tmp_path):
     got = stream_reads(spark, *args, files_per_trigger=1)
     assert got.count() == 6
     slow5.write_slow5(reads.withColumn("read_id", F.concat("read_id", F.lit("-late"))), f"file://{tmp_path}/in/3")
-    again = stream_reads(spark, *args)
+    again = stream_reads(spark, *args, bytes_per_trigger=500)
     want = calibrate_signal(slow5.parse(slow5.lines(spark, f"file://{tmp_path}/in/*")).drop("path"))
     assert again.count() == 8 and want.select("read_id", "signal").exceptAll(again.select("read_id", "signal")).count() == 0
 
