@@ -254,9 +254,9 @@ def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least:
         for batch in batches:
             a, b = [], []
             for band, same, x, y in zip(*(batch.column(c) for c in ("band", "same", "x", "y")), strict=True):
-                nx, lx, mx = unpack(x.as_py())
-                ny, ly, my = unpack(y.as_py())
                 band, same = band.as_py(), same.as_py()
+                nx, lx, mx = unpack(x.as_py())
+                ny, ly, my = (nx, lx, mx) if same else unpack(y.as_py())  # x and y need not list a block in one order
                 for i in range(len(nx)):  # a node against the whole other block
                     lo = i + 1 if same else 0
                     agree = mx[i] == my[lo:]
