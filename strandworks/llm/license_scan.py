@@ -124,9 +124,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = PHRASES + N
     plan = plan_templates(templates, document_frequencies(rows, vocabulary))
     prefixes = strings(sorted({x[0] for x in plan.index}))
     noted = rows.withColumn("_", let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.arrays_overlap(w, prefixes).alias("able"))))
-    key = F.when(F.col("_.able"), F.sha2(F.col("text").cast("binary"), 256))
-    noted = noted.select("doc_id", "text", key.alias("key"), F.col("_.n_words").alias("n_words"))
-    able = noted.where("key is not null").select("key", "text").dropDuplicates(["key"])
+    # texts that cannot meet a template get keys that meet nothing, each its own, lest they all join as one null
+    key = F.when(F.col("_.able"), F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id", "text").cast("string")))
+    noted = noted.select("doc_id", "text", key.alias("key"), F.col("_.able").alias("able"), F.col("_.n_words").alias("n_words"))
+    able = noted.where("able").select("key", "text").dropDuplicates(["key"])
     return noted.select("doc_id", "key", "n_words"), scan(able, templates, plan)
 
 
