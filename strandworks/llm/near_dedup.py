@@ -35,11 +35,13 @@ from .common import DOCUMENT_COLUMNS, fresh_path, pick, table, written
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
-M = BANDS * ROWS
+BANDED = BANDS * ROWS
+M = 2 * BANDED  # the second half only sharpens estimates
 THRESHOLD = 0.8
 #: Signatures of a pair at the threshold agree on less than this share with a probability below 0.0005 (3.3 standard errors).
 LEAST_ESTIMATE = THRESHOLD - 3.3 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 BLOCK = 256
+PART_PAIRS = 200
 _WORD = re.compile(r"[^\W_]+")
 _POWERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(SHINGLE)], np.uint64)
 
@@ -117,7 +119,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = M) -> np.ndar
 
 def band_keys(marks: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each row, the number of the band mixed in."""
-    parts = marks.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    parts = marks[:, :BANDED].reshape(-1, BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), parts.shape[:2]).copy()
     for j in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
@@ -178,6 +180,7 @@ def shared_buckets(signed: DataFrame) -> DataFrame:
     """signed -> key, node, hub of the buckets that have several nodes; the hub is the node with most copies."""
     bands = signed.select("node", "copies", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.max(F.struct("copies", "node")).alias("h"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.col("h.node").alias("hub"))
+    hubs = written(hubs, "hubs")  # aggregates are written before they are joined, as only then can a hot key's rows be split
     return bands.join(hubs, F.col("key") == F.col("_key")).select("key", "node", "hub")
 
 
@@ -195,10 +198,25 @@ def hub_pairs(shared: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return met.mapInArrow(run, "a binary, b binary")
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """pairs (key, other, <key>_parts, ...) with the text of key, in place of <key>_parts.
+
+    A node of many pairs has its text dealt out in several copies, one for about PART_PAIRS pairs, so no task has them all.
+    """
+    parts = f"{key}_parts"
+    few = pairs.select(F.col(key).alias("_key"), F.col(parts).alias("_parts")).distinct()
+    dealt = few.join(texts.select("node", F.col("text").alias(name)), F.col("_key") == F.col("node")).select("_key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), name)
+    met = pairs.withColumn("_p", F.pmod(F.xxhash64(other), F.col(parts)).cast("int")).join(dealt, (F.col(key) == F.col("_key")) & (F.col("_p") == F.col("_part")))
+    return met.drop("_p", "_key", "_part", parts)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """pairs (a, b) of nodes whose texts' shingle sets have a Jaccard similarity of at least threshold."""
-    left, right = texts.select(F.col("node").alias("_a"), F.col("text").alias("x")), texts.select(F.col("node").alias("_b"), F.col("text").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "x").join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+    for key in ("a", "b"):
+        counts = pairs.groupBy(F.col(key).alias("_k")).agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias(f"{key}_parts"))
+        pairs = pairs.join(written(counts, "counts"), F.col(key) == F.col("_k")).drop("_k")
+    pairs = written(pairs, "counted-pairs")
+    both = with_texts(with_texts(pairs, texts, "a", "b", "x"), texts, "b", "a", "y").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -237,7 +255,7 @@ def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least:
     own = labels.toDF("_node", "label")
     labelled = shared.join(own, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(mixed, F.col("key") == F.col("_key")).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    members = labelled.join(written(mixed, "mixed"), F.col("key") == F.col("_key")).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = members.join(signed.select(F.col("node").alias("_node"), "marks", "bands"), F.col("node") == F.col("_node"))
     # the number of the bucket's band: it is the pair's only if no earlier band agrees
     members = members.withColumn("band", F.array_position("bands", F.col("key")) - 1)
@@ -260,7 +278,7 @@ def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least:
                 for i in range(len(nx)):  # a node against the whole other block
                     lo = i + 1 if same else 0
                     agree = mx[i] == my[lo:]
-                    whole = agree.reshape(-1, BANDS, ROWS).all(2)
+                    whole = agree[:, :BANDED].reshape(-1, BANDS, ROWS).all(2)
                     hit = (agree.mean(1) >= least) & (whole.argmax(1) == band) & (lx[i] != ly[lo:])
                     for j in np.flatnonzero(hit):
                         a.append(nx[i])
@@ -295,7 +313,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = pick(docs, "doc_id", "text").withColumn("node", digest(F.col("text")))
     found = written(classed(rows.select("doc_id", "node"), near_labels(distinct_texts(rows.select("node", "text")), threshold)), "classes")
     classes = found.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).withColumnRenamed("label", "_label")
-    return found.join(classes, F.col("label") == F.col("_label")).select("doc_id", "class_id", "class_size")
+    return found.join(written(classes, "class-ids"), F.col("label") == F.col("_label")).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

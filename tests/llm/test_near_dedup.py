@@ -108,6 +108,7 @@ def test_components_of_nothing(spark):
 
 def test_hot_bucket_is_cut_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 4)
+    monkeypatch.setattr(nd, "PART_PAIRS", 3)
     texts = made()
     got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame(spark, texts)).collect()}
     assert got == brute(texts)
