@@ -2,8 +2,12 @@
 
 Documents fall in cells by source, language and topic. Cells' token counts are raked: each sweep scales them to the source
 targets, then to the language targets, then to the topic targets. A cell's fitted share over its own tokens is the weight of
-its documents; the largest common factor that keeps the expected tokens at the wanted fraction of the corpus without any
-probability above 1 turns weights into sampling probabilities, and a document stays if a hash of its doc_id is below its own.
+its documents; times the wanted fraction of the corpus it is how often a document is wanted, which may be more than once.
+
+Two samples come of it. `copies` is that number, its fraction settled by a hash of doc_id: repeated_sample() has each document
+so often and meets the targets. `sampled` has no document twice: probabilities end at 1, and what full cells leave over goes to
+the others by their own weights. It keeps the expected tokens but misses the targets where cells are full; reached_margins()
+tells by how much.
 
 Targets are shares by value; a value without a given target gets the tempered share of its tokens (tokens^temperature, over
 what the given targets leave). Null sources and languages are values of their own (shown as null); null text has no tokens
@@ -109,16 +113,44 @@ def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction:
 
 
 def mix_documents(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) -> the same columns, tokens, topic, weight, probability, sampled: all rows.
+    """docs (doc_id, text, lang, source, n_chars) -> the same columns, tokens, topic, weight, probability, sampled, copies: all rows.
 
     weight is the fitted share of the document's cell over its tokens, times all tokens: 1 where the mix is as wanted.
+    copies is weight times fraction, rounded up if a hash of doc_id is below what is left of it, else down.
     """
     rows = pick(docs, *DOCUMENT_COLUMNS).withColumns({"tokens": tokens(F.col("text")), "topic": topic(F.col("text"))})
     cells, small = fitted_cells(rows.select(*DIMENSIONS, "tokens"), given or {}, fraction, temperature, sweeps)
     total = cells.agg(F.sum("n")).first()[0] or 0
     own = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], (F.col("share") * F.lit(float(total)) / F.col("n")).alias("weight"), "probability")
     met = rows.join(F.broadcast(own) if small else own, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("topic") == F.col("_topic")))
-    return met.drop(*[f"_{d}" for d in DIMENSIONS]).withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability"))
+    return met.drop(*[f"_{d}" for d in DIMENSIONS]).withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability")).withColumn("copies", copies(F.col("doc_id"), F.lit(fraction) * F.col("weight")))
+
+
+def copies(doc_id: Column, rate: Column) -> Column:
+    """How often a document stands in the sample that meets the targets: rate in the mean."""
+    return (F.floor(rate) + (uniform(doc_id) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def repeated_sample(docs: DataFrame, **options) -> DataFrame:
+    """The sample that meets the targets: each document `copies` times, columns of documents; options of mix_documents()."""
+    mixed = mix_documents(docs, **options).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*DOCUMENT_COLUMNS)
+
+
+def reached_margins(mixed: DataFrame) -> DataFrame:
+    """mix_documents() -> dimension, value and its shares of tokens: plain, wanted, expected, drawn, repeated.
+
+    wanted is the fitted mix; expected and drawn are of `sampled`, before and after the draw; repeated is of repeated_sample().
+    """
+    shares = {"plain": F.lit(1.0), "wanted": F.col("weight"), "expected": F.col("probability"), "drawn": F.col("sampled").cast("double"), "repeated": F.col("copies").cast("double")}
+    sums = written(mixed.groupBy(*DIMENSIONS).agg(*[F.sum(F.col("tokens") * c).alias(k) for k, c in shares.items()]), "margins")
+    whole = sums.agg(*[F.sum(k).alias(f"_{k}") for k in shares])
+    out = None
+    for d in DIMENSIONS:
+        one = sums.groupBy(F.col(d).alias("value")).agg(*[F.sum(k).alias(k) for k in shares]).crossJoin(F.broadcast(whole))
+        one = one.select(F.lit(d).alias("dimension"), "value", *[F.try_divide(k, f"_{k}").alias(k) for k in shares])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

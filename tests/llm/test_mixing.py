@@ -65,3 +65,32 @@ def test_edges(spark):
     assert sorted((r["doc_id"] or 0, r["tokens"], r["topic"]) for r in got) == [(0, 1, "brief"), (1, 1, "brief"), (3, 2, "brief"), (3, 2, "brief"), (4, 100_000, "prose")]
     assert len({(r["probability"], r["sampled"]) for r in got if r["doc_id"] == 3}) == 1
     assert mx.mix_documents(frame.limit(0)).count() == 0
+
+
+def test_repeated_sample_meets_the_targets(docs):
+    given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}
+    mixed = mx.mix_documents(docs, given, sweeps=60)
+    rows = mixed.collect()
+    assert max(r["copies"] for r in rows) > 1  # scarce cells are wanted more than once
+    for d in mx.DIMENSIONS:
+        for value in {r[d] for r in rows}:
+            own = [(r["tokens"], mx.FRACTION * r["weight"], r["copies"]) for r in rows if r[d] == value]
+            spread = math.sqrt(sum(n * n * (x % 1) * (1 - x % 1) for n, x, _ in own))
+            assert abs(sum(n * (k - x) for n, x, k in own)) < 4 * spread + 1e-6
+    assert abs(sum(r["weight"] * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows) - 1) < 1e-6
+    sample = mx.repeated_sample(docs, given=given, sweeps=60)
+    assert sample.columns == list(mx.DOCUMENT_COLUMNS)
+    counts = {r["doc_id"]: r["count"] for r in sample.groupBy("doc_id").count().collect()}
+    assert counts == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
+
+
+def test_reached_margins_are_told(docs):
+    mixed = mx.mix_documents(docs)
+    rows = mixed.collect()
+    got = {(r["dimension"], r["value"]): r for r in mx.reached_margins(mixed).collect()}
+    kinds = {"plain": lambda r: 1, "wanted": lambda r: r["weight"], "expected": lambda r: r["probability"], "drawn": lambda r: r["sampled"], "repeated": lambda r: r["copies"]}
+    for d in mx.DIMENSIONS:
+        for kind, value in kinds.items():
+            want = margins(rows, d, lambda r: value(r) * r["tokens"])  # noqa: B023
+            assert all(abs(got[d, k][kind] - v) < 1e-9 for k, v in want.items())
+    assert mx.reached_margins(mixed.limit(0)).count() == 0
