@@ -1,9 +1,10 @@
-"""Near-duplicates by ProbMinHash: weighted word shingles, early-stopped Poisson arrivals, banding, exact verification.
+"""Near-duplicates by ProbMinHash: word shingles, early-stopped Poisson arrivals, banding, exact verification.
 
-A document's shingles are runs of five words (fewer than five words make one shingle), each weighted 1 + ln(count). Every
-shingle is a Poisson process whose rate is its weight; each arrival falls on one of M components, and a component keeps the
-shingle that arrived there first. Two documents agree on a component with probability J_P, the probability Jaccard
-similarity of their weighted shingles. Arrivals past the latest of a document's first arrivals cannot change anything, so
+A document's shingles are runs of five words (fewer than five words make one shingle). Every shingle is a Poisson process
+whose rate is its weight; each arrival falls on one of M components, and a component keeps the shingle that arrived there
+first. Two documents agree on a component with probability J_P, the probability Jaccard similarity of their weighted
+shingles. As links are decided by sets, every weight is 1, however often a shingle is repeated: J_P is then the Jaccard
+similarity itself, so what steers the candidates is what decides. Arrivals past the latest of a document's first arrivals cannot change anything, so
 generation stops there.
 
 Equal texts are one node. Nodes that agree on a whole band share a bucket. Links are found in two steps, so that a group of
@@ -88,10 +89,6 @@ def shingles(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(total), return_counts=True)
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.log(counts)
-
-
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int = M) -> np.ndarray:
     """ProbMinHash of each (hashes, weights): one row of m 32-bit element marks; all 0 for an empty set."""
     sizes = [len(h) for h, _ in sets]
@@ -169,7 +166,7 @@ def sign(texts: DataFrame) -> DataFrame:
                 b = whole.slice(i, 500)
                 found = [shingles(t.as_py(), hasher) for t in b.column("text")]
                 b = b.filter(pa.array([len(h) > 0 for h, _ in found], pa.bool_()))
-                marks = signatures([(h, weights(n)) for h, n in found if len(h)])
+                marks = signatures([(h, np.ones(len(h))) for h, _ in found if len(h)])
                 low = [m.tobytes() for m in marks.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(low, pa.binary()), pa.array(list(band_keys(marks)), pa.list_(pa.int64()))], ["node", "copies", "marks", "bands"])
 

@@ -114,3 +114,13 @@ def test_hot_bucket_is_cut_in_blocks(spark, monkeypatch):
     assert got == brute(texts)
 
 
+def test_repeats_do_not_hide_links(spark):
+    rng = np.random.default_rng(11)
+    texts: dict[int, str | None] = {}
+    for n, line, times in [(100, 30, 50), (40, 20, 20), (200, 60, 20), (60, 40, 200)] * 5:
+        head, repeated = (["w%d" % x for x in rng.integers(0, 10**6, k)] for k in (n, line))
+        for k in (1, times):  # one set of shingles but for those across the joints, very unequal counts
+            texts[len(texts)] = " ".join(head + repeated * k)
+    want = brute(texts)
+    assert len(set(want.values())) <= len(texts) * 3 // 4
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame(spark, texts)).collect()} == want
