@@ -254,29 +254,29 @@ def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least:
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = labelled.join(written(mixed, "mixed"), F.col("key") == F.col("_key")).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     members = members.join(signed.select(F.col("node").alias("_node"), "marks", "bands"), F.col("node") == F.col("_node"))
-    # the number of the bucket's band: it is the pair's only if no earlier band agrees
+    # the number of the bucket's band: the pair is this bucket's only if no earlier band has one key
     members = members.withColumn("band", F.array_position("bands", F.col("key")) - 1)
-    blocks = members.groupBy("key", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "marks")).alias("x"))
+    blocks = members.groupBy("key", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "marks", "bands")).alias("x"))
     left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     right = blocks.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("x").alias("y"))
     met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("other") == F.col("_block"))).select("band", (F.col("block") == F.col("other")).alias("same"), "x", "y")
 
-    def unpack(column: list[dict]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        marks = np.frombuffer(b"".join(e["marks"] for e in column), np.uint8).reshape(len(column), M)
-        return [e["node"] for e in column], np.array([e["label"] for e in column], "V16"), marks
+    def unpack(column: pa.StructArray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        node, label, marks = (column.field(c).to_pylist() for c in ("node", "label", "marks"))
+        bands = column.field("bands").flatten().to_numpy().reshape(len(column), BANDS)
+        return node, np.array(label, "V16"), np.frombuffer(b"".join(marks), np.uint8).reshape(len(column), M), bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for band, same, x, y in zip(*(batch.column(c) for c in ("band", "same", "x", "y")), strict=True):
                 band, same = band.as_py(), same.as_py()
-                nx, lx, mx = unpack(x.as_py())
-                ny, ly, my = (nx, lx, mx) if same else unpack(y.as_py())  # x and y need not list a block in one order
+                nx, lx, mx, bx = unpack(x.values)
+                ny, ly, my, by = (nx, lx, mx, bx) if same else unpack(y.values)  # x and y need not list a block in one order
                 for i in range(len(nx)):  # a node against the whole other block
                     lo = i + 1 if same else 0
-                    agree = mx[i] == my[lo:]
-                    whole = agree[:, :BANDED].reshape(-1, BANDS, ROWS).all(2)
-                    hit = (agree.mean(1) >= least) & (whole.argmax(1) == band) & (lx[i] != ly[lo:])
+                    # marks are low bytes only, so they do not tell which buckets a pair shares
+                    hit = ((mx[i] == my[lo:]).mean(1) >= least) & ((bx[i] == by[lo:]).argmax(1) == band) & (lx[i] != ly[lo:])
                     for j in np.flatnonzero(hit):
                         a.append(nx[i])
                         b.append(ny[lo + j])

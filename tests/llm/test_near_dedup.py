@@ -124,3 +124,14 @@ def test_repeats_do_not_hide_links(spark):
     want = brute(texts)
     assert len(set(want.values())) <= len(texts) * 3 // 4
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame(spark, texts)).collect()} == want
+
+
+def test_low_bytes_do_not_choose_the_band(spark):
+    """An earlier band whose marks agree in their low bytes only is no bucket of the pair."""
+    a, b, marks = bytes(16), b"b" * 16, bytes(nd.M)
+    one, other = list(range(100, 100 + nd.BANDS)), list(range(200, 200 + nd.BANDS))
+    one[5], one[9] = other[5], other[9] = 7, 8  # all bands agree in low bytes, only these have one key
+    signed = spark.createDataFrame([(a, 1, marks, one), (b, 1, marks, other)], "node binary, copies long, marks binary, bands array<long>")
+    none = spark.createDataFrame([], "node binary, label binary")
+    got = nd.cross_pairs(nd.shared_buckets(signed), signed, none, nd.LEAST_ESTIMATE).collect()
+    assert [{bytes(r["a"]), bytes(r["b"])} for r in got] == [{a, b}]
