@@ -26,7 +26,9 @@ BLOCK_TAGS = frozenset(
     "head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "title")
+#: What stands in these is no text of the page. Unclosed, the first run to its end; the others are elements like any other.
+RAW_TAGS = ("script", "style", "textarea", "title")
+CLOSED_TAGS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "iframe", "svg", "canvas", "object")}
 BOILER_TAGS = frozenset("nav footer aside form menu button select label fieldset dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 SHELL_TAGS = frozenset("html body main article".split())
@@ -41,7 +43,7 @@ BOILER_WORDS = frozenset(
 HEADER_WORDS = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
@@ -83,8 +85,8 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, total, min(1.0, linked / total), int(depth["boiler"] > 0), int(depth["main"] > 0), int(depth["heading"] > 0), label))
         parts.clear()
 
-    at = 0
-    for m in _TOKEN.finditer(page):
+    at, unclosed = 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append((depth["a"] > 0, page[at : m.start()]))
         at = m.end()
@@ -94,6 +96,12 @@ def blocks(page: str) -> list[Block]:
                 parts.append((depth["a"] > 0, " ")) if m[1].lower() != "title" else flush()
             continue
         closing, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
+        if tag in CLOSED_TAGS and not closing and tag not in unclosed and not (tag == "svg" and attrs.endswith("/")):
+            if end := CLOSED_TAGS[tag].search(page, at):
+                at = end.end()
+                parts.append((depth["a"] > 0, " "))
+                continue
+            unclosed.add(tag)  # there is none further on
         if tag in BLOCK_TAGS:
             flush()
         if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:

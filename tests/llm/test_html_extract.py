@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -29,6 +30,28 @@ def test_pages(page):
     assert he.main_text(page, he.model()) == PAGES[page]
 
 
+UNCUT = {
+    '<article><p>one <svg-icon name="a"></svg-icon> two</p><p>three</p></article>': "one two\nthree",
+    **{f"<article><p>one <{t}></{t}> two</p><p>three</p></article>": "one two\nthree" for t in ("template-part", "object-viewer", "title-bar", "style-guide", "script-x", "canvas-view")},
+    **{f"<article><p>one <{t} id=x> two</p><p>three</p></article>": "one two\nthree" for t in ("object", "iframe", "canvas", "noscript", "svg", "template")},
+    f"<article><p>{PROSE} <svg/> a</p><p>b <svg viewBox='0'/>c <SVG><title>no</title></SVG >d</p></article>": f"{PROSE} a\nb c d",
+    f"<article><p>{PROSE}</p><iframe>no</iframe><p>a</p><object>b</article>": f"{PROSE}\na\nb",
+    f"<article><p>{PROSE}</p><script\nx>no<p>no": PROSE,
+}
+
+
+@pytest.mark.parametrize("page", UNCUT)
+def test_only_raw_elements_are_cut(page):
+    assert he.main_text(page, he.model()) == UNCUT[page]
+
+
+def test_many_unclosed_elements_take_one_pass():
+    page = f"<article><p>{PROSE}</p>" + "<object>" * 50_000 + "</article>"
+    start = time.process_time()
+    assert he.main_text(page, he.model()) == PROSE
+    assert time.process_time() - start < 20
+
+
 def test_tree_learns_its_table():
     found = [he.blocks(p) for p in he.TRAINING_PAGES]
     for bs in found:
