@@ -4,9 +4,9 @@ A text is read as its UTF-8 bytes in windows of WINDOW bytes; both directions of
 window, a softmax layer labels every position, and a document's probabilities are the mean over its positions. The whole
 text is read, whatever its length: windows keep the state that a step holds bounded.
 
-Training is by backpropagation through time on a bounded sample: at most `per_language` documents of each label, and at most
-`windows_per_document` windows of each, picked by a hash of doc_id, so the sample does not depend on partitioning. The first is
-a documented bound; everything else covers all rows.
+Training is by backpropagation through time on a bounded sample: at most `per_language` documents of each label, picked by a
+hash of doc_id, and at most `windows_per_document` windows of each, picked by a hash of doc_id and window number from all of
+its text, so the sample does not depend on partitioning. Both are documented bounds; everything else covers all rows.
 
 Null texts and texts without letters are `und` with score 0. Where there is no label to learn from, every document is `und`.
 """
@@ -235,15 +235,24 @@ def training_rows(docs: DataFrame, per_language: int, salt: str = "lid") -> Data
     return able.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
+def training_windows(rows: DataFrame, windows_per_document: int) -> DataFrame:
+    """rows (doc_id, text, lang) -> doc_id, lang, pieces: at most so many windows of a text, in its order, wherever they stand in it."""
+    raw = pick(rows, "doc_id", "lang", "text").select("doc_id", "lang", F.col("text").cast("binary").alias("raw"))
+    last = F.ceil(F.octet_length("raw") / WINDOW).cast("int") - 1
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.struct(F.xxhash64("doc_id", k, F.lit("window")).alias("h"), k.alias("k"))))
+    picked = F.array_sort(F.slice(ranked, 1, windows_per_document).getField("k"))
+    return raw.select("doc_id", "lang", F.transform(picked, lambda k: F.substring(F.col("raw"), k * WINDOW + 1, F.lit(WINDOW))).alias("pieces"))
+
+
 def fit(docs: DataFrame, per_language: int = 150, windows_per_document: int = 12, **options) -> Net | None:
     """The network for docs (doc_id, text, lang), or None if no row may be learnt from.
 
     The driver receives the sample only: per_language documents a label, of each at most windows_per_document windows.
     """
-    size = WINDOW * windows_per_document
-    sample = training_rows(docs, per_language).select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, size).alias("raw")).toPandas()
+    sample = training_windows(training_rows(docs, per_language), windows_per_document).toPandas()
     if not len(sample):
         return None
+    sample["raw"] = [b"".join(map(bytes, x)) for x in sample["pieces"]]  # only a text's last window may be short
     sample = sample.sort_values(["lang", "doc_id", "raw"], ignore_index=True)
     languages = tuple(sorted(sample["lang"].unique()))
     cuts = [cut(bytes(r)) for r in sample["raw"]]

@@ -75,3 +75,26 @@ def test_edges(spark, docs):
     assert [r["lang_pred"] for r in li.identify(few.limit(2), None).collect()] == ["und", "und"]
     assert li.identify(few.limit(0), net).count() == 0
     assert li.keep_identified(few, None).count() == 0
+
+
+def test_windows_are_drawn_from_the_whole_text(spark):
+    texts = {i: "".join(f"{k:07d} " for k in range(1600)) for i in range(40)} | {90: "short é", 91: "x" * 300}
+    rows = [(i, t, "en", "s", 1, "x") for i, t in texts.items()]
+    got = {r["doc_id"]: [bytes(p) for p in r["pieces"]] for r in li.training_windows(spark.createDataFrame(rows, SCHEMA), 12).collect()}
+    assert got[90] == ["short é".encode()] and b"".join(got[91]) == b"x" * 300
+    at = {i: [int(p[:7]) // 16 for p in got[i]] for i in range(40)}
+    assert all(len(set(x)) == 12 and x == sorted(x) for x in at.values())
+    met = {k for x in at.values() for k in x}
+    assert len(met) > 90 and max(met) == 99  # of 100 windows
+
+
+def test_learns_past_a_shared_opening(spark):
+    rng = np.random.default_rng(2)
+    draw = lambda words, n: " ".join(rng.choice(words.split(), n))
+    opening = draw("all rights reserved terms of use and notices", 400)  # over 1,536 bytes
+    bodies = {"de": "der die und nicht ein auch sich mit auf dem", "en": "the of and not with which also this that were", "fr": "les des une dans pour avec sur est pas qui"}
+    rows = [(i, opening + " " + draw(bodies[x], 1500), x, "s", 1, "x") for i in range(90) for x in [sorted(bodies)[i % 3]]]
+    net = li.fit(spark.createDataFrame(rows, SCHEMA))
+    bare = [(x, draw(words, 200).encode()) for x, words in bodies.items() for _ in range(5)]
+    best = li.predict(net, [t for _, t in bare]).argmax(1)
+    assert [net.languages[k] for k in best] == [x for x, _ in bare]
