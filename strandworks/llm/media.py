@@ -45,8 +45,18 @@ def _riff(b: bytes, at: int, form: bytes) -> int | None:
 
 
 def wav_length(b: bytes, at: int) -> int | None:
-    n = _riff(b, at, b"WAVE")
-    return n if n and b[at + 12 : at + 16] == b"fmt " and b[at + 36 : at + 40] in (b"data", b"LIST", b"fact") else None
+    """RIFF chunks in any number and order, but one fmt of 16 bytes or more before one data."""
+    if not (n := _riff(b, at, b"WAVE")):
+        return None
+    p, kinds = at + 12, []
+    while p < at + n:
+        kind, size = b[p : p + 4], int.from_bytes(b[p + 4 : p + 8], "little")
+        if kind in (b"fmt ", b"data"):
+            kinds.append(kind)
+            if kind == b"fmt " and size < 16:
+                return None
+        p += 8 + size + (size & 1)
+    return n if kinds == [b"fmt ", b"data"] else None
 
 
 def webp_length(b: bytes, at: int) -> int | None:

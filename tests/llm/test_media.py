@@ -80,3 +80,14 @@ def test_documents_round_trip(spark):
         x = np.frombuffer(padded, np.uint8).astype(float)
         assert f"mean={x.mean():.4f} rms={np.sqrt(((x - 128) ** 2).mean()):.4f}" in r["feature"] and r["corrected_type"] == "audio/wav"
     assert me.read_media(me.media_documents(docs.limit(0))).count() == 0
+
+
+def test_wav_chunks_in_other_layouts():
+    chunk = lambda kind, data: kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+    riff = lambda *chunks: b"RIFF" + struct.pack("<I", 4 + len(b"".join(chunks))) + b"WAVE" + b"".join(chunks)
+    fmt, data = (lambda n: chunk(b"fmt ", struct.pack("<HHIIHH", 1, 1, 8000, 8000, 1, 8) + bytes(n - 16))), chunk(b"data", b"\x80" * 8)
+    for good in (riff(fmt(18), data), riff(fmt(40), data), riff(chunk(b"JUNK", bytes(27)), fmt(16), data), riff(chunk(b"bext", bytes(602)), fmt(16), chunk(b"cue ", bytes(4)), data)):
+        found = me.sniff(good)
+        assert found == [me.Found(0, len(good), "audio/wav")] and me.wav_samples(good, found) == b"\x80" * 8
+    for bad in (riff(data, fmt(16)), riff(fmt(16)), riff(data), riff(chunk(b"fmt ", bytes(14)), data), riff(fmt(16), data, data), riff(fmt(16), fmt(16), data)):
+        assert not me.sniff(bad)
