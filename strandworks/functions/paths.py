@@ -4,14 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+@cache
+def own_folder(application: str) -> str:
+    """A temporary folder of this machine, one for each application."""
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the session names none."""
+    """A new path in the folder that driver and executors share, which spark.checkpoint.dir names.
+
+    Where the session names none, a temporary folder serves, but only if the executors are threads of the driver; on a
+    cluster that is an error, as its machines would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        root = own_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

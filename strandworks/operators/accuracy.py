@@ -11,39 +11,43 @@ def alignment_identity(alignments: DataFrame) -> DataFrame:
     return alignments.withColumn("identity", F.try_divide(F.col("matches").cast("double"), F.col("block_len").cast("double")))
 
 
+def quantile(p: float, approximate: int | None = None) -> Column:
+    """A quantile of identity, exact unless an accuracy is given.
+
+    An exact one holds every distinct identity of a group in one task; where identities rarely repeat and a group is very
+    large, give an accuracy: the rank is then off by at most 1 / accuracy of the group, and its sketches stay small.
+    """
+    return F.percentile_approx("identity", p, approximate) if approximate else F.percentile("identity", F.lit(p))
+
+
 def summaries(approximate: int | None = None) -> list[Column]:
-    """mean, sstdev, q1, median, q3 and n of identity; quantiles exact unless an accuracy is given."""
-    quantile = lambda p: F.percentile_approx("identity", p, approximate) if approximate else F.percentile("identity", F.lit(p))
+    """mean, sstdev, q1, median, q3 and n of identity."""
     return [
         F.avg("identity").alias("mean"),
         F.stddev_samp("identity").alias("sstdev"),
-        quantile(0.25).alias("q1"),
-        quantile(0.5).alias("median"),
-        quantile(0.75).alias("q3"),
+        quantile(0.25, approximate).alias("q1"),
+        quantile(0.5, approximate).alias("median"),
+        quantile(0.75, approximate).alias("q3"),
         F.count("identity").alias("n"),
     ]
 
 
 def identity_summary(alignments: DataFrame, groups: tuple[str, ...] = (), approximate: int | None = None) -> DataFrame:
-    """alignments (groups, identity) -> groups, mean, sstdev, q1, median, q3, n.
-
-    Exact quantiles count equal identities before they leave a task; where identities rarely repeat and a group is very
-    large, give an accuracy for percentile_approx.
-    """
+    """alignments (groups, identity) -> groups, mean, sstdev, q1, median, q3, n; approximate as in quantile()."""
     return alignments.groupBy(*groups).agg(*summaries(approximate))
 
 
-def compare_runs(alignments: DataFrame, callers: tuple[str, ...], model: str = "model", caller: str = "caller") -> DataFrame:
-    """alignments (model, caller, identity) -> a row a model, <caller>_mean and <caller>_median of each caller."""
-    return alignments.groupBy(model).pivot(caller, list(callers)).agg(F.avg("identity").alias("mean"), F.percentile("identity", F.lit(0.5)).alias("median"))
+def compare_runs(alignments: DataFrame, callers: tuple[str, ...], model: str = "model", caller: str = "caller", approximate: int | None = None) -> DataFrame:
+    """alignments (model, caller, identity) -> a row a model, <caller>_mean and <caller>_median of each caller; approximate as in quantile()."""
+    return alignments.groupBy(model).pivot(caller, list(callers)).agg(F.avg("identity").alias("mean"), quantile(0.5, approximate).alias("median"))
 
 
-def accuracy_gate(alignments: DataFrame, thresholds: DataFrame, model: str = "model") -> DataFrame:
-    """alignments (model, identity), thresholds (model, threshold) -> model, median, threshold, status.
+def accuracy_gate(alignments: DataFrame, thresholds: DataFrame, model: str = "model", approximate: int | None = None) -> DataFrame:
+    """alignments (model, identity), thresholds (model, threshold) -> model, median, threshold, status; approximate as in quantile().
 
     status: pass, fail, or unknown_model for a model without a threshold.
     """
-    medians = alignments.groupBy(model).agg(F.percentile("identity", F.lit(0.5)).alias("median"))
+    medians = alignments.groupBy(model).agg(quantile(0.5, approximate).alias("median"))
     status = F.when(F.col("threshold").isNull(), "unknown_model").when(F.col("median") >= F.col("threshold"), "pass").otherwise("fail")
     return medians.join(thresholds, model, "left").select(model, "median", "threshold", status.alias("status"))
 

@@ -48,12 +48,21 @@ def integrity_rules(reads: DataFrame) -> dict[str, Column]:
     return rules
 
 
+def broken_rules(reads: DataFrame) -> Column:
+    """Names of the rules that a read breaks, comma-joined."""
+    return F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in integrity_rules(reads).items()])
+
+
+def require_whole(reads: DataFrame) -> DataFrame:
+    """reads as they are; one that breaks a rule ends the job, whichever columns are asked for."""
+    error = F.raise_error(F.concat(F.lit("read "), F.coalesce("read_id", F.lit("?")), F.lit(": "), broken_rules(reads))).cast("boolean")
+    return reads.where(F.when(broken_rules(reads) != "", error).otherwise(F.lit(True)))
+
+
 def check_reads(reads: DataFrame, strict: bool = False) -> DataFrame:
     """How many reads break each rule (rule, n_reads), rules that none breaks included; strict: the first one ends the job."""
     rules = integrity_rules(reads)
     if strict:
-        broken = F.concat_ws(",", *[F.when(c, F.lit(n)) for n, c in rules.items()])
-        error = F.raise_error(F.concat(F.lit("read "), F.coalesce("read_id", F.lit("?")), F.lit(": "), broken)).cast("boolean")
-        rules = {n: F.when(broken != "", error).otherwise(c) for n, c in rules.items()}
+        reads = require_whole(reads)
     counts = reads.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_reads")) for n in rules])))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import JobParams
@@ -54,7 +54,31 @@ def step_caller() -> Model:
     return call
 
 
-def emit_bases(scored: DataFrame) -> DataFrame:
-    """scored chunks with num_bases = sum(moves), and seq and qstring cut to that many characters."""
-    count = F.aggregate("moves", F.lit(0), lambda a, m: a + m)
-    return scored.withColumn("num_bases", count).withColumns({c: F.substring(c, F.lit(1), F.col("num_bases")) for c in ("seq", "qstring")})
+def call_rules(scored: DataFrame) -> dict[str, Column]:
+    """What a decoder may not return, by name, true where broken: moves, seq and qstring of a chunk as score_chunks() gives them."""
+    count = F.coalesce(moved("moves"), F.lit(0))
+    bases, qualities = (F.least(F.coalesce(F.length(c), F.lit(0)), count) for c in ("seq", "qstring"))
+    return {
+        "more_bases_than_steps": count > F.coalesce(F.size("moves"), F.lit(0)),
+        "empty_sequence": bases == 0,
+        "empty_qualities": qualities == 0,
+        "lengths_differ": (bases != count) | (qualities != count),
+    }
+
+
+def moved(moves: str) -> Column:
+    return F.aggregate(moves, F.lit(0), lambda a, m: a + m)
+
+
+def emit_bases(scored: DataFrame, mode: str = "failfast", tolerate: tuple[str, ...] = ()) -> DataFrame:
+    """scored chunks with num_bases = sum(moves), and seq and qstring cut to that many characters.
+
+    A chunk that breaks one of call_rules() ends the job; mode flag keeps it and lists what it breaks in a column broken.
+    Rules in tolerate are not looked at: a model that finds no base in noise needs that of empty sequences and qualities.
+    """
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in call_rules(scored).items() if n not in tolerate]))
+    checked = scored.withColumn("broken", broken)
+    if mode == "failfast":
+        error = F.raise_error(F.concat(F.lit("a decoder's output breaks: "), F.array_join("broken", ", "))).cast("boolean")
+        checked = checked.where(F.when(F.size("broken") > 0, error).otherwise(F.lit(True))).drop("broken")  # in a filter, so that no plan prunes it
+    return checked.withColumn("num_bases", moved("moves")).withColumns({c: F.substring(c, F.lit(1), F.col("num_bases")) for c in ("seq", "qstring")})

@@ -24,10 +24,9 @@ class JobParams:
     stride: int = 1
     batch_chunks: int = 500
     batch_reads: int = 2_000
-    batch_bytes: int = 500_000_000
 
     def __post_init__(self) -> None:
-        for name in ("chunk_size", "overlap", "stride", "batch_chunks", "batch_reads", "batch_bytes"):
+        for name in ("chunk_size", "overlap", "stride", "batch_chunks", "batch_reads"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
         if self.overlap >= self.samples:

@@ -15,14 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A read has the events of one user among so many events at most, so no user's read grows with the table.
+READ_EVENTS = 1 << 20
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read per user of events: its values in order of time, rounded down, are the raw signal."""
-    events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", F.floor("value").cast("smallint").alias("v")).alias("e"))
+    """A read per user and block of event ids: its values in order of time, rounded down, are the raw signal."""
+    block = F.floor(F.col("event_id") / READ_EVENTS).cast("long")
+    events = table(spark, sf_dir, "events").select("user_id", block.alias("block"), F.struct("ts", "event_id", F.floor("value").cast("smallint").alias("v")).alias("e"))
     return (
-        events.groupBy("user_id")
+        events.groupBy("user_id", "block")
         .agg(F.array_sort(F.collect_list("e")).alias("e"))
         .select(
-            F.col("user_id").cast("string").alias("read_id"),
+            F.concat_ws(".", F.col("user_id").cast("string"), F.col("block").cast("string")).alias("read_id"),
             (F.col("user_id") % 4).alias("read_group"),
             F.lit(2048.0).alias("digitisation"),
             (-(F.col("user_id") % 256)).cast("double").alias("offset"),
@@ -34,13 +39,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-READS_SQL = """reads AS (SELECT user_id, user_id::VARCHAR AS read_id, user_id % 4 AS read_group, 2048.0::DOUBLE AS digitisation, (-(user_id % 256))::DOUBLE AS "offset", 748.58::DOUBLE AS "range",
-  4000.0::DOUBLE AS sampling_rate, count(*)::BIGINT AS len_raw_signal, list(floor(value)::SMALLINT ORDER BY ts, event_id) AS raw_signal FROM events GROUP BY user_id)"""
+READS_SQL = f"""reads AS (SELECT user_id, user_id || '.' || event_id // {READ_EVENTS} AS read_id, user_id % 4 AS read_group, 2048.0::DOUBLE AS digitisation, (-(user_id % 256))::DOUBLE AS "offset", 748.58::DOUBLE AS "range",
+  4000.0::DOUBLE AS sampling_rate, count(*)::BIGINT AS len_raw_signal, list(floor(value)::SMALLINT ORDER BY ts, event_id) AS raw_signal FROM events GROUP BY user_id, event_id // {READ_EVENTS})"""
 
 
 def some_empty(frame: DataFrame) -> DataFrame:
     """Reads of which every fifth has lost its samples."""
-    lost = F.col("read_id").cast("long") % 5 == 0
+    lost = F.substring_index("read_id", ".", 1).cast("long") % 5 == 0
     return frame.withColumns({"raw_signal": F.when(lost, F.array().cast("array<smallint>")).otherwise(F.col("raw_signal")), "len_raw_signal": F.when(lost, F.lit(0)).otherwise(F.col("len_raw_signal")).cast("long")})
 
 

@@ -177,13 +177,20 @@ def qscore_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: signals to records. Chunks, calls, stitched and checked reads, their scores."""
-    stitched = assemble.stitch_reads(infer.emit_bases(scored(spark, sf_dir)), px.CHUNK_PARAMS)
-    return quality.read_qscore(fastq_ready(stitched)).select("read_id", F.length("seq").alias("n_bases"), F.round("qscore", 6).alias("qscore"))
-
-
-def fastq_ready(reads: DataFrame) -> DataFrame:
-    return reads.where(F.length("seq") > 0)
+    """The flagship, signals to records: every read-level step in order, from raw samples to scored FASTQ records.
+
+    Empty reads go; signals are calibrated, normalised, cut in chunks and scored; calls are checked, stitched, oriented by
+    the sample type that the model's name tells, checked again, and written as records with their score.
+    """
+    model = F.when(F.col("read_group") % 2 == 0, "dna_r10.4.1_e8.2_400bps_hac@v5.0.0").otherwise("rna004_130bps_hac@v5.1.0")
+    reads = accuracy.sample_type(signal.drop_empty_reads(px.some_empty(px.reads(spark, sf_dir))).withColumn("model", model))
+    signals = signal.normalize_signal(signal.calibrate_signal(reads)).select("read_id", "sample_type", "len_raw_signal", "signal")
+    scores = infer.score_chunks(signal.chunk_signal(signals, px.READ_PARAMS), infer.step_caller, px.READ_PARAMS)
+    called = infer.emit_bases(scores, tolerate=("empty_sequence", "empty_qualities"))  # step_caller finds no base in a short chunk below the median
+    stitched = assemble.stitch_reads(called, px.READ_PARAMS, ("read_id", "sample_type")).where(F.length("seq") > 0)
+    whole = assemble.require_whole(assemble.orient_reads(stitched, F.col("sample_type") == "rna"))
+    records = quality.read_qscore(whole).withColumn("value", fastq.record_text(F.col("read_id"), F.col("seq"), F.col("qstring")))
+    return records.select("read_id", "sample_type", F.length("seq").alias("n_bases"), "value", F.round("qscore", 6).alias("qscore"))
 
 
 def queries() -> dict[str, Query]:
@@ -275,6 +282,10 @@ SELECT medians.model, round(m, 6) AS median, threshold, CASE WHEN threshold IS N
         "compare_qscores": f"""WITH {px.CALLS_SQL}, {SCORES} SELECT lang, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n, round(avg(abs(a - b)), 6) AS mean_abs_diff,
   count(*) FILTER (WHERE a <> b) AS n_diff, 0::BIGINT AS n_left_only, 0::BIGINT AS n_right_only FROM score GROUP BY lang""",
         "qscore_gate": f"WITH {px.CALLS_SQL}, {SCORES} SELECT lang AS model, round(avg(abs(a - b)), 6) AS mean_abs_diff, CASE WHEN avg(abs(a - b)) <= 0.36 THEN 'pass' ELSE 'fail' END AS status FROM score GROUP BY lang",
-        "call_reads": f"""WITH {px.CHUNKS_SQL}, whole AS (SELECT vec_id::VARCHAR AS read_id, string_agg(q, '' ORDER BY i) FILTER (WHERE x > 0) AS qs FROM called GROUP BY vec_id)
-SELECT read_id, length(qs)::INT AS n_bases, {SCORE.format(q='qs')} AS qscore FROM whole WHERE qs IS NOT NULL""",
+        "call_reads": f"""WITH {px.READS_SQL}, pa AS (SELECT read_id, read_group, list_transform(raw_signal, lambda v: (v + "offset") * "range" / digitisation) AS s FROM reads WHERE user_id % 5 <> 0),
+middle AS (SELECT *, list_aggregate(s, 'median') AS m FROM pa), spread AS (SELECT *, nullif(list_aggregate(list_transform(s, lambda v: abs(v - m)), 'median'), 0) * 1.4826 AS d FROM middle),
+sample AS (SELECT read_id, read_group, unnest(range(len(s))) AS i, (unnest(s) - m) / d AS x FROM spread),
+called AS (SELECT *, CASE WHEN x > 0.1 THEN 'A' WHEN x > 0.05 THEN 'C' ELSE 'G' END AS base, chr((33 + least(40, floor(abs(x) * 100)))::INT) AS q FROM sample WHERE x > 0),
+whole AS (SELECT read_id, read_group % 2 = 1 AS rna, string_agg(base, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS seq, string_agg(q, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS qs FROM called GROUP BY ALL)
+SELECT read_id, CASE WHEN rna THEN 'rna' ELSE 'dna' END AS sample_type, length(seq)::INT AS n_bases, '@' || read_id || chr(10) || seq || chr(10) || '+' || chr(10) || qs AS value, {SCORE.format(q='qs')} AS qscore FROM whole""",
     }

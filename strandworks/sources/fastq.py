@@ -27,11 +27,20 @@ class Split(InputPartition):
     end: int
 
 
+def is_record(lines: list[bytes]) -> bool:
+    return len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1]) == len(lines[3])
+
+
 def records(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int, str, str, str]]:
     """Position, id, bases and qualities of the records that begin at or after start and before end.
 
     A record begins with a line @..., whose next line but one begins with + and whose second and fourth lines are equally
     long. A quality line that begins with @ cannot pass as one: two lines after it stand bases, and no bases begin with +.
+
+    A split that begins inside a file skips the rest of the record before it, three lines at most, to its first record. From
+    there on, and from the beginning of a file, everything but empty lines must be records, also the first one that begins
+    after end: what is none is an error. So a record that a split begins with is looked at by the split before it too, and
+    none can be damaged and passed over as the rest of another.
     """
     at = max(0, start - 1)
     file.seek(at)
@@ -42,19 +51,24 @@ def records(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int, str, st
     def fill() -> None:
         nonlocal at
         while len(window) < 4 and (line := file.readline()):
-            window.append((at, line.rstrip(b"\r\n")))
+            if window or line.strip(b"\r\n"):  # empty lines between records
+                window.append((at, line.rstrip(b"\r\n")))
             at += len(line)
 
     fill()
-    while window and window[0][0] < end:
-        lines = [x[1] for x in window]
-        if len(lines) == 4 and lines[0][:1] == b"@" and lines[2][:1] == b"+" and len(lines[1]) == len(lines[3]):
-            yield window[0][0], lines[0][1:].split(None, 1)[0].decode() if lines[0][1:].strip() else "", lines[1].decode(), lines[3].decode()
-            window.clear()
-        elif window[0][0] == 0 and lines[0]:
-            raise ValueError("the file does not begin with a FASTQ record")
-        else:
-            window.pop(0)
+    passed, began = 0, False
+    while start and window and (passed < 3 or not window[0][1]) and not is_record([x[1] for x in window]):
+        passed += bool(window.pop(0)[1])
+        fill()
+    while window:
+        lines, here = [x[1] for x in window], window[0][0]
+        if here >= end and (not began or is_record(lines)):
+            return
+        if not is_record(lines):
+            raise ValueError(f"no FASTQ record at byte {here}: {lines[0][:60]!r}")
+        began = True
+        yield here, lines[0][1:].split(None, 1)[0].decode() if lines[0][1:].strip() else "", lines[1].decode(), lines[3].decode()
+        window.clear()
         fill()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import written
+
 #: Fixed values of the format: columns and their types, in file order.
 COLUMNS = {
     "read_id": "char*",
@@ -26,28 +28,60 @@ MISSING = "."
 SPARK_TYPES = {"char*": "string", "double": "double", "float": "float", "int32_t": "int", "uint32_t": "bigint", "uint64_t": "bigint", "int64_t": "bigint", "uint8_t": "smallint", "int8_t": "tinyint", "int16_t": "smallint", "uint16_t": "int", "int16_t*": "array<smallint>"}
 
 
-def lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """value and path of every line; splittable by line."""
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{slow5,txt}") if recursive else spark.read
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def columns_of(text: DataFrame) -> dict[str, str]:
-    """Column names and types from the first header found; the search stops there."""
-    names = text.where(F.startswith("value", F.lit("#read_id"))).limit(1).collect()
-    kinds = text.where(F.startswith("value", F.lit("#char*"))).limit(1).collect()
-    if not names or not kinds:
-        raise ValueError("no SLOW5 header line names the columns")
-    return dict(zip(names[0]["value"][1:].split("\t"), kinds[0]["value"][1:].split("\t"), strict=True))
+def layouts(text: DataFrame) -> list[tuple[dict[str, str], list[str]]]:
+    """The headers of lines (value, path): columns with their types, and the files that have them; few layouts as a rule.
+
+    A file whose header names no columns, or names them twice in different ways, is an error.
+    """
+    head = text.where(F.startswith("value", F.lit("#read_id")) | F.startswith("value", F.lit("#char*")))
+    name = F.when(F.startswith("value", F.lit("#read_id")), F.substring("value", 2, 1 << 20))
+    kind = F.when(F.startswith("value", F.lit("#char*")), F.substring("value", 2, 1 << 20))
+    files = head.groupBy("path").agg(F.min(name).alias("names"), F.min(kind).alias("kinds"), ((F.min(name) == F.max(name)) & (F.min(kind) == F.max(kind))).alias("one"))
+    found = files.groupBy("names", "kinds", "one").agg(F.collect_list("path").alias("paths")).collect()
+    if not found or not all(r["one"] for r in found):
+        raise ValueError("no SLOW5 header line names the columns" if not found else f"a SLOW5 header names its columns in part or in several ways: {next(r['paths'][0] for r in found if not r['one'])}")
+    return [(dict(zip(r["names"].split("\t"), r["kinds"].split("\t"), strict=True)), r["paths"]) for r in sorted(found, key=lambda r: r["names"])]
 
 
 def parse(text: DataFrame, columns: dict[str, str] | None = None, mode: str = "failfast") -> DataFrame:
     """Lines (value, and any other columns) -> one row a record, columns found by name.
 
-    failfast: a record that cannot be read ends the job. flag: it gives a row of nulls with _corrupt true.
-    "." is null; an empty raw signal is an empty array; enum ordinals become their labels.
+    Without columns the lines need a column path: each file's own header names its columns, whatever their order there, and
+    a column that a file lacks is null. Types that are not the same in all files are an error.
+    failfast: a record that cannot be read ends the job, whichever columns are asked for. flag: it gives a row of nulls with
+    _corrupt true. "." is null; an empty raw signal is an empty array; enum ordinals become their labels.
     """
-    columns = columns or columns_of(text)
+    if columns is not None:
+        return parse_as(text, columns, mode)
+    found = layouts(text)
+    if len(found) == 1:
+        return parse_as(text, found[0][0], mode)
+    kinds: dict[str, str] = {}
+    for names, _ in found:
+        for n, k in names.items():
+            if spark_type(kinds.setdefault(n, k)) != spark_type(k):
+                raise ValueError(f"SLOW5 headers disagree about the type of {n}: {kinds[n]} and {k}")
+    others = [c for c in text.columns if c != "value"]
+    whole: DataFrame | None = None
+    for names, paths in found:
+        part = parse_as(text.where(F.col("path").isin(paths)), names, mode)
+        part = part.select(*others, *[F.col(c) if c in names else F.lit(None).cast(spark_type(k)).alias(c) for c, k in kinds.items()], *(["_corrupt"] if mode == "flag" else []))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def spark_type(kind: str) -> str:
+    return "string" if kind.startswith("enum{") else SPARK_TYPES[kind]
+
+
+def parse_as(text: DataFrame, columns: dict[str, str], mode: str) -> DataFrame:
+    """parse() of lines that all have these columns in this order."""
     records = text.where(~F.startswith("value", F.lit("#")) & ~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
     records = records.withColumn("_f", F.split("value", "\t", -1))
     others = [c for c in text.columns if c != "value"]
@@ -69,11 +103,10 @@ def parse(text: DataFrame, columns: dict[str, str] | None = None, mode: str = "f
         if kind == "int16_t*":
             wrong = wrong | F.coalesce(F.exists(name, lambda x: x.isNull()), F.lit(False))
     wrong = wrong | F.coalesce(F.size("raw_signal") != F.col("len_raw_signal"), F.lit(True))
-    names = [*others, *columns]
     if mode == "flag":
         return parsed.select(*others, *[F.when(~wrong, F.col(c)).alias(c) for c in columns], wrong.alias("_corrupt"))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("not a SLOW5 record: "), F.substring("value", 1, 80))).cast("string")).otherwise(F.col("read_id"))
-    return parsed.withColumn("read_id", checked).select(*names)
+    error = F.raise_error(F.concat(F.lit("not a SLOW5 record: "), F.substring("value", 1, 80))).cast("boolean")
+    return parsed.where(F.when(wrong, error).otherwise(F.lit(True))).select(*others, *columns)  # in a filter, so that no plan prunes it
 
 
 def read_slow5(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
@@ -82,10 +115,10 @@ def read_slow5(spark: SparkSession, path: str, mode: str = "failfast") -> DataFr
 
 
 def read_runs(spark: SparkSession, directory: str, mode: str = "failfast") -> DataFrame:
-    """Every file below directory as one job; run is the name of the file's folder, without run= before it."""
+    """Every file below directory as one job, with path and run: the name of the file's folder, without run= before it."""
     text = lines(spark, directory, recursive=True)
     run = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^run=", "")
-    return parse(text.select("value", run.alias("run")), mode=mode)
+    return parse(text.select("value", "path", run.alias("run")), mode=mode)
 
 
 def header_attributes(text: DataFrame) -> DataFrame:
@@ -95,10 +128,17 @@ def header_attributes(text: DataFrame) -> DataFrame:
     return rows.select("path", F.col("g").cast("bigint").alias("read_group"), "attr", F.nullif("v", F.lit(MISSING)).alias("value"))
 
 
+#: Attribute rows up to this many go to every task; more are joined by shuffle.
+FEW_ROWS = 100_000
+
+
 def attach_attributes(reads: DataFrame, header: DataFrame, names: list[str]) -> DataFrame:
-    """reads (path, read_group, ...) with one column a header attribute of names."""
-    wide = header.where(F.col("attr").isin(names)).groupBy("path", "read_group").agg(*[F.max(F.when(F.col("attr") == n, F.col("value"))).alias(n) for n in names])
-    return reads.join(wide, ["path", "read_group"], "left")
+    """reads (path, read_group, ...) with one column a header attribute of names.
+
+    Attributes are gathered first, a row a file and read group, and counted: few are broadcast, so no signal moves.
+    """
+    wide = written(header.where(F.col("attr").isin(names)).groupBy("path", "read_group").agg(*[F.max(F.when(F.col("attr") == n, F.col("value"))).alias(n) for n in names]), "attributes")
+    return reads.join(F.broadcast(wide) if wide.count() <= FEW_ROWS else wide, ["path", "read_group"], "left")
 
 
 def render(reads: DataFrame, columns: dict[str, str] = COLUMNS) -> Column:

@@ -18,6 +18,8 @@ def test_read_scores(spark):
     texts = ["!!!!", "]]]]", "", "I+5?", "\\@+~", "5" * 10_000, None]
     got = [r["qscore"] for r in quality.read_qscore(spark.createDataFrame(list(enumerate(texts)), "i int, qstring string")).orderBy("i").collect()]
     assert got == [pytest.approx(score(q)) if q else None for q in texts] and got[0] == 0 and got[1] == 40
+    with pytest.raises(Exception, match="other characters"):
+        quality.read_qscore(spark.createDataFrame([("I I",)], "qstring string")).collect()
 
 
 def test_compare_and_gate(spark):
@@ -55,8 +57,11 @@ def test_identity_reports(spark):
     assert abs(near["median"] - got["a"]["median"]) <= 0.1
     wide = {r["model"]: r.asDict() for r in accuracy.compare_runs(found, ("x", "y")).collect()}
     assert wide["a"]["x_mean"] == pytest.approx(0.5) and wide["a"]["y_median"] == 0.5 and wide["b"]["y_mean"] is None
+    near = accuracy.compare_runs(found, ("x", "y"), approximate=1000).where("model = 'a'").first()
+    assert abs(near["x_median"] - wide["a"]["x_median"]) <= 0.1
     limits = spark.createDataFrame([("a", 0.5), ("c", 0.1)], "model string, threshold double")
     assert {r["model"]: r["status"] for r in accuracy.accuracy_gate(found, limits).collect()} == {"a": "pass", "b": "unknown_model", "c": "fail"}
+    assert {r["model"]: r["status"] for r in accuracy.accuracy_gate(found, limits, approximate=1000).collect()} == {"a": "pass", "b": "unknown_model", "c": "fail"}
 
 
 def test_model_names(spark):

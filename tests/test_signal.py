@@ -41,7 +41,7 @@ def test_stitched_chunks_equal_the_whole_read(spark, cs, overlap):
     params = JobParams(chunk_size=cs, overlap=overlap)
     x = F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda k: ((k * 37 + F.col("id") * 11) % 101 - 40) / F.lit(400.0))
     reads = spark.range(1, 150).select(F.col("id").cast("string").alias("read_id"), F.col("id").alias("len_raw_signal"), x.alias("signal"))
-    scored = infer.emit_bases(infer.score_chunks(signal.chunk_signal(reads, params).repartition(3), infer.step_caller, params))
+    scored = infer.emit_bases(infer.score_chunks(signal.chunk_signal(reads, params).repartition(3), infer.step_caller, params), tolerate=("empty_sequence", "empty_qualities"))
     got = {r["read_id"]: (r["seq"], r["qstring"]) for r in assemble.stitch_reads(scored, params).collect()}
     import numpy as np
 
@@ -101,3 +101,22 @@ def test_orientation_and_integrity(spark):
     with pytest.raises(Exception, match="read"):
         assemble.check_reads(reads, strict=True).collect()
     assert [r["n_reads"] for r in assemble.check_reads(reads.where("read_id in ('a', 'b')"), strict=True).collect()] == [0, 0, 0]
+
+
+def test_decoder_output_is_checked(spark):
+    rows = [("good", [1, 0, 1], "ACxx", "!+xx"), ("more", [1, 2, 1], "ACGT", "!!!!"), ("none", [0, 0], "", ""), ("short", [1, 1, 1], "AC", "I"), ("lost", [1], None, "!"), ("blank", [1], "A", ""), ("null", None, "A", "!")]
+    scored = spark.createDataFrame(rows, "read_id string, moves array<tinyint>, seq string, qstring string")
+    got = {r["read_id"]: r["broken"] for r in infer.emit_bases(scored, mode="flag").collect()}
+    assert got == {"good": [], "more": ["more_bases_than_steps"], "none": ["empty_sequence", "empty_qualities"], "short": ["lengths_differ"], "lost": ["empty_sequence", "lengths_differ"], "blank": ["empty_qualities", "lengths_differ"], "null": ["empty_sequence", "empty_qualities"]}
+    for bad in ("more", "none", "short", "lost", "blank", "null"):
+        with pytest.raises(Exception, match="a decoder's output breaks"):
+            infer.emit_bases(scored.where(F.col("read_id").isin("good", bad))).select("read_id").collect()
+    only = infer.emit_bases(scored.where("read_id in ('good', 'none')"), tolerate=("empty_sequence", "empty_qualities")).orderBy("read_id").collect()
+    assert [(r["num_bases"], r["seq"], r["qstring"]) for r in only] == [(2, "AC", "!+"), (0, "", "")]
+
+
+def test_whole_reads_pass_unchanged(spark):
+    reads = spark.createDataFrame([("a", "AC", "!+"), ("b", "A", "!!")], "read_id string, seq string, qstring string")
+    assert assemble.require_whole(reads.where("read_id = 'a'")).collect() == reads.where("read_id = 'a'").collect()
+    with pytest.raises(Exception, match="read b: lengths_differ"):
+        assemble.require_whole(reads).select("read_id").count()
