@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import fresh_path
+from ..functions.paths import fresh_path, written
+
+__all__ = ["fresh_path", "lower_ascii", "pick", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,10 +28,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df by way of a Parquet table in the shared folder: lineage ends there, and lost executors lose nothing."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

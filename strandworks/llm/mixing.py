@@ -1,17 +1,20 @@
 """Mixing sources to target weights: iterative proportional fitting and calibrated sampling, in DataFrame functions only.
 
 Documents fall in cells by source, language and topic. Cells' token counts are raked: each sweep scales them to the source
-targets, then to the language targets, then to the topic targets. A cell's fitted share over its own tokens is the weight of
-its documents; times the wanted fraction of the corpus it is how often a document is wanted, which may be more than once.
+targets, then to the language targets, then to the topic targets, until all margins are met. A cell's fitted share over its
+own tokens is the weight of its documents; times the fraction of the corpus it is how often a document is wanted.
 
-Two samples come of it. `copies` is that number, its fraction settled by a hash of doc_id: repeated_sample() has each document
-so often and meets the targets. `sampled` has no document twice: probabilities end at 1, and what full cells leave over goes to
-the others by their own weights. It keeps the expected tokens but misses the targets where cells are full; reached_margins()
-tells by how much.
+The sample has no document twice, and its expected tokens have the target mix: every probability is the weight times one
+factor, the fraction asked for or, where that would make the scarcest cell's probability more than 1, the largest that does
+not. So scarce cells bound the size of the sample, never its mix. Who wants the fraction in any case takes `copies`: weight
+times fraction, rounded up or down by a hash of doc_id, which repeats the documents of scarce cells; repeated_sample() does.
+reached_margins() tells the shares that either has.
 
 Targets are shares by value; a value without a given target gets the tempered share of its tokens (tokens^temperature, over
-what the given targets leave). Null sources and languages are values of their own (shown as null); null text has no tokens
-and counts as one, so that it can be sampled. Repeated rows of a doc_id share their fate. Empty tables give empty results.
+what the given targets leave). Sources and languages are tempered by default; topics, which are forms of text here as the
+tables name none, keep their shares. Null sources and languages are values of their own (shown as null); null text has no
+tokens and counts as one, so that it can be sampled. Repeated rows of a doc_id share their fate. Targets that no weights meet,
+as of values that never meet, are approached until MOST_SWEEPS. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ from pyspark.sql.window import Window
 from .common import DOCUMENT_COLUMNS, pick, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
-SWEEPS = 8
-TEMPERATURE = 0.5
+TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 FRACTION = 0.5
-#: Cell tables up to this size are raked in one partition and broadcast; larger ones are dealt out and joined by shuffle.
+#: Raking ends when no margin is off by more than TOLERANCE, or after MOST_SWEEPS.
+TOLERANCE = 1e-13
+MOST_SWEEPS = 40
+#: Cell tables up to this size are raked in one partition and broadcast; larger ones are dealt out and joined by shuffle. The
+#: result is the same.
 SMALL_CELLS = 20_000
 PLAN_SWEEPS = 8
 
@@ -63,28 +69,20 @@ def targets(cells: DataFrame, dimension: str, given: dict[str, float], temperatu
 
 
 def rake(cells: DataFrame, sweeps: int) -> DataFrame:
-    """cells (dimensions, share, target_*) with share fitted to each dimension's targets in turn, `sweeps` times."""
+    """cells (dimensions, share, target_*) with share fitted to each dimension's targets in turn, `sweeps` times, and how far a margin of the cell is off."""
+    margin = lambda d: F.sum("share").over(Window.partitionBy(d))
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            cells = cells.withColumn("share", F.col("share") * F.col(f"target_{d}") / F.sum("share").over(Window.partitionBy(d)))
-    return cells
+            cells = cells.withColumn("share", F.coalesce(F.try_divide(F.col("share") * F.col(f"target_{d}"), margin(d)), F.lit(0.0)))
+    return cells.withColumn("off", F.greatest(*[F.abs(margin(d) - F.col(f"target_{d}")) for d in DIMENSIONS]))
 
 
 def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
-    """cells with probability = min(1, factor * share / n), where the factor makes expected tokens the fraction of all.
-
-    The factor starts where no cell is full; cells that it fills leave their rest to the others, until it fills no more.
-    """
-    rate = F.col("share") / F.col("n")
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    factor, full = fraction * total, -1
-    while True:
-        is_full = F.lit(factor) * rate >= 1
-        now, full_tokens, rest = cells.agg(F.count_if(is_full), F.sum(F.when(is_full, F.col("n"))), F.sum(F.when(~is_full, F.col("share")))).first()
-        if now == full or not rest:
-            break
-        factor, full = (fraction * total - (full_tokens or 0)) / rest, now
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * rate))
+    """cells (n, share) with weight, how much more of the cell is wanted than there is, and probability: weight times the largest factor, up to fraction, that keeps it at 1."""
+    total, most = cells.agg(F.sum("n"), F.max(F.col("share") / F.col("n"))).first()
+    weight = F.col("share") * F.lit(float(total or 0)) / F.col("n")
+    factor = min(fraction, 1 / (most * total)) if most else fraction
+    return cells.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * F.col("weight")))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -92,8 +90,8 @@ def uniform(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
-def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction: float, temperature: float, sweeps: int) -> tuple[DataFrame, bool]:
-    """rows (dimensions, tokens) -> cells (dimensions, n, share, probability), and whether they are few.
+def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction: float, temperatures: dict[str, float], most_sweeps: int) -> tuple[DataFrame, bool]:
+    """rows (dimensions, tokens) -> cells (dimensions, n, weight, probability), and whether they are few.
 
     Few cells are raked in one partition, without exchanges, PLAN_SWEEPS sweeps a written table. Many are dealt out by window,
     one sweep a written table. So no plan grows with the sweeps.
@@ -103,36 +101,37 @@ def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction:
     if small:
         cells = cells.coalesce(1)
     for d in DIMENSIONS:
-        cells = targets(cells, d, given.get(d, {}), temperature)
+        cells = targets(cells, d, given.get(d, {}), temperatures[d])
     cells = cells.withColumn("share", F.col("n").cast("double"))
     at_once = PLAN_SWEEPS if small else 1
-    for done in range(0, sweeps, at_once):
-        cells = written(rake(cells.coalesce(1) if small else cells, min(at_once, sweeps - done)), "raked")
+    for done in range(0, most_sweeps, at_once):
+        cells = written(rake(cells.coalesce(1) if small else cells, min(at_once, most_sweeps - done)), "raked")
+        if (cells.agg(F.max("off")).first()[0] or 0.0) <= TOLERANCE:
+            break
     whole = cells.agg(F.sum("share")).first()[0] or 1.0
     return probabilities(cells.withColumn("share", F.col("share") / F.lit(whole)), fraction), small
 
 
-def mix_documents(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> DataFrame:
+def mix_documents(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, temperatures: dict[str, float] | None = None, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) -> the same columns, tokens, topic, weight, probability, sampled, copies: all rows.
 
     weight is the fitted share of the document's cell over its tokens, times all tokens: 1 where the mix is as wanted.
     copies is weight times fraction, rounded up if a hash of doc_id is below what is left of it, else down.
     """
     rows = pick(docs, *DOCUMENT_COLUMNS).withColumns({"tokens": tokens(F.col("text")), "topic": topic(F.col("text"))})
-    cells, small = fitted_cells(rows.select(*DIMENSIONS, "tokens"), given or {}, fraction, temperature, sweeps)
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    own = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], (F.col("share") * F.lit(float(total)) / F.col("n")).alias("weight"), "probability")
-    met = rows.join(F.broadcast(own) if small else own, F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("topic") == F.col("_topic")))
+    cells, small = fitted_cells(rows.select(*DIMENSIONS, "tokens"), given or {}, fraction, TEMPERATURES | (temperatures or {}), most_sweeps)
+    own = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability")
+    met = rows.join(F.broadcast(own) if small else written(own, "fitted"), F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("topic") == F.col("_topic")))
     return met.drop(*[f"_{d}" for d in DIMENSIONS]).withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability")).withColumn("copies", copies(F.col("doc_id"), F.lit(fraction) * F.col("weight")))
 
 
 def copies(doc_id: Column, rate: Column) -> Column:
-    """How often a document stands in the sample that meets the targets: rate in the mean."""
+    """How often a document stands in the sample that may repeat it: rate in the mean."""
     return (F.floor(rate) + (uniform(doc_id) < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def repeated_sample(docs: DataFrame, **options) -> DataFrame:
-    """The sample that meets the targets: each document `copies` times, columns of documents; options of mix_documents()."""
+    """The sample of the wanted fraction: each document `copies` times, columns of documents; options of mix_documents()."""
     mixed = mix_documents(docs, **options).where("copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*DOCUMENT_COLUMNS)
 
@@ -163,7 +162,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs).where("sampled").select(*DOCUMENT_COLUMNS)
 
 
-def op10_sql(fraction: float = FRACTION, temperature: float = TEMPERATURE, sweeps: int = SWEEPS) -> str:
+def op10_sql(fraction: float = FRACTION, temperatures: dict[str, float] = TEMPERATURES, sweeps: int = MOST_SWEEPS) -> str:
     """The rows of op10_mixing in SQL: one common table expression a raking step."""
     share = lambda chars: f"(length(t) - length(translate(t, '{chars}', ''))) / greatest(length(t), 1)"
     steps = [
@@ -172,7 +171,7 @@ formed AS (SELECT doc_id, source, lang, tokens, CASE WHEN length(t) < 200 THEN '
   WHEN {share("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} > 0.3 THEN 'shout' ELSE 'prose' END AS topic FROM docs),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n FROM formed GROUP BY ALL)"""
     ]
-    wanted = ", ".join(f"(SELECT pow(sum(n), {temperature}) FROM cells x WHERE x.{d} IS NOT DISTINCT FROM c.{d}) / (SELECT sum(p) FROM (SELECT pow(sum(n), {temperature}) AS p FROM cells GROUP BY {d})) AS target_{d}" for d in DIMENSIONS)
+    wanted = ", ".join(f"(SELECT pow(sum(n), {temperatures[d]}) FROM cells x WHERE x.{d} IS NOT DISTINCT FROM c.{d}) / (SELECT sum(p) FROM (SELECT pow(sum(n), {temperatures[d]}) AS p FROM cells GROUP BY {d})) AS target_{d}" for d in DIMENSIONS)
     steps.append(f"s0 AS MATERIALIZED (SELECT *, n AS share, {wanted} FROM cells c)")
     k = 0
     for _ in range(sweeps):
@@ -180,13 +179,7 @@ cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n FROM
             steps.append(f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (share * target_{d} / sum(share) OVER (PARTITION BY {d}) AS share) FROM s{k})")
             k += 1
     steps.append(f"whole AS MATERIALIZED (SELECT * REPLACE (share / sum(share) OVER () AS share), sum(n) OVER () AS total FROM s{k})")
-    steps.append(
-        f"""ranked AS (SELECT *, share / n AS rate, ({fraction} * total - coalesce(sum(n) OVER (ORDER BY share / n DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / sum(share) OVER (ORDER BY share / n DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f,
-  row_number() OVER (ORDER BY share / n DESC, source, lang, topic) AS k FROM whole),
-factor AS (SELECT arg_min(f, k) AS f FROM ranked WHERE f * rate < 1),
-final AS (SELECT source, lang, topic, share * total / n AS weight, least(1, factor.f * rate) AS probability FROM ranked, factor)"""
-    )
+    steps.append(f"final AS (SELECT source, lang, topic, share * total / n AS weight, least(1, least({fraction}, 1 / (max(share / n) OVER () * total)) * share * total / n) AS probability FROM whole)")
     return "WITH " + ",\n".join(steps) + (
         "\nSELECT doc_id, d.source, d.lang, d.topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,"
         " ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296 < probability AS sampled"

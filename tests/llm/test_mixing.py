@@ -25,7 +25,7 @@ def margins(rows, by, value):
 
 def test_margins_meet_the_targets(docs):
     given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}
-    rows = mx.mix_documents(docs, given, sweeps=60).collect()
+    rows = mx.mix_documents(docs, given, most_sweeps=60).collect()
     fitted = margins(rows, "lang", lambda r: r["weight"] * r["tokens"])
     assert all(abs(fitted[k] - v) < 0.01 for k, v in given["lang"].items())
     plain = margins(rows, "source", lambda r: r["tokens"])
@@ -35,18 +35,45 @@ def test_margins_meet_the_targets(docs):
 
 
 def test_many_cells_take_the_other_way(docs, monkeypatch):
-    few = {r["doc_id"]: r["probability"] for r in mx.mix_documents(docs, sweeps=3).collect()}
+    few = {r["doc_id"]: r["probability"] for r in mx.mix_documents(docs, most_sweeps=3).collect()}
     monkeypatch.setattr(mx, "SMALL_CELLS", 0)
-    many = {r["doc_id"]: r["probability"] for r in mx.mix_documents(docs, sweeps=3).collect()}
+    many = {r["doc_id"]: r["probability"] for r in mx.mix_documents(docs, most_sweeps=3).collect()}
     assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
 
 
-def test_expected_tokens_are_the_fraction(docs):
-    for fraction in (0.1, 0.5, 0.9, 1.0):
-        rows = mx.mix_documents(docs, fraction=fraction).collect()
-        assert abs(sum(r["probability"] * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows) - fraction) < 1e-6
+def test_sample_has_the_target_mix(docs):
+    """Expected margins are the targets, whatever the fraction; the draw is off by chance only."""
+    given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "topic": {"prose": 0.5, "markup": 0.2}}
+    for fraction in (0.05, 0.5, 1.0):
+        rows = mx.mix_documents(docs, given, fraction=fraction).collect()
         assert all(0 <= r["probability"] <= 1 for r in rows)
-        assert abs(sum(r["sampled"] for r in rows) - sum(r["probability"] for r in rows)) < 4 * math.sqrt(sum(r["probability"] * (1 - r["probability"]) for r in rows)) + 1e-6
+        reached = sum(r["probability"] * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows)
+        most = max(r["probability"] for r in rows)
+        assert reached <= fraction + 1e-9 and (abs(reached - fraction) < 1e-9 or abs(most - 1) < 1e-9)  # a full cell, or the whole fraction
+        for d in mx.DIMENSIONS:
+            expected = margins(rows, d, lambda r: r["probability"] * r["tokens"])
+            plain = margins(rows, d, lambda r: r["tokens"])
+            free = {k: v ** mx.TEMPERATURES[d] for k, v in plain.items() if k not in given.get(d, {})}
+            left = 1 - sum(given.get(d, {}).values())
+            want = given.get(d, {}) | {k: left * v / sum(free.values()) for k, v in free.items()}
+            assert all(abs(expected[k] - want[k]) < 1e-6 for k in expected)
+            whole = sum(r["tokens"] * r["sampled"] for r in rows)
+            for k in expected:
+                own = [r for r in rows if r[d] == k]
+                spread = math.sqrt(sum(r["tokens"] ** 2 * r["probability"] * (1 - r["probability"]) for r in own))
+                assert abs(sum(r["tokens"] * r["sampled"] for r in own) - sum(r["tokens"] * r["probability"] for r in own)) < 4.5 * spread + 1e-6
+            assert whole > 0
+
+
+def test_default_sample_is_large(docs):
+    rows = mx.mix_documents(docs).collect()
+    assert sum(r["probability"] * r["tokens"] for r in rows) > 0.3 * sum(r["tokens"] for r in rows)
+
+
+def test_targets_that_nothing_meets_end(spark):
+    frame = spark.createDataFrame([(i, "w " * 50, "en", "a" if i % 2 else "b", 1, "x") for i in range(8)], SCHEMA)
+    got = mx.mix_documents(frame, {"source": {"a": 0.9, "c": 0.1}}, most_sweeps=5).collect()
+    assert len(got) == 8 and all(0 <= r["probability"] <= 1 for r in got)
 
 
 def test_equals_sql(spark, docs):
@@ -69,7 +96,7 @@ def test_edges(spark):
 
 def test_repeated_sample_meets_the_targets(docs):
     given = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}}
-    mixed = mx.mix_documents(docs, given, sweeps=60)
+    mixed = mx.mix_documents(docs, given, most_sweeps=60)
     rows = mixed.collect()
     assert max(r["copies"] for r in rows) > 1  # scarce cells are wanted more than once
     for d in mx.DIMENSIONS:
@@ -78,7 +105,7 @@ def test_repeated_sample_meets_the_targets(docs):
             spread = math.sqrt(sum(n * n * (x % 1) * (1 - x % 1) for n, x, _ in own))
             assert abs(sum(n * (k - x) for n, x, k in own)) < 4 * spread + 1e-6
     assert abs(sum(r["weight"] * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows) - 1) < 1e-6
-    sample = mx.repeated_sample(docs, given=given, sweeps=60)
+    sample = mx.repeated_sample(docs, given=given, most_sweeps=60)
     assert sample.columns == list(mx.DOCUMENT_COLUMNS)
     counts = {r["doc_id"]: r["count"] for r in sample.groupBy("doc_id").count().collect()}
     assert counts == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
