@@ -1,15 +1,17 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the blocks before
-and after it, and what encloses it. A CART tree, grown on the labelled blocks of TRAINING_PAGES, keeps or drops each block.
-Null html is read as empty; a page without kept blocks has an empty text. Nothing is capped, so one very long page is one
-row of one task, as it is in the table.
+and after it, whether an element made for boilerplate, the article's element or a heading encloses it, and, as one weak
+feature, whether a part of the page with a telling name does. A CART tree, grown on the labelled blocks of TRAINING_PAGES,
+keeps or drops each block. Null html is read as empty; a page without kept blocks has an empty text. Nothing is capped, and
+pages are read in linear time, so one very long or broken page is one row of one task, as it is in the table.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -27,28 +29,28 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What stands in these is no text of the page. Unclosed, the first run to its end; the others are elements like any other.
-RAW_TAGS = ("script", "style", "textarea", "title")
+RAW_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
 CLOSED_TAGS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "iframe", "svg", "canvas", "object")}
+#: Elements and roles that are made for what is not the article; header only above it.
 BOILER_TAGS = frozenset("nav footer aside form menu button select label fieldset dialog".split())
+BOILER_ROLES = frozenset("navigation contentinfo complementary banner search dialog".split())
 MAIN_TAGS = frozenset("article main".split())
 SHELL_TAGS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class and id names that mark what is not the article.
-BOILER_WORDS = frozenset(
+#: What pages call their parts. A name counts if it is made of these words only, the first kind among them:
+#: ad-slot and site-footer do, ad-hoc and search-history do not.
+PART_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer foot copyright contentinfo sidebar side rail aside complementary widget related recommended share sharing social comment comments reply replies discussion disqus "
+    "footer copyright sidebar aside widget widgets related recommended share sharing social comment comments reply replies discussion "
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login form search tags pagination pager".split()
 )
-#: Those that mark what is above the article, but not within it.
 HEADER_WORDS = frozenset("header masthead topbar".split())
+PLACE_WORDS = frozenset("site page main global left right top bottom inner outer wrapper container box block area section slot unit zone panel row column list item items links bar buttons content body".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S | re.I,
-)
-_MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_TAG_END = re.compile(r">|=\s*([\"'])")
+_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W_]+")
 
 
 class Block(NamedTuple):
@@ -58,79 +60,133 @@ class Block(NamedTuple):
     in_boiler: int
     in_main: int
     heading: int
+    named: int
     label: str
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate", "in main", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate element", "in main", "heading", "named")
+
+
+class Frame(NamedTuple):
+    """An open element: how many open ones of each kind it is among, and the label of the training table."""
+
+    tag: str
+    links: int
+    boiler: int
+    main: int
+    heading: int
+    named: int
+    label: str
+
+
+def part_name(name: str, header: bool) -> bool:
+    """Whether a class or id names a part of the page that is not the article; header: also what is above it."""
+    found = {w.lower() for w in _WORD.findall(name)}
+    known = PART_WORDS | HEADER_WORDS if header else PART_WORDS
+    return bool(found & known) and found <= known | PLACE_WORDS
+
+
+class Tags:
+    """The tags of a page in order, each looked at once: what is unclosed is found to be so once only, however often it occurs."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.never = page, set()  # what does not occur any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.never:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.never.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Past the > of a tag whose name ends at `at`; values in quotes may hold one. -1 if there is none."""
+        start = at
+        while m := _TAG_END.search(self.page, at):
+            if not m[1]:
+                return m.end()
+            close = self.find(m[1], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        plain = self.find(">", start)
+        return plain + 1 if plain >= 0 else -1
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's non-empty text blocks in order. Unclosed and stray end tags are tolerated."""
+    """The page's non-empty text blocks in order. Unclosed and stray end tags are tolerated; time is linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, marked as boilerplate, data-keep
-    parts: list[tuple[bool, str]] = []
-    depth = {"a": 0, "boiler": 0, "main": 0, "heading": 0}
-
-    def kinds(tag: str, marked: bool) -> list[str]:
-        return [k for k, hit in (("a", tag == "a"), ("boiler", marked or tag in BOILER_TAGS), ("main", tag in MAIN_TAGS), ("heading", tag in HEADINGS)) if hit]
+    base = Frame("", 0, 0, 0, 0, 0, "")
+    stack, opened, parts, tags = [base], Counter(), [], Tags(page)
 
     def flush() -> None:
         if not parts:
             return
         text = " ".join(html_lib.unescape("".join(x for _, x in parts)).split())
         if text:
-            total = len(text.split(" "))
+            top, total = stack[-1], len(text.split(" "))
             linked = sum(len(html_lib.unescape(x).split()) for link, x in parts if link)
-            label = next((x[2] for x in reversed(stack) if x[2]), "")
-            out.append(Block(text, total, min(1.0, linked / total), int(depth["boiler"] > 0), int(depth["main"] > 0), int(depth["heading"] > 0), label))
+            out.append(Block(text, total, min(1.0, linked / total), int(top.boiler > 0), int(top.main > 0), int(top.heading > 0), int(top.named > 0), top.label))
         parts.clear()
 
-    at, unclosed = 0, set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            parts.append((depth["a"] > 0, page[at : m.start()]))
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            if m[1]:
-                parts.append((depth["a"] > 0, " ")) if m[1].lower() != "title" else flush()
+    def say(a: int, b: int) -> None:
+        if b > a:
+            parts.append((stack[-1].links > 0, page[a:b]))
+
+    def close(tag: str) -> None:
+        while (top := stack.pop()).tag != tag:
+            opened[top.tag] -= 1
+        opened[tag] -= 1
+
+    at, text_from, missing = 0, 0, set()
+    while (lt := page.find("<", at)) >= 0 and ">" not in tags.never:
+        m = _NAME.match(page, lt)
+        if not m:
+            if page.startswith(("<!", "<?"), lt):
+                say(text_from, lt)
+                mark = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+                end = tags.find(mark, lt + 2)
+                at = text_from = end + len(mark) if end >= 0 else len(page)
+            else:
+                at = lt + 1
             continue
-        closing, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
-        if tag in CLOSED_TAGS and not closing and tag not in unclosed and not (tag == "svg" and attrs.endswith("/")):
-            if end := CLOSED_TAGS[tag].search(page, at):
-                at = end.end()
-                parts.append((depth["a"] > 0, " "))
+        end = tags.end(m.end())
+        if end < 0:
+            break  # no tag ends any more, so what follows is text
+        say(text_from, lt)
+        at = text_from = end
+        closing, tag, attrs = bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+        if not closing and tag in RAW_TAGS:
+            if tag == "title":
+                flush()
+            found = RAW_TAGS[tag].search(page, at)
+            after = tags.find(">", found.end()) + 1 if found else 0
+            at = text_from = after or len(page)
+            parts.append((stack[-1].links > 0, " "))
+            continue
+        if not closing and tag in CLOSED_TAGS and tag not in missing and not (tag == "svg" and attrs.endswith("/")):
+            if found := CLOSED_TAGS[tag].search(page, at):
+                at = text_from = found.end()
+                parts.append((stack[-1].links > 0, " "))
                 continue
-            unclosed.add(tag)  # there is none further on
+            missing.add(tag)  # there is none further on
         if tag in BLOCK_TAGS:
             flush()
         if tag in VOID_TAGS or attrs.endswith("/") and tag not in BLOCK_TAGS:
             continue
         if closing:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if opened is not None:
-                for t, marked, _ in stack[opened:]:
-                    for k in kinds(t, marked):
-                        depth[k] -= 1
-                del stack[opened:]
+            if opened[tag]:
+                close(tag)
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and any(x[0] == tag for x in stack[-2:]):  # implied end tags
-            while stack:
-                t, marked, _ = stack.pop()
-                for k in kinds(t, marked):
-                    depth[k] -= 1
-                if t == tag:
-                    break
-        found = _MARKS.findall(attrs) if "=" in attrs else ()
-        names = {w for x in found for name in "".join(x).lower().split() if not name.startswith(("has-", "with-", "no-", "is-")) for w in _WORD.findall(name)} if tag not in SHELL_TAGS else set()
-        marked = bool(names & BOILER_WORDS)
+        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and any(x.tag == tag for x in stack[-2:]):  # implied end tags
+            close(tag)
+        top = stack[-1]
+        marks = [(k.lower(), a or b or c) for k, a, b, c in _MARKS.findall(attrs)] if "=" in attrs and tag not in SHELL_TAGS else ()
+        boiler = tag in BOILER_TAGS or tag == "header" and not top.main or any(k == "role" and v.lower() in BOILER_ROLES for k, v in marks)
+        named = any(k != "role" and any(part_name(n, not top.main) for n in v.split()) for k, v in marks)
         keep = re.search(r'data-keep="(\d)"', attrs) if "data-keep" in attrs else None
-        marked = marked or not depth["main"] and (tag == "header" or bool(names & HEADER_WORDS))  # that of the site, not the article's own
-        stack.append((tag, marked, keep[1] if keep else ""))
-        for k in kinds(tag, marked):
-            depth[k] += 1
-    if at < len(page):
-        parts.append((depth["a"] > 0, page[at:]))
+        stack.append(Frame(tag, top.links + (tag == "a"), top.boiler + boiler, top.main + (tag in MAIN_TAGS), top.heading + (tag in HEADINGS), top.named + named, keep[1] if keep else top.label))
+        opened[tag] += 1
+    say(text_from, len(page))
     flush()
     return out
 
@@ -141,28 +197,60 @@ def features(found: list[Block]) -> np.ndarray:
         return np.zeros((0, len(FEATURES)))
     own = np.array([(b.words, b.link_density) for b in found], float)
     ring = np.vstack([[(0, 0)], own, [(0, 0)]])
-    flags = np.array([(b.in_boiler, b.in_main, b.heading) for b in found], float)
+    flags = np.array([(b.in_boiler, b.in_main, b.heading, b.named) for b in found], float)
     return np.hstack([own, ring[:-2], ring[2:], flags])
 
 
-#: The labelled table: data-keep tells whether the blocks in an element belong to the article.
+#: The labelled table: data-keep tells whether the blocks in an element belong to the article. Names mislead in it on purpose
+#: (essays in parts called comments or notices; menus, notices and adverts that have no name), and so do single
+#: links and short lines within articles: what stands around a block has to tell.
+_SHORT = "the market moved up the hill"
 _PROSE = "the river rose in spring and the town moved its market up the hill where it has stayed ever since"
+_LONG = f"{_PROSE} and {_PROSE} while {_SHORT}"
+_ESSAY = f"{_LONG} then {_LONG} until {_LONG}"
+_MENU = '<div data-keep="0"><ul><li><a href="/">Home</a></li><li><a href="/n">World news</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather today</a></li></ul></div>'
+_LEGAL = '<div data-keep="0"><a href="/k">Privacy</a> | <a href="/l">Contact us by mail</a></div>'
+_OWN = f'<h1>Short title</h1><p>{_PROSE}</p><p>Yes.</p><p>{_LONG}</p><p>One <a href="/x">link</a></p><p>{_PROSE}</p>'
 TRAINING_PAGES = (
-    f'<nav data-keep="0"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li>Weather</li></ul></nav><div class="ad" data-keep="0">Buy two shoes and pay for one today only.</div>'
-    f'<article data-keep="1"><h1>Short title</h1><p>{_PROSE}</p><p>Yes.</p><p>{_PROSE} {_PROSE}</p><p>One <a href="/x">link</a></p></article><footer data-keep="0">&copy; a place. {_PROSE}</footer>',
-    f'<header data-keep="0"><h1>Site name</h1><p>The daily paper of the valley</p></header><main data-keep="1"><h2>Flood</h2><p>No.</p><p>{_PROSE}</p><ul><li>first</li><li>second point</li></ul></main>'
-    f'<aside data-keep="0"><h3>More</h3><p>{_PROSE}</p><a href="/y">Read on</a></aside><form data-keep="0"><label>Name</label> {_PROSE}</form>',
-    f'<div data-keep="0"><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three</a></div><div data-keep="1"><h1>Plain page</h1><p>{_PROSE}</p><p>Short line here.</p><p>{_PROSE}</p></div>'
-    f'<div class="comments" data-keep="0"><p>{_PROSE}</p><p>I agree.</p></div><div data-keep="0"><a href="/d">Next page</a></div>',
-    f'<div id="cookie-notice" data-keep="0"><p>We keep small files. {_PROSE}</p></div><article data-keep="1"><header><h1>Inside</h1><p>By a writer</p></header><p>{_PROSE}</p>'
-    f'<p><a href="/z">{_PROSE}</a></p><div class="related" data-keep="0"><a href="/r">Related</a><p>{_PROSE}</p></div><section class="comments" data-keep="0"><p>{_PROSE}</p></section></article>',
-    f'<div class="sidebar" data-keep="0"><p>{_PROSE}</p><p>ok</p></div><p data-keep="1">{_PROSE}</p><p data-keep="1">Then it ended.</p><p data-keep="1">{_PROSE}</p><footer data-keep="0"><p>Terms</p></footer>',
+    f'<nav data-keep="0"><ul><li><a href="/">Home</a></li><li>Weather</li></ul></nav><div class="ad" data-keep="0">Buy two shoes and pay for one today only.</div><article data-keep="1">{_OWN}</article><footer data-keep="0">&copy; a place. {_PROSE}</footer>',
+    f'<header data-keep="0"><h1>Site name</h1><p>{_SHORT}</p></header><main data-keep="1"><h2>Flood</h2><p>No.</p><p>{_PROSE}</p><ul><li>first</li><li>second point</li></ul></main><aside data-keep="0"><h3>More</h3><p>{_LONG}</p><a href="/y">Read on</a></aside><form data-keep="0"><label>Name</label> {_PROSE}</form>',
+    f'{_MENU}<div data-keep="1"><h1>Plain page</h1><p>{_PROSE}</p><p>Short line here.</p><p>{_LONG}</p></div><div class="comments" data-keep="0"><p>{_PROSE}</p><p>I agree.</p></div>{_LEGAL}',
+    f'<div id="cookie-notice" data-keep="0"><p>We keep small files. {_PROSE}</p></div><article data-keep="1"><header><h1>Inside</h1><p>By a writer</p></header><p>{_PROSE}</p><p><a href="/z">{_PROSE}</a></p><div class="related" data-keep="0"><a href="/r">Related</a><p>{_PROSE}</p></div><section class="comments" data-keep="0"><p>{_PROSE}</p><p>ok</p></section></article>',
+    f'<div class="sidebar" data-keep="0"><p>{_PROSE}</p><p>ok</p></div><p data-keep="1">{_PROSE}</p><p data-keep="1">Then it ended.</p><p data-keep="1">{_LONG}</p><footer data-keep="0"><p>Terms</p></footer>',
+    f'<article data-keep="1"><h1>Title</h1><p>{_PROSE}</p><aside data-keep="0"><p>{_PROSE}</p><p>{_LONG}</p></aside><p>{_SHORT}</p><form data-keep="0">{_PROSE}</form><nav data-keep="0">{_SHORT}</nav><p>{_LONG}</p><footer data-keep="0"><p>{_SHORT}</p><p>{_PROSE}</p></footer></article>',
+    f'<main data-keep="1"><p>{_PROSE}</p><dialog data-keep="0"><p>{_LONG}</p><p>{_ESSAY}</p></dialog><p>No.</p><aside data-keep="0">{_ESSAY}</aside></main><footer data-keep="0">{_ESSAY}</footer>',
+    # names that mislead: long commentary, notices and a review of banners are articles; what readers say is shorter
+    f'{_MENU}<div class="comment" data-keep="1"><p>{_ESSAY}</p><p>{_ESSAY}</p><p>{_ESSAY}</p></div>{_LEGAL}',
+    f'<div class="notices" data-keep="1"><p>{_ESSAY}</p><p>{_ESSAY} {_LONG}</p><p>{_ESSAY} {_ESSAY}</p></div>',
+    f'<article data-keep="1"><div class="banner"><p>{_ESSAY}</p><p>{_ESSAY}</p></div></article><footer data-keep="0"><p>{_SHORT}</p></footer>',
+    f'<article data-keep="1"><p>{_LONG}</p></article><div id="comments" data-keep="0"><p>{_LONG}</p><p>{_LONG} {_PROSE}</p><p>{_LONG} {_LONG}</p><p>{_SHORT}</p></div>',
+    f'<div data-keep="1"><p>{_LONG}</p><p>{_ESSAY}</p></div><div class="sidebar" data-keep="0"><p>{_LONG} {_PROSE}</p></div><div class="reader-comments" data-keep="1"></div><ul class="replies" data-keep="0"><li>{_LONG} {_PROSE}</li><li>{_PROSE}</li></ul>',
+    # no names at all: menus, slogans and adverts above and below the text
+    f'{_MENU}<div data-keep="0">Home News</div><div data-keep="0">Buy two shoes and pay for one today only.</div><div data-keep="1"><p>{_LONG}</p><p>Not so.</p><p>{_PROSE}</p></div><div data-keep="0">Back to top</div>{_LEGAL}',
+    f'<div data-keep="0">Home News</div><div data-keep="0">Big sale of shoes, today only</div><div data-keep="1"><p>{_PROSE}</p><p>{_LONG}</p></div>{_MENU}<div data-keep="0">All times are local</div>',
+    f'<div data-keep="0"><a href="/">Logo</a></div><div data-keep="0">The daily paper of the valley</div>{_MENU}<p data-keep="1">{_PROSE}</p><p data-keep="1">{_LONG}</p>{_MENU}<div data-keep="0">Printed in the valley</div>{_LEGAL}',
+    f'<div data-keep="1"><p>{_LONG}</p><p>{_PROSE}</p></div><div data-keep="0"><a href="/d">Next page</a></div><div data-keep="0">Share</div>{_LEGAL}',
+    # links: one between texts belongs to them, a run of them does not
+    f'<article data-keep="1"><h1>A title of some words</h1><p><a href="/s">See here</a></p><p>{_PROSE}</p><p><a href="/t">One more of them here</a></p><p>{_LONG}</p></article><div data-keep="0"><a href="/u">Older</a></div>',
+    f'<article data-keep="1"><p>{_PROSE}</p><p>{_LONG}</p><ul data-keep="0"><li><a href="/1">More of the town</a></li><li><a href="/2">More of the river</a></li><li><a href="/3">More of the hill</a></li><li><a href="/4">More of the market</a></li></ul></article>',
+    f'<main data-keep="1"><p>{_LONG}</p><p>{_PROSE}</p><p>{_SHORT}</p><ul data-keep="0"><li><a href="/1">One more on this</a></li><li><a href="/2">More on that</a></li><li><a href="/3">And on those two</a></li></ul></main>',
+    f'<article data-keep="1"><p>{_SHORT}</p><p>{_PROSE}</p><div data-keep="0"><a href="/1">Next</a></div><div data-keep="0"><a href="/2">Last</a></div></article>{_LEGAL}',
+    f'<div data-keep="1"><p>{_LONG}</p><p><a href="/q">The report itself</a></p><p>{_LONG}</p></div>{_MENU}',
+    f'{_MENU}<article data-keep="1"><p>No.</p><p>{_SHORT}</p><p><a href="/q">The report</a></p><p>It was late.</p><p><a href="/q">Its second part</a></p><p>So it was.</p><p>{_PROSE}</p></article>{_LEGAL}',
+    f'<nav data-keep="0"><a href="/">Home</a></nav><article data-keep="1"><p>{_SHORT}</p><p>And so on</p><p><a href="/q">A source</a></p></article>{_MENU}',
+    f'{_MENU}<main data-keep="1"><h1><a href="/self">A title that links to its page</a></h1><p>{_SHORT}</p><p>{_PROSE}</p><h2><a href="/self">Second part</a></h2><p>{_LONG}</p></main>{_MENU}',
+    # small pages
     '<article data-keep="1"><p>A.</p></article><footer data-keep="0">B.</footer>',
+    '<nav data-keep="0"><a href="/">Home</a></nav><article data-keep="1"><h1>Two words</h1><p>No.</p></article><footer data-keep="0"><a href="/">Home</a> again</footer>',
+    f'<nav data-keep="0"><a href="/">Home</a></nav><div class="ad" data-keep="0">Six small words for a sale</div><article data-keep="1"><p>Only this.</p></article><footer data-keep="0">{_SHORT}</footer>',
+    f'<nav data-keep="0"><a href="/">Home</a></nav><div class="ad" data-keep="0">{_PROSE}</div><article data-keep="1"><p>a</p><p>b</p><p>{_SHORT}</p><p>c</p></article><footer data-keep="0">{_LONG}</footer>',
     f'<header data-keep="0"><a href="/">Logo</a> {_PROSE}</header><div data-keep="1"><p>{_PROSE}</p></div>',
-    f'<article data-keep="1"><h1>A title of some words</h1><p><a href="/s">See here</a></p><p>{_PROSE}</p><p><a href="/t">One more of them here</a></p></article><div data-keep="0"><a href="/u">Older</a></div>',
     '<p data-keep="1">Only two words.</p>',
+    f'<p data-keep="1">{_SHORT}</p>',
     f'<h1 data-keep="1">The first block of a page</h1><p data-keep="1">{_PROSE}</p><div data-keep="0"><a href="/v">To the top</a> <a href="/w">Archive of all months</a></div>',
-    f'<div data-keep="1">{_PROSE} {_PROSE}<br>A line.<br><p>{_PROSE}</p></div><div data-keep="0"><a href="/k">Privacy</a> | <a href="/l">Contact us by mail</a></div>',
+    f'<div data-keep="1">{_PROSE} {_PROSE}<br>A line.<br><p>{_PROSE}</p></div>{_LEGAL}',
+    f'<nav data-keep="0"><a href="/">Only a menu</a></nav>',
+    f'<div class="newsletter" data-keep="0">{_SHORT}</div><h1 data-keep="1">A story</h1><p data-keep="1">{_LONG}</p><div class="widget" data-keep="0"><p>{_PROSE}</p></div><div class="promo" data-keep="0">{_PROSE}</div>',
 )
 
 
@@ -174,7 +262,7 @@ class Node(NamedTuple):
     keep: float
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14) -> Node:
     """A CART tree by Gini impurity; ties go to the first feature and the lowest cut."""
     keep = float(y.mean()) if len(y) else 0.0
     best: tuple[float, int, float] | None = None
@@ -205,10 +293,20 @@ def decide(node: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def training_table() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of TRAINING_PAGES."""
+    found = [blocks(p) for p in TRAINING_PAGES]
+    return np.vstack([features(b) for b in found]), np.array([int(b.label) for bs in found for b in bs], float)
+
+
 @cache
 def model() -> Node:
-    found = [blocks(p) for p in TRAINING_PAGES]
-    return grow(np.vstack([features(b) for b in found]), np.array([int(b.label) for bs in found for b in bs], float))
+    return grow(*training_table())
+
+
+def used(tree: Node) -> set[str]:
+    """The features that decide anywhere in the tree."""
+    return set() if tree.feature < 0 else {FEATURES[tree.feature]} | used(tree.low) | used(tree.high)
 
 
 def main_text(page: str | None, tree: Node) -> str:

@@ -52,6 +52,73 @@ def test_many_unclosed_elements_take_one_pass():
     assert time.process_time() - start < 20
 
 
+HOSTILE = ["<a ", "<script ", '<a href="', "<a b='", '<p ="x', "<!", "<!--", "<![CDATA[", "</b>", "&lt;", "<", "<svg", "<title>"]
+
+
+@pytest.mark.parametrize("bit", HOSTILE)
+def test_broken_pages_take_linear_time(bit):
+    start = time.process_time()
+    assert he.main_text(f"<article><p>{PROSE}</p></article>" + bit * (1_000_000 // len(bit)), he.model()).startswith(PROSE)
+    assert time.process_time() - start < 5  # a fraction of a second; not the minutes of a quadratic scan
+
+
+MISLED = {
+    f"<article><p class='ad-hoc'>{PROSE}</p><p id='search-history'>{PROSE}</p><div class='share-prices tagline'>{PROSE}</div><p>{PROSE}</p></article>": "\n".join([PROSE] * 4),
+    f"<div>Home News</div><div>Buy two shoes and get one free today</div><div><p>{PROSE} {PROSE}</p><p>No.</p><p>{PROSE}</p></div>": f"{PROSE} {PROSE}\nNo.\n{PROSE}",
+    f"<ul><li><a href=a>One</a></li><li><a href=b>Two more</a></li><li><a href=c>Three</a></li></ul><div><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div><a href=d>Terms</a> <a href=e>Imprint</a></div>": f"{PROSE}\nShort.\n{PROSE}",
+    f"<article><p>{PROSE}</p><p><a href=a>The source</a></p><p>{PROSE}</p><ul><li><a href=a>More on this</a></li><li><a href=b>More on that</a></li><li><a href=c>And on those</a></li></ul></article>": f"{PROSE}\nThe source\n{PROSE}",
+    f"<div class=comment>{''.join(f'<p>{PROSE * 12}</p>' for _ in range(3))}</div>": "\n".join([PROSE * 12] * 3),
+    f"<article><p>{PROSE}</p></article><div class=comments><p>{PROSE} {PROSE} {PROSE}</p><p>{PROSE} {PROSE}</p></div>": PROSE,
+}
+
+
+@pytest.mark.parametrize("page", MISLED)
+def test_what_stands_around_a_block_tells(page):
+    assert he.main_text(page, he.model()) == MISLED[page]
+
+
+def test_neighbours_decide():
+    """The tree uses its method's features; names are one of them and not at the root."""
+    tree = he.model()
+    assert {"words", "link density", "words before", "link density before", "words after"} <= he.used(tree)
+    assert he.FEATURES[tree.feature] != "named"
+    x, y = he.training_table()
+    names = he.FEATURES.index("named")
+    alone = he.grow(x[:, [names]], y, 1)
+    assert (he.decide(alone, x[:, [names]]) == y).mean() < 0.8  # names alone judge badly
+
+
+def plain_decision(tree, row):
+    while tree.feature >= 0:
+        tree = tree.low if row[tree.feature] <= tree.cut else tree.high
+    return tree.keep >= 0.5
+
+
+def plain_grow(x, y, depth):
+    """The first best split of every column and cut, tried one by one."""
+    if not depth or len(set(y)) < 2:
+        return [], sum(y) / len(y)
+    tried = []
+    for f in range(len(x[0])):
+        values = sorted({r[f] for r in x})
+        for a, b in zip(values, values[1:], strict=False):
+            sides = [[t for r, t in zip(x, y, strict=True) if (r[f] <= (a + b) / 2) == low] for low in (True, False)]
+            tried.append((round(sum(len(s) * (m := sum(s) / len(s)) * (1 - m) for s in sides), 9), f, (a + b) / 2))
+    return (min(tried), None) if tried else ([], sum(y) / len(y))
+
+
+def test_tree_equals_plain_versions():
+    x, y = he.training_table()
+    tree = he.model()
+    best, _ = plain_grow(x.tolist(), y.tolist(), 1)
+    assert (tree.feature, tree.cut) == (best[1], pytest.approx(best[2]))
+    low = x[:, tree.feature] <= tree.cut
+    for side, node in ((low, tree.low), (~low, tree.high)):
+        best, _ = plain_grow(x[side].tolist(), y[side].tolist(), 1)
+        assert not best or (node.feature, node.cut) == (best[1], pytest.approx(best[2]))
+    assert he.decide(tree, x).tolist() == [plain_decision(tree, r) for r in x.tolist()]
+
+
 def test_tree_learns_its_table():
     found = [he.blocks(p) for p in he.TRAINING_PAGES]
     for bs in found:
