@@ -1,5 +1,12 @@
 """URL filters: list rules by host and path, and association rules mined from the labels that the list gives.
 
+The labels are the verdicts of the list; a url that no list rule fits has none, which is a label of its own and not the verdict
+that it gets by default. A mined rule says which verdict a combination of URL tokens mostly has: it counts if enough of all
+urls have the tokens and the verdict (support), if most urls with the tokens have that verdict (confidence), several times as
+many as urls at large (lift), and if no part of the combination says the same as surely. So a site most of whose urls the list
+blocks is blocked for the others too. A url without a list rule takes the verdict of the surest mined rule whose tokens it has;
+where there is none, allow.
+
 Null urls and urls without "://" have an empty host and an empty path, so no list rule fits them.
 Repeated urls are judged alike; an empty table gives an empty result.
 """
@@ -15,6 +22,10 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, pick, table, written
 
 LABEL = "label="
+UNLISTED = "none"
+MIN_SUPPORT = 0.005
+MIN_CONFIDENCE = 0.7
+MIN_LIFT = 2.0
 
 
 class ListRule(NamedTuple):
@@ -23,7 +34,7 @@ class ListRule(NamedTuple):
     path: str
 
 
-#: The rules of the production query.
+#: The rules that the task gives.
 RULES = (
     ListRule("block", "com", "/en/"),
     ListRule("allow", "example.com", "/en/7"),
@@ -83,53 +94,63 @@ def match_rules(urls: DataFrame, rules: tuple[ListRule, ...]) -> DataFrame:
     return urls.withColumn("_best", best).select(*urls.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """labelled (tokens, verdict) -> association rules (antecedent, verdict, confidence, support) whose consequent is a verdict.
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
+    """labelled (tokens, verdict) -> association rules (antecedent, verdict, confidence, support, lift) whose consequent is a verdict, not UNLISTED.
 
-    Support is relative, so the rules kept do not depend on how many rows there are.
-    A rule goes if a more general one with no less confidence gives the same verdict.
+    Support is relative, so the rules kept do not depend on how many rows there are. A rule goes if one with a part of its
+    tokens and no less confidence gives the same verdict.
     """
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit(LABEL))).select(
-        F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("verdict"), "confidence", "support"
+    says = F.startswith(F.col("consequent")[0], F.lit(LABEL)) & (F.col("consequent")[0] != LABEL + UNLISTED)
+    rules = model.associationRules.where(says & (F.col("lift") >= min_lift)).select(
+        F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("verdict"), "confidence", "support", "lift"
     )
-    rules = written(rules, "url-rules")
+    rules = written(rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit(LABEL)))), "url-rules")
+    # each rule looks up the parts of its tokens, of which it has no more than were frequent with it: an equality join
+    part = F.explode(F.filter(subsets(F.col("antecedent")), lambda x: (F.size(x) > 0) & (F.size(x) < F.size("antecedent"))))
     general = rules.select(F.col("antecedent").alias("g"), F.col("verdict").alias("gv"), F.col("confidence").alias("gc"))
-    # each rule looks up its own sub-rules one token shorter: an equality join, not all pairs
-    shorter = rules.select("antecedent", "verdict", "confidence", F.explode("antecedent").alias("t")).select(
-        "antecedent", "verdict", "confidence", F.array_remove("antecedent", F.col("t")).alias("sub")
-    )
+    shorter = rules.select("antecedent", "verdict", "confidence", part.alias("sub"))
     covered = shorter.join(general, (F.col("sub") == F.col("g")) & (F.col("verdict") == F.col("gv")) & (F.col("gc") >= F.col("confidence"))).select("antecedent", "verdict").distinct()
-    return rules.join(covered, ["antecedent", "verdict"], "left_anti")
+    return written(rules.join(covered, ["antecedent", "verdict"], "left_anti"), "url-rules")
+
+
+def subsets(items: Column) -> Column:
+    """All sub-arrays of an array, in its order."""
+    return F.aggregate(items, F.array(F.array().cast("array<string>")), lambda found, t: F.concat(found, F.transform(found, lambda x: F.array_append(x, t))))
 
 
 def apply_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, tokens), distinct -> (url, mined_verdict, mined_confidence) of the most confident rule that fits.
+    """urls (url, tokens), distinct -> (url, mined_verdict, mined_confidence, mined_rule) of the surest rule that fits: by confidence, then support, then tokens.
 
-    Inverted index: a rule is filed under its first token only, so a url meets it once; the other tokens are then checked.
+    Inverted index: a rule is filed under the rarest of its tokens among the urls, so a url meets it once and few urls meet it
+    in vain; the other tokens are then checked. The index is as large as the rules, whose number support bounds.
     """
-    index = rules.select(F.col("antecedent")[0].alias("key"), "antecedent", "verdict", "confidence", "support")
-    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(index, "key")
+    wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
+    counts = written(urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("token").count(), "token-counts")
+    filed = rules.withColumn("id", F.monotonically_increasing_id()).select("*", F.explode("antecedent").alias("token")).join(counts, "token")
+    key = filed.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("count", "token"))["token"].alias("key"), F.count("*").alias("known"))
+    index = written(key.where(F.col("known") == F.size("antecedent")), "url-index")  # a rule with a token that no url has fits none
+    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(F.broadcast(index), "key")
     met = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"))
-    return best.select("url", F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("mined_confidence"))
+    best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", "verdict", "antecedent")).alias("best"))
+    return best.select("url", F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("mined_confidence"), F.array_join("best.antecedent", " ").alias("mined_rule"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_support: float = 0.005, min_confidence: float = 0.9) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, verdict, mined_confidence.
+def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """pages (page_id, url) -> page_id, host, path, rule, verdict, mined_rule, mined_confidence.
 
-    The list labels the urls: those that a rule fits carry its verdict, the others the list's default, allow. Rules mined
-    from these labels judge the urls that no list rule fits; where no mined rule fits either, the verdict is allow.
+    mined_rule has the tokens of the association rule that decided, and its confidence, where one did.
     """
     rows = pick(pages, "page_id", "url").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     judged = match_rules(rows, rules)
-    labelled = judged.select(url_tokens(F.col("url")).alias("tokens"), F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
-    mined = mine_rules(labelled, min_support, min_confidence)
+    labelled = judged.select(url_tokens(F.col("url")).alias("tokens"), F.coalesce("rule_verdict", F.lit(UNLISTED)).alias("verdict"))
+    mined = mine_rules(labelled, min_support, min_confidence, min_lift)
     open_urls = judged.where(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct()
-    found = apply_mined(open_urls.withColumn("tokens", url_tokens(F.col("url"))), mined).withColumnRenamed("url", "_url")
+    # written before it is joined, as only then can the rows of a hot url be split
+    found = written(apply_mined(open_urls.withColumn("tokens", url_tokens(F.col("url"))), mined).withColumnRenamed("url", "_url"), "judged-urls")
     out = judged.join(found, (F.col("url") == F.col("_url")) & F.col("rule").isNull(), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "mined_confidence")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "mined_rule", "mined_confidence")
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
