@@ -1,14 +1,18 @@
 """Language identification: a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is read as its UTF-8 bytes in windows of WINDOW bytes; both directions of a gated recurrent unit run over each
-window, a softmax layer labels every position, and a document's probabilities are the mean over its positions. The whole
-text is read, whatever its length: windows keep the state that a step holds bounded.
+A text is read as its UTF-8 bytes in windows of WINDOW bytes, each with MARGIN bytes of what stands before and after it; both
+directions of a gated recurrent unit run over each window, a softmax layer labels every position, and a document's
+probabilities are the mean over its positions. A direction so has read MARGIN bytes at least when it comes to a position that
+counts, unless the text begins there. The whole text is read, whatever its length: windows keep the state that a step holds
+bounded, and texts are taken by bytes, not by rows.
 
-Training is by backpropagation through time on a bounded sample: at most `per_language` documents of each label, picked by a
-hash of doc_id, and at most `windows_per_document` windows of each, picked by a hash of doc_id and window number from all of
-its text, so the sample does not depend on partitioning. Both are documented bounds; everything else covers all rows.
+Training is by backpropagation through time on a bounded sample: at most `per_language` distinct texts of each label, picked
+by a hash of the text, and at most `windows_per_document` windows of each, picked by a hash of doc_id (the least of the text's)
+and window number from all of it. So the sample does not depend on partitioning or on how often a text is repeated, and it is
+empty only where no row has a label and letters. Both are documented bounds; everything else covers all rows.
 
 Null texts and texts without letters are `und` with score 0. Where there is no label to learn from, every document is `und`.
+Null doc_ids are learnt from, as they are not held out.
 """
 
 from __future__ import annotations
@@ -20,13 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import DOCUMENT_COLUMNS, pick, table
+from .common import DOCUMENT_COLUMNS, pick, table, written
 
 WINDOW = 128
+MARGIN = 16
 HIDDEN = 6
 UND = "und"
 ROWS = 2048  # windows that run together
+BATCH_BYTES = 4 << 20
 
 
 class Net(NamedTuple):
@@ -40,10 +47,6 @@ class Net(NamedTuple):
     c: np.ndarray  # C
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def initial(languages: tuple[str, ...], hidden: int, seed: int) -> Net:
     rng = np.random.default_rng(seed)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
@@ -60,7 +63,7 @@ def initial(languages: tuple[str, ...], hidden: int, seed: int) -> Net:
 def states(net: Net, x: np.ndarray, valid: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
     """x: windows of bytes, T x N, the second direction's reversed: 2 x T x N. Returns the states, 2 x T x H x N.
 
-    valid: T x N, 0 at what fills a window up; the second direction, which meets it first, starts after it.
+    valid: T x N, 0 at what fills a window up; a direction that meets it first starts after it.
     keep: gets what each step of backpropagation needs.
     """
     h3, n, steps = net.u.shape[1], x.shape[2], x.shape[1]
@@ -92,6 +95,7 @@ def states(net: Net, x: np.ndarray, valid: np.ndarray | None = None, keep: list
         h *= z
         h += q
         if valid is not None:
+            h[0] *= valid[t]
             h[1] *= valid[steps - 1 - t]
         out[:, t] = h
     return out
@@ -116,11 +120,11 @@ def softmax(y: np.ndarray, axis: int) -> np.ndarray:
     return y
 
 
-def position_probabilities(net: Net, windows: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-    """N x T bytes, of each window the first so many (default: all) text -> T x C x N, zeros past the text."""
-    valid = None if lengths is None or (lengths == windows.shape[1]).all() else (np.arange(windows.shape[1])[:, None] < lengths).astype(np.float32)
-    p = softmax(logits(net, states(net, both_ways(windows), valid)), 1)
-    return p if valid is None else p * valid[:, None]
+def position_probabilities(net: Net, windows: np.ndarray, valid: np.ndarray | None = None) -> np.ndarray:
+    """N x T bytes, valid (N x T) where they are text (default: everywhere) -> T x C x N, zeros elsewhere."""
+    v = None if valid is None or valid.all() else np.ascontiguousarray(valid.T).astype(np.float32)
+    p = softmax(logits(net, states(net, both_ways(windows), v)), 1)
+    return p if v is None else p * v[:, None]
 
 
 def gradients(net: Net, windows: np.ndarray, target: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
@@ -146,6 +150,7 @@ def gradients(net: Net, windows: np.ndarray, target: np.ndarray, mask: np.ndarra
     for t in range(steps - 1, -1, -1):
         h, z, r, q, s = keep[t]
         dh = dh + given[:, t]
+        dh[0] *= m[t]
         dh[1] *= m[steps - 1 - t]
         dq = dh * (1 - z) * (1 - q * q)
         dz = dh * (h - q) * z * (1 - z)
@@ -190,20 +195,50 @@ def cut(raw: bytes, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(rows, width), lengths
 
 
-def predict(net: Net, texts: list[bytes]) -> np.ndarray:
-    """Pooled probabilities, one row a text."""
-    cuts = [cut(t) for t in texts]
-    windows, lengths = np.concatenate([c[0] for c in cuts]), np.concatenate([c[1] for c in cuts])
-    owner = np.repeat(np.arange(len(texts)), [len(c[1]) for c in cuts])
+def with_margins(raw: bytes, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows first .. last - 1 of a text with their margins, and where they hold text: rows of MARGIN + WINDOW + MARGIN bytes."""
+    width = WINDOW + 2 * MARGIN
+    a, b = first * WINDOW - MARGIN, (last - 1) * WINDOW + WINDOW + MARGIN
+    part = raw[max(0, a) : min(b, len(raw))]
+    x = np.zeros(b - a, np.uint8)
+    x[max(0, -a) : max(0, -a) + len(part)] = np.frombuffer(part, np.uint8)
+    text = np.zeros(b - a, bool)
+    text[max(0, -a) : max(0, -a) + len(part)] = True
+    rows = lambda y: np.lib.stride_tricks.sliding_window_view(y, width)[::WINDOW]
+    return rows(x), rows(text)
+
+
+def pooled(net: Net, parts: list[tuple[int, np.ndarray, np.ndarray]], sums: np.ndarray) -> None:
+    """Adds the probabilities of the positions of parts (text, windows with margins, where they hold text) to their texts' sums."""
+    windows, valid = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    owner = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
     # like lengths run together, so what is filled up costs little
-    order = np.argsort(-lengths, kind="stable")
-    sums = np.zeros((len(texts), len(net.languages)))
+    ends = valid.shape[1] - valid[:, ::-1].argmax(1)
+    order = np.argsort(-ends, kind="stable")
     for i in range(0, len(order), ROWS):
         rows = order[i : i + ROWS]
-        longest = int(lengths[rows[0]])
-        p = position_probabilities(net, windows[rows, : max(1, longest)], lengths[rows])
-        np.add.at(sums, owner[rows], p.sum(0).T)
-    return sums / np.maximum(1, np.bincount(owner, lengths, len(texts)))[:, None]
+        longest = int(ends[rows[0]])
+        p = position_probabilities(net, windows[rows, :longest], valid[rows, :longest])
+        np.add.at(sums, owner[rows], p[MARGIN : MARGIN + WINDOW].sum(0).T)
+
+
+def predict(net: Net, texts: list[bytes]) -> np.ndarray:
+    """Pooled probabilities, one row a text; about BATCH_BYTES of text at a time, so neither many nor long texts make the step large."""
+    sums = np.zeros((len(texts), len(net.languages)))
+    parts, most = [], max(1, BATCH_BYTES // WINDOW)
+    held = 0
+    for k, raw in enumerate(texts):
+        n = -(-len(raw) // WINDOW)
+        for first in range(0, n, most):
+            part = with_margins(raw, first, min(n, first + most))
+            parts.append((k, *part))
+            held += len(part[0])
+            if held >= most:
+                pooled(net, parts, sums)
+                parts, held = [], 0
+    if parts:
+        pooled(net, parts, sums)
+    return sums / np.maximum(1, [len(t) for t in texts])[:, None]
 
 
 def spans(net: Net, text: str) -> list[tuple[int, int, str]]:
@@ -211,8 +246,8 @@ def spans(net: Net, text: str) -> list[tuple[int, int, str]]:
     raw = text.encode()
     if not raw:
         return []
-    windows, lengths = cut(raw)
-    best = position_probabilities(net, windows, lengths).argmax(1).T.reshape(-1)[: len(raw)]
+    n = -(-len(raw) // WINDOW)
+    best = np.concatenate([position_probabilities(net, *with_margins(raw, a, min(n, a + ROWS)))[MARGIN : MARGIN + WINDOW].argmax(1).T.reshape(-1) for a in range(0, n, ROWS)])[: len(raw)]
     edges = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(raw)]
     return [(a, b, net.languages[best[a]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -223,16 +258,22 @@ def held_out(doc_id: Column, of: int = 4, part: int = 2) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int, salt: str = "lid") -> DataFrame:
-    """About per_language learnable documents of each label at most, spread evenly by a hash of doc_id; all of a rarer label.
+    """doc_id, text, lang of at most per_language distinct texts of each label; all of a label that has no more.
 
-    Ids are chosen without texts; the chosen ones, bounded by per_language times the number of labels, then pick the texts.
+    A label's texts are told apart and drawn by a hash of the text alone. A first look, without texts, thins each label to
+    about twice what is wanted, by an estimate of its distinct texts; those hashes, bounded by per_language times the number
+    of labels, are ranked and then pick one row each.
     """
-    able = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    ids = pick(docs, "doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = ids.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")).withColumnRenamed("lang", "_lang")
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = ids.join(share, F.col("lang") == F.col("_lang")).where(at < F.col("share")).select(F.col("doc_id").alias("_id")).distinct()
-    return able.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
+    able = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("text", F.lit(salt)))
+    wanted = F.lit(2.0 * per_language + 50)
+    share = able.groupBy("lang").agg(F.least(F.lit(1.0), wanted / F.approx_count_distinct("h")).alias("share"))
+    share = written(share.select(F.col("lang").alias("_lang"), "share"), "label-shares")  # a row a label
+    at = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    thinned = able.select("lang", "h").join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(at < F.col("share")).select("lang", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = written(thinned.withColumn("_k", rank).where(F.col("_k") <= per_language).select(F.col("lang").alias("_lang"), F.col("h").alias("_h")), "chosen-texts")
+    found = able.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")), "left_semi")
+    return found.groupBy("lang", "h").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "lang")
 
 
 def training_windows(rows: DataFrame, windows_per_document: int) -> DataFrame:
@@ -247,13 +288,13 @@ def training_windows(rows: DataFrame, windows_per_document: int) -> DataFrame:
 def fit(docs: DataFrame, per_language: int = 150, windows_per_document: int = 12, **options) -> Net | None:
     """The network for docs (doc_id, text, lang), or None if no row may be learnt from.
 
-    The driver receives the sample only: per_language documents a label, of each at most windows_per_document windows.
+    The driver receives the sample only: per_language texts a label, of each at most windows_per_document windows.
     """
-    sample = training_windows(training_rows(docs, per_language), windows_per_document).toPandas()
+    sample = training_windows(training_rows(docs, per_language), windows_per_document).select("lang", "pieces").toPandas()
     if not len(sample):
         return None
     sample["raw"] = [b"".join(map(bytes, x)) for x in sample["pieces"]]  # only a text's last window may be short
-    sample = sample.sort_values(["lang", "doc_id", "raw"], ignore_index=True)
+    sample = sample.sort_values(["lang", "raw"], ignore_index=True)
     languages = tuple(sorted(sample["lang"].unique()))
     cuts = [cut(bytes(r)) for r in sample["raw"]]
     labels = np.repeat([languages.index(x) for x in sample["lang"]], [len(c[1]) for c in cuts])
@@ -268,15 +309,13 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
         return rows.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                texts = [r if ok else b"" for r, ok in zip(b.column("raw").to_pylist(), b.column("readable").to_pylist(), strict=True)]
-                p = predict(net, texts)
-                best = p.argmax(1)
-                lang = [net.languages[j] if t else UND for j, t in zip(best, texts, strict=True)]
-                score = [float(p[k, j]) if t else 0.0 for k, (j, t) in enumerate(zip(best, texts, strict=True))]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], ["doc_id", "lang_pred", "score"])
+        for b in batches:
+            texts = [r if ok else b"" for r, ok in zip(b.column("raw").to_pylist(), b.column("readable").to_pylist(), strict=True)]
+            p = predict(net, texts)
+            best = p.argmax(1)
+            lang = [net.languages[j] if t else UND for j, t in zip(best, texts, strict=True)]
+            score = [float(p[k, j]) if t else 0.0 for k, (j, t) in enumerate(zip(best, texts, strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
@@ -289,12 +328,10 @@ def keep_identified(docs: DataFrame, net: Net | None, least: float = 0.3) -> Dat
     scored = rows.withColumn("_raw", F.col("text").cast("binary")).withColumn("_readable", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                texts = [r if ok else b"" for r, ok in zip(b.column("_raw").to_pylist(), b.column("_readable").to_pylist(), strict=True)]
-                good = (predict(net, texts).max(1) >= least) & np.array([bool(t) for t in texts])
-                yield b.filter(pa.array(good)).select(list(DOCUMENT_COLUMNS))
+        for b in batches:
+            texts = [r if ok else b"" for r, ok in zip(b.column("_raw").to_pylist(), b.column("_readable").to_pylist(), strict=True)]
+            good = (predict(net, texts).max(1, initial=0.0) >= least) & np.array([bool(t) for t in texts], bool)
+            yield b.filter(pa.array(good)).select(list(DOCUMENT_COLUMNS))
 
     return scored.mapInArrow(run, rows.schema)
 

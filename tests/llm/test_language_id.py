@@ -28,16 +28,42 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * eps) - g[at]) < 0.02 * max(0.05, abs(g[at]))
 
 
-def test_windows_hold_the_whole_text():
-    raw = bytes(range(256)) * 3 + b"end"
-    rows, lengths = li.cut(raw)
-    assert lengths.sum() == len(raw) and rows.tobytes()[: len(raw)] == raw
-    net = li.initial(("a", "b"), 4, 1)
-    rows, lengths = li.cut(raw)
-    per = li.position_probabilities(net, rows).transpose(2, 0, 1).reshape(-1, 2)[: len(raw)]
-    short, _ = li.cut(b"end", 3)
-    per[-3:] = li.position_probabilities(net, short).transpose(2, 0, 1)[0]
-    assert np.allclose(li.predict(net, [b"x", raw])[1], per.mean(0), atol=1e-5)
+def plain_positions(net, raw):
+    """Probabilities position by position, one number at a time: the unit's equations, and a window's margins as told."""
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    k = net.u.shape[2]
+
+    def run(d, part):
+        h, out = np.zeros(k), []
+        for byte in part:
+            a, s = net.table[d, byte].astype(float) + net.b[d], net.u[d].astype(float) @ h
+            z, r = logistic(a[:k] + s[:k]), logistic(a[k : 2 * k] + s[k : 2 * k])
+            q = np.tanh(a[2 * k :] + r * s[2 * k :])
+            h = z * h + (1 - z) * q
+            out.append(h)
+        return out
+
+    rows = []
+    for w in range(0, len(raw), li.WINDOW):
+        a, b = max(0, w - li.MARGIN), min(len(raw), w + li.WINDOW + li.MARGIN)
+        there, back = run(0, raw[a:b]), run(1, raw[a:b][::-1])[::-1]
+        for i in range(w, min(len(raw), w + li.WINDOW)):
+            y = net.v.astype(float) @ np.concatenate([there[i - a], back[i - a]]) + net.c
+            rows.append(np.exp(y - y.max()) / np.exp(y - y.max()).sum())
+    return np.array(rows)
+
+
+def test_every_position_as_in_a_plain_network(monkeypatch):
+    net = li.initial(("a", "b", "c"), 5, 1)
+    texts = [bytes(range(256)) * 3 + b"end", "é".encode() * 64, b"x", b"y" * (li.WINDOW + 1), b"z" * li.WINDOW * 5]
+    want = [plain_positions(net, t) for t in texts]
+    for size in (li.BATCH_BYTES, 300, 1):  # texts are cut by bytes, with the same outcome
+        monkeypatch.setattr(li, "BATCH_BYTES", size)
+        assert np.allclose(li.predict(net, [*texts, b""]), [*(w.mean(0) for w in want), np.zeros(3)], atol=1e-5)
+    for t, w in zip(texts[:2], want, strict=False):
+        runs = li.spans(net, t.decode("latin-1" if t[0] == 0 else "utf-8")) if t[0] else None
+        best = [net.languages[k] for k in w.argmax(1)]
+        assert runs is None or [x for a, b, x in runs for _ in range(a, b)] == best
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +87,24 @@ def test_learns_only_from_its_part(spark, docs):
     ids = [r["doc_id"] for r in li.training_rows(docs, 100).select("doc_id").collect()]
     assert ids and not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in ids)
     counts = {r["lang"]: r["count"] for r in li.training_rows(docs, 60).groupBy("lang").count().collect()}
-    assert all(30 <= n <= 100 for n in counts.values())
+    assert set(counts.values()) == {60}
+
+
+def test_repeated_and_null_ids_are_learnt_from(spark):
+    words = {"de": "der die und nicht ein auch sich mit auf dem", "en": "the of and not with which also this that were"}
+    text = lambda i, x: f"{words[x]} {i % 400}"
+    many = spark.range(400_000).selectExpr("id % 100 as doc_id", "case when id % 2 = 0 then 'de' else 'en' end as lang", "id")
+    de, en = (f"concat('{words[x]} ', cast(id % 1000 as string))" for x in ("de", "en"))
+    many = many.selectExpr("doc_id", f"case when lang = 'de' then {de} else {en} end as text", "lang", "'s' as source", "1L as n_chars")
+    got = li.training_rows(many, 150).collect()
+    assert {x: sum(r["lang"] == x for r in got) for x in words} == {"de": 150, "en": 150} and len({r["text"] for r in got}) == 300
+    none = [(None, text(i, x), x, "s", 1, "x") for i in range(40) for x in words]
+    frame = spark.createDataFrame(none, SCHEMA)
+    assert li.training_rows(frame, 150).count() == 80
+    same = spark.createDataFrame([(i % 3, text(0, x), x, "s", 1, "x") for i in range(300) for x in words], SCHEMA)
+    assert sorted(r["lang"] for r in li.training_rows(same, 150).collect()) == ["de", "en"]
+    kept = li.stage(spark, same, "")
+    assert kept.count() == 600  # the corpus is not lost
 
 
 def test_edges(spark, docs):
