@@ -3,6 +3,8 @@
 import math
 import re
 
+import duckdb
+
 from strandworks.llm import license_scan as ls
 
 TEXTS = [
@@ -28,11 +30,12 @@ def plain(text):
     words = ls.plain_words(text)
     places = [(i, p.label) for p in ls.PHRASES for i in range(len(words)) if words[i : i + len(ls.plain_words(p.text))] == ls.plain_words(p.text)]
     met = [(label, 1.0) for _, label in places]
-    for line in text.split("\n"):
-        have = set(ls.plain_words(line))
+    step = max(len(ls.plain_words(t.text)) for t in ls.NOTICES)
+    for at in range(0, max(1, len(words)), step):
+        have = set(words[at : at + 2 * step])
         for t in ls.NOTICES:
             want = set(ls.plain_words(t.text))
-            if len(want & have) >= max(1, math.ceil(t.least * len(want) - 1e-9)):
+            if len(want & have) >= max(1, math.ceil(t.least * len(want) - 1e-9)) and set(ls.plain_words(t.must)) <= have:
                 met.append((t.label, len(want & have) / len(want)))
     joined = lambda xs: ",".join(sorted(set(xs)))
     at = [i for i, _ in places]
@@ -50,6 +53,41 @@ def test_equals_plain_python(spark):
     assert ls.license_documents(docs.limit(0)).count() == 0
 
 
+BY_HAND = {
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted": "bsd",
+    "/* Licensed under\n * the Apache License, Version 2.0\n */": "apache-2.0",
+    "Licensed under the Mozilla Public License, Version 2.0": "",
+    "This work is licensed under the GNU General Public License, version 2": "gpl",
+    "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+    "Permission is hereby granted, free of charge,\nto any person obtaining\na copy of this software": "mit-grant",
+    "Released under the BSD license": "",
+    "word " * 33 + "Released\nunder the\nMIT license " + "word " * 40: "mit",
+    "Licensed under CC BY-SA\n4.0": "cc-by,cc-by-sa-4.0",
+    "released under the " + "word " * 60 + "mit license " + "word " * 60: "",
+}
+
+
+def test_wrapped_and_sibling_licenses(spark):
+    docs = spark.createDataFrame(list(enumerate(BY_HAND)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in ls.license_documents(docs).collect()}
+    assert [got[i] for i in range(len(BY_HAND))] == list(BY_HAND.values())
+
+
+def test_hot_text(spark):
+    rows = [(i, TEXTS[5]) for i in range(500)] + [(None, TEXTS[3])] * 200
+    got = ls.license_documents(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("labels").count().collect()
+    assert {r["labels"]: r["count"] for r in got} == {"apache-2.0": 500, "gpl": 200}
+
+
+def test_registered_query_equals_its_sql(spark):
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    columns = "doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score"
+    want = duck.execute(f"SELECT {columns} FROM ({ls.op1_sql()})").fetchall()
+    got = [tuple(r) for r in ls.op1_license_scan(spark, "/root/testdata/sf0.001").select(*columns.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[6] for r in got)
+
+
 def test_prefixes_lose_nothing():
     """Every word set that meets a template has a word of its prefix, whatever the order of words."""
     templates = ls.PHRASES + ls.NOTICES
