@@ -8,16 +8,29 @@ from strandworks.llm import packing as pk
 
 
 def plain(sizes, capacities):
-    """The same rule, looking at every open bin."""
-    bins, out, rest = [], [], sum(sizes)
-    for size in sizes:
-        rest -= size
+    """The cheapest of the plain packings by least opened length."""
+    tried = [plain_once(sizes, capacities, capacities[k:]) for k in range(len(capacities))]
+    return min(tried, key=lambda x: round(sum(map(pk.cost, x[1])), 6))
+
+
+def plain_once(sizes, capacities, opened):
+    """The same rule, looking at every open bin and every piece to come."""
+    bins, out = [], []
+
+    def costs(c, size, rest):
+        held, left = size, c - size
+        for r in sorted(rest, reverse=True):
+            if r <= left:
+                held, left = held + r, left - r
+        return pk.cost(c) / held, c
+
+    for k, size in enumerate(sizes):
         fitting = [(cap - used - size, -last, b) for b, (cap, used, last) in enumerate(bins) if cap - used >= size]
         if fitting:
             b = min(fitting)[2]
         else:
             b = len(bins)
-            bins.append([pk.least_cost(size, rest, capacities), 0, 0])
+            bins.append([min((costs(c, size, sizes[k + 1 :]) for c in opened if c >= size))[1], 0, 0])
         bins[b][1] += size
         bins[b][2] = len(out)
         out.append(b)
@@ -79,3 +92,23 @@ def test_little_waste(spark):
     tokens = got.agg({"n_tokens": "sum"}).first()[0]
     slots = got.select("block", "bin", "bin_length").distinct().agg({"bin_length": "sum"}).first()[0]
     assert tokens / slots > 0.97
+
+
+def test_lengths_are_chosen_by_what_is_to_come():
+    for size, length in ((600, 2048), (500, 1024), (1300, 4096), (900, 1024)):  # three in 2,048, two in 1,024, three in 4,096, one in 1,024
+        lengths = pk.best_fit(np.full(60, size))[2]
+        assert (lengths == length).mean() > 0.9
+    rng = np.random.default_rng(0)
+    sizes = np.sort(rng.choice([520, 700, 1100, 1400, 2100], 3000))[::-1]
+    lengths = pk.best_fit(sizes)[2]
+    alone = [pk.best_fit(sizes, (c,))[2] for c in pk.CAPACITIES if c >= 2100]
+    total = lambda x: sum(pk.cost(int(n)) for n in x)
+    assert total(lengths) <= min(map(total, alone))
+    free = pk.pack_once(sizes, pk.CAPACITIES, pk.CAPACITIES)[2]
+    assert len(set(free.tolist())) > 2  # several lengths are opened, not one
+
+
+def test_equal_rows_are_dealt_over_blocks(spark):
+    docs = spark.range(30_000).selectExpr("1L as doc_id", "repeat('w ', 100) as text", "'x' as BIN")
+    got = pk.pack_documents(docs, block_pieces=1000).groupBy("block").count().collect()
+    assert sum(r["count"] for r in got) == 30_000 and len(got) == 30 and max(r["count"] for r in got) < 1300
