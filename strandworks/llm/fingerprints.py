@@ -9,6 +9,9 @@ corrects.
 Null text is empty text. A text without words has the empty fingerprint: alike (1.0) to another such, unlike (0.0) to all
 others. Rows are ordered by doc_id, null first, ties by text hash; the row after the last is the first, so a single row is
 its own successor. An empty table gives an empty result.
+
+Successors are found in ranges of that order. Ranges are cut by bytes of text, at points (doc_id, text hash), so long texts and
+a doc_id of many rows, null among them, make more ranges and no larger ones; equal rows alone stay together.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BINS = 1 << BIN_BITS
 BITS = 8
 PROBES = 6
 LEAST_LONG = -(1 << 63)
+RANGE_BYTES = 8 << 20
+POINTS = 8
 
 
 def words(text: Column) -> Column:
@@ -83,44 +88,61 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), estimate)))
 
 
-def range_starts(keys: DataFrame, column: str) -> list[int]:
-    """Where ranges of about equal counts begin, ascending: as many as there are shuffle partitions, so its size is the cluster's."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select(column).repartitionByRange(n, column).groupBy(F.spark_partition_id().alias("p")).agg(F.min(column).alias("lo"))
-    return sorted({r["lo"] for r in ranged.select("lo").collect()})
+def range_starts(rows: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
+    """Where ranges of about range_bytes of text begin, ascending (key, tie); the first row of all is the first.
+
+    Rows are drawn by a hash with a probability in proportion to their bytes, POINTS for each range, so as many points as
+    make a range stand for range_bytes. The driver gets 16 bytes for each range_bytes / POINTS of text: some 100 MB at 100 TB.
+    """
+    uniform = F.pmod(F.xxhash64("key", "tie", F.lit("range")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = rows.where(uniform < F.col("bytes") * F.lit(POINTS / range_bytes)).select("key", "tie").distinct()
+    points = drawn.toArrow().sort_by([("key", "ascending"), ("tie", "ascending")])
+    first = rows.agg(F.min(F.struct("key", "tie")).alias("f")).first()["f"]
+    if first is None:
+        return []
+    keys, ties = (points.column(c).to_pylist()[POINTS::POINTS] for c in ("key", "tie"))
+    return [(first["key"], first["tie"]), *(p for p in zip(keys, ties, strict=True) if p != tuple(first))]
+
+
+def longs(values: list[int]) -> Column:
+    """One literal, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def range_number(key: Column, starts: list[int]) -> Column:
-    """Index of the last start not above key, by a search in two levels."""
-    step = max(1, int(len(starts) ** 0.5))
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    blocks = F.array(*[longs(starts[i : i + step]) for i in range(0, len(starts), step)])
-    up_to = lambda xs: F.size(F.filter(xs, lambda s: s <= key))
-    block = F.greatest(up_to(longs(starts[::step])) - 1, F.lit(0))
-    return block * step + up_to(F.get(blocks, block)) - 1
+def range_number(key: Column, tie: Column, starts: list[tuple[int, int]]) -> Column:
+    """Index of the last start not above (key, tie), by a search in two levels; -1 if all are above."""
+    n, step = len(starts), max(1, int(len(starts) ** 0.5))
+    keys, ties = longs([k for k, _ in starts]), longs([t for _, t in starts])
+    reached = lambda i: (F.get(keys, i) < key) | ((F.get(keys, i) == key) & (F.get(ties, i) <= tie))
+    up_to = lambda at: F.size(F.filter(at, reached))
+    block = F.greatest(up_to(F.sequence(F.lit(0), F.lit(n - 1), F.lit(step))) - 1, F.lit(0))
+    return let(block * step, lambda b: b + up_to(F.sequence(b, F.least(b + (step - 1), F.lit(n - 1)))) - 1)
 
 
-def with_next(rows: DataFrame, key: str, tie: str, take: dict[str, str]) -> DataFrame:
-    """rows with the columns of take (name: new name) of the row after it in the order of key and tie; after the last comes the first.
+def with_next(rows: DataFrame, take: dict[str, str], range_bytes: int) -> DataFrame:
+    """rows (key, tie, bytes, ...) with the columns of take (name: new name) of the row after it in the order of key and tie; after the last comes the first.
 
-    Rows are dealt to ranges of key, so one shuffle brings neighbours together and no task has more than ranges. The first
-    rows of each range are also sent, marked, to the end of the range before, where the last row finds them.
+    Rows are dealt to ranges, so one shuffle brings neighbours together and no task has more than ranges. The rows that a
+    range begins with are also sent, marked, to the end of the range before, where the last row finds them.
     """
-    starts = range_starts(rows, key)
+    starts = range_starts(rows, range_bytes)
     if not starts:
         return rows.select("*", *[F.col(c).alias(n) for c, n in take.items()])
-    ranged = rows.withColumns({"_range": range_number(F.col(key), starts), "_guest": F.lit(False)})
-    guests = rows.where(F.col(key).isin(starts)).withColumns({"_range": F.pmod(range_number(F.col(key), starts) - 1, F.lit(len(starts))), "_guest": F.lit(True)})
-    order = Window.partitionBy("_range").orderBy("_guest", key, tie)
-    both = ranged.unionByName(guests).select("*", *[F.lead(c).over(order).alias(n) for c, n in take.items()])
-    return both.where(~F.col("_guest")).drop("_range", "_guest")
+    own = rows.withColumn("_range", range_number(F.col("key"), F.col("tie"), starts))
+    first = (F.get(longs([k for k, _ in starts]), F.col("_range")) == F.col("key")) & (F.get(longs([t for _, t in starts]), F.col("_range")) == F.col("tie"))
+    here = F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest"))
+    there = F.struct(F.pmod(F.col("_range") - 1, F.lit(len(starts))).alias("r"), F.lit(True).alias("guest"))
+    dealt = own.withColumn("_at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))))
+    dealt = dealt.select(*rows.columns, F.col("_at.r").alias("_range"), F.col("_at.guest").alias("_guest"))
+    order = Window.partitionBy("_range").orderBy("_guest", "key", "tie")
+    return dealt.select("*", *[F.lead(c).over(order).alias(n) for c, n in take.items()]).where(~F.col("_guest")).drop("_range", "_guest")
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """docs (doc_id, text) -> fingerprints of each text, of its edited text, and their likenesses (see op9)."""
     rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)), "tie": F.xxhash64("text"), "fingerprint": fingerprint(F.col("text"))})
-    near = with_next(rows, "key", "tie", {"text": "next_text", "fingerprint": "next_fingerprint"})
+    rows = rows.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)), "tie": F.xxhash64("text"), "bytes": F.octet_length("text"), "fingerprint": fingerprint(F.col("text"))})
+    near = with_next(rows, {"text": "next_text", "fingerprint": "next_fingerprint"}, range_bytes)
     n = F.char_length("text")
     k = F.floor(n / 4).cast("int")
     edited = near.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k)).alias("edited"))

@@ -97,6 +97,23 @@ def test_bias_is_corrected(spark):
 
 @pytest.mark.parametrize("starts", [[5], [1, 4, 9], list(range(0, 100, 3))])
 def test_range_numbers(spark, starts):
-    frame = spark.range(-3, 110)
-    for r in frame.select("id", fp.range_number(frame["id"], starts).alias("n")).collect():
-        assert max(r["n"], 0) == max(sum(s <= r["id"] for s in starts) - 1, 0)
+    frame = spark.range(-3, 110).selectExpr("id", "id % 3 as tie")
+    points = [(k, k % 2) for k in starts]
+    for r in frame.select("id", "tie", fp.range_number(frame["id"], frame["tie"], points).alias("n")).collect():
+        assert r["n"] == sum(p <= (r["id"], r["tie"]) for p in points) - 1
+
+
+def test_ranges_are_cut_by_bytes_within_one_id(spark):
+    rows = [(None if i % 3 else i % 7, f"text {i} " * (400 if i % 50 == 0 else 4)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("coalesce(doc_id, -1) as key", "xxhash64(text) as tie", "octet_length(text) as bytes")
+    starts = fp.range_starts(docs, 4000)
+    held = [r["b"] for r in docs.groupBy(fp.range_number(docs["key"], docs["tie"], starts).alias("n")).agg({"bytes": "sum"}).withColumnRenamed("sum(bytes)", "b").collect()]
+    assert len(held) == len(starts) > 10 and max(held) < 5 * 4000 and sum(r[0] == -1 for r in starts) > 5
+
+
+def test_small_ranges_give_the_same_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", docs["doc_id"] % 3)).unionByName(docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    key = lambda r: str(tuple(r))
+    want = sorted(map(key, fp.fingerprint_edits(docs, 1 << 40).collect()))
+    assert sorted(map(key, fp.fingerprint_edits(docs, 3000).collect())) == want
