@@ -3,13 +3,20 @@
 An automaton over all magic bytes finds every place where a medium may begin; a format's validator then walks its structure
 and says how long the medium is, or that there is none. What validates at offset 0 corrects the declared type; what
 validates further inside is carved as embedded media. Null content is no bytes: it has no type and nothing to carve.
+
+Validators walk from chunk to chunk; those that look for an end mark (PDF, ZIP, JPEG) find it among all marks of the content,
+which are listed once. Magic bytes inside a compressed stream that validated are part of it and are passed over. So sniffing
+takes time in proportion to the content, also where it is all magic bytes; only gzip headers set to inflate one another's
+stored bytes cost more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 from typing import NamedTuple
@@ -17,6 +24,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +32,11 @@ from .common import pick, table
 
 BLOCK = 64
 RATE = 8000
+INFLATED = 1 << 16
+BATCH_BYTES = 16 << 20
+DECLARED = ("audio/wav", "application/octet-stream", "image/png", "audio/wav", "text/plain")
+#: What stands inside these is compressed, so magic bytes there mean nothing.
+CLOSED_KINDS = frozenset({"application/gzip"})
 
 
 class Found(NamedTuple):
@@ -32,6 +45,54 @@ class Found(NamedTuple):
     kind: str
 
 
+class Content(bytes):
+    """Bytes that know where each end mark stands in them."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return known[mark]
+
+    def inflated(self, at: int) -> tuple[int, int, int] | None:
+        """Where the deflate stream that begins here ends, checksum and size of what it holds; read in parts, once for each place."""
+        known = self.__dict__.setdefault("known", {}).setdefault("inflated", {})
+        if at not in known:
+            d, p, part, checksum, size = zlib.decompressobj(-15), at, 256, 0, 0
+            known[at] = None
+            try:
+                while not d.eof and (d.unconsumed_tail or p < len(self)):
+                    data = d.unconsumed_tail
+                    if not data:
+                        data, p, part = self[p : p + part], min(len(self), p + part), min(2 * part, INFLATED)
+                    out = d.decompress(data, INFLATED)
+                    checksum, size = zlib.crc32(out, checksum), size + len(out)
+            except zlib.error:
+                return None
+            if d.eof:
+                known[at] = p - len(d.unused_data), checksum, size & 0xFFFFFFFF
+        return known[at]
+
+    def directories(self) -> dict[int, list[int]]:
+        """ZIP end records by where their archives begin: where the directory's size and offset lead back to."""
+        known = self.__dict__.setdefault("known", {})
+        if "zip" not in known:
+            known["zip"] = {}
+            for p in self.places(b"PK\x05\x06"):
+                if p + 22 <= len(self):
+                    size, start = struct.unpack_from("<II", self, p + 12)
+                    begins = p - size - start
+                    if begins >= 0 and (not size or self[p - size : p - size + 4] == b"PK\x01\x02"):
+                        known["zip"].setdefault(begins, []).append(p)
+        return known["zip"]
+
+    def next_place(self, mark: bytes, at: int) -> int:
+        """The first place of mark from `at` on, -1 if there is none."""
+        found = self.places(mark)
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
 def _riff(b: bytes, at: int, form: bytes) -> int | None:
     """The length by the RIFF size if the form matches and its chunks tile the content exactly."""
     if len(b) - at < 12 or b[at + 8 : at + 12] != form:
@@ -104,7 +165,7 @@ def jpeg_length(b: bytes, at: int) -> int | None:
         marker = b[p + 1]
         p += 2 + int.from_bytes(b[p + 2 : p + 4], "big")
         if marker == 0xDA:
-            end = b.find(b"\xff\xd9", p)
+            end = b.next_place(b"\xff\xd9", p)
             return end + 2 - at if end >= 0 else None
     return None
 
@@ -118,29 +179,37 @@ def bmp_length(b: bytes, at: int) -> int | None:
     return size if ok else None
 
 
-def pdf_length(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > at and b.find(b"startxref", at, end) > 0 else None
+def pdf_length(b: Content, at: int) -> int | None:
+    end = b.next_place(b"%%EOF", at)
+    start = b.next_place(b"startxref", at)
+    return end + 5 - at if end > at and at < start < end else None
 
 
-def gzip_length(b: bytes, at: int) -> int | None:
+def gzip_length(b: Content, at: int) -> int | None:
     """A member that inflates with right checksum and size."""
-    d = zlib.decompressobj(31)
-    try:
-        d.decompress(b[at:])
-    except zlib.error:
+    if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    flags, p = b[at + 3], at + 10
+    if flags & 4:  # extra field
+        p += 2 + int.from_bytes(b[p : p + 2], "little")
+    for flag in (8, 16):  # name, comment
+        if flags & flag:
+            p = b.next_place(b"\0", p) + 1
+            if not p:
+                return None
+    p += 2 if flags & 2 else 0  # checksum of the header
+    if found := b.inflated(p):
+        end, checksum, size = found
+        return end + 8 - at if b[end : end + 8] == struct.pack("<II", checksum, size) else None
+    return None
 
 
-def zip_length(b: bytes, at: int) -> int | None:
-    """Up to an end record whose central directory lies where it says."""
-    p = b.find(b"PK\x05\x06", at)
-    while p >= 0 and p + 22 <= len(b):
-        size, start, comment = struct.unpack_from("<IIH", b, p + 12)
-        if at + start + size == p and (not size or b[at + start : at + start + 4] == b"PK\x01\x02") and p + 22 + comment <= len(b):
+def zip_length(b: Content, at: int) -> int | None:
+    """Up to the end record whose central directory begins where it says, counted from here, with as many entries as it says."""
+    for p in b.directories().get(at, ()):
+        comment = int.from_bytes(b[p + 20 : p + 22], "little")
+        if p + 22 + comment <= len(b):
             return p + 22 + comment - at
-        p = b.find(b"PK\x05\x06", p + 1)
     return None
 
 
@@ -160,7 +229,7 @@ def flac_length(b: bytes, at: int) -> int | None:
 class Format(NamedTuple):
     magic: bytes
     kind: str
-    length: Callable[[bytes, int], int | None]
+    length: Callable[[Content, int], int | None]
 
 
 #: The magic bytes of the formats and their media types.
@@ -193,27 +262,56 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(content: bytes) -> list[Found]:
-    """All media in content, outermost first; one that begins inside an already found one is embedded in it and listed too."""
-    out = []
+    """All media in content, outermost first; one that begins inside an already found one is embedded in it and listed too, unless that is compressed."""
+    out, data, closed_to = [], Content(content), 0
     for end, (n, formats) in automaton().iter(content.decode("latin-1")):
         at = end - n + 1
+        if at < closed_to:
+            continue
         for f in formats:
-            if length := f.length(content, at):
+            if length := f.length(data, at):
                 out.append(Found(at, length, f.kind))
+                if f.kind in CLOSED_KINDS:
+                    closed_to = at + length
                 break
     return sorted(out, key=lambda x: (x.offset, -x.length, x.kind))
 
 
+def carved(content: bytes, found: list[Found]) -> list[dict]:
+    """What was found past offset 0; bytes only of what no other of it holds, as those have the bytes of what is in them."""
+    out, held_to = [], 0
+    for x in found:
+        if x.offset:
+            whole = x.offset + x.length > held_to
+            out.append({"offset": x.offset, "length": x.length, "type": x.kind, "bytes": content[x.offset : x.offset + x.length] if whole else None})
+            held_to = max(held_to, x.offset + x.length)
+    return out
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about BATCH_BYTES of a binary column."""
+    for b in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()):
+            if held and held + n > BATCH_BYTES:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if b.num_rows > start:
+            yield b.slice(start)
+
+
 def sniff_media(rows: DataFrame, key: str = "id", content: str = "content", declared: str = "declared_type") -> DataFrame:
     """rows (key, binary content, declared type) -> one row a row: key, detected_type, corrected_type, is_mismatch, embedded.
 
     detected_type is null where nothing validates at offset 0; corrected_type then keeps the declared one. embedded lists
-    offset, length, type and bytes of each medium found past offset 0, exact copies included.
+    offset, length, type and bytes of each medium found past offset 0, exact copies included; bytes are null for media inside
+    another one of the list, whose bytes have theirs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
-        for b in batches:
+        for b in by_bytes(batches, "content"):
             detected, fixed, wrong, inner = [], [], [], []
             for c, d in zip(b.column("content").to_pylist(), b.column("declared").to_pylist(), strict=True):
                 c = c or b""
@@ -222,7 +320,7 @@ def sniff_media(rows: DataFrame, key: str = "id", content: str = "content", decl
                 detected.append(top)
                 fixed.append(top or d)
                 wrong.append(top is not None and top != d)
-                inner.append([{"offset": x.offset, "length": x.length, "type": x.kind, "bytes": c[x.offset : x.offset + x.length]} for x in found if x.offset])
+                inner.append(carved(c, found))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(detected, pa.string()), pa.array(fixed, pa.string()), pa.array(wrong, pa.bool_()), pa.array(inner, kind)], [key, "detected_type", "corrected_type", "is_mismatch", "embedded"])
 
     rows = pick(rows, key, content, declared).toDF("key", "content", "declared")
@@ -260,25 +358,26 @@ def wav_features(samples: bytes, rate: int = RATE) -> str:
 def media_documents(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> the media of each text as a WAV file: doc_id, n_bytes, payload_bytes, media, declared_type.
 
-    The payload is the text in UTF-8 (null: none) and bytes 0 up to a positive multiple of 64.
+    The payload is the text in UTF-8 (null: none) and bytes 0 up to a positive multiple of 64. Documents declare no media
+    type; DECLARED stands in for what senders say, right and wrong, by the text's length, so equal texts declare the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "raw"):
             raw = [t or b"" for t in b.column("raw").to_pylist()]
             padded = [t + b"\0" * (-len(t) % BLOCK if t else BLOCK) for t in raw]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(map(len, padded), pa.int64()), pa.array([wav_encode(p) for p in padded], pa.binary())], ["doc_id", "n_bytes", "payload_bytes", "media"])
 
     rows = pick(docs, "doc_id", "text").select("doc_id", F.col("text").cast("binary").alias("raw"))
     made = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, payload_bytes long, media binary")
-    return made.withColumn("declared_type", F.lit("application/octet-stream"))
+    return made.withColumn("declared_type", F.get(F.array(*map(F.lit, DECLARED)), (F.col("n_bytes") % len(DECLARED)).cast("int")))
 
 
 def read_media(media: DataFrame) -> DataFrame:
     """media_documents() read back: each file is sniffed, checked and decoded; its type is corrected and what it embeds is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "media"):
             out: list[tuple] = []
             for m, declared in zip(b.column("media").to_pylist(), b.column("declared_type").to_pylist(), strict=True):
                 found = sniff(m)

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
@@ -91,3 +92,48 @@ def test_wav_chunks_in_other_layouts():
         assert found == [me.Found(0, len(good), "audio/wav")] and me.wav_samples(good, found) == b"\x80" * 8
     for bad in (riff(data, fmt(16)), riff(fmt(16)), riff(data), riff(chunk(b"fmt ", bytes(14)), data), riff(fmt(16), data, data), riff(fmt(16), fmt(16), data)):
         assert not me.sniff(bad)
+
+
+@pytest.mark.parametrize("bit", [f.magic for f in me.FORMATS] + [b"%%EOF", b"PK\x05\x06", b"PK\x03\x04PK\x05\x06", b"%PDF-startxref", b"\xff\xd8\xff\xda\x00\x02", b"\x1f\x8b\x08\x00" + bytes(6) + b"\x00"])
+def test_content_of_magic_bytes_takes_linear_time(bit):
+    def took(n):
+        start = time.process_time()
+        me.sniff(bit * (n // len(bit)))
+        return time.process_time() - start
+
+    took(1000)
+    assert took(400_000) < 3 and took(800_000) < 6  # a fraction of a second; a quadratic scan takes minutes
+
+
+def test_nested_media_are_carved_once():
+    inner = FILES["image/gif"]
+    outer = FILES["image/png"]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    nested = outer[:33] + chunk(b"teXt", inner) + outer[33:]  # a GIF in a chunk of a PNG
+    data = b"head" + nested + b"gap" + inner
+    got = me.carved(data, me.sniff(data))
+    assert [(e["offset"], e["type"], e["bytes"]) for e in got] == [(4, "image/png", nested), (4 + nested.index(inner), "image/gif", None), (len(data) - len(inner), "image/gif", inner)]
+    assert [x.kind for x in me.sniff(gzip.compress(inner * 3, 0))] == ["application/gzip"]  # not what is stored in it
+
+
+def test_two_archives_one_behind_the_other():
+    a = archive()
+    assert [(x.offset, x.length) for x in me.sniff(a + b"gap" + a)] == [(0, len(a)), (len(a) + 3, len(a))]
+    assert [(x.offset, x.length) for x in me.sniff(FILES["application/gzip"] + b"x" * 200_000)] == [(0, len(FILES["application/gzip"]))]
+    big = gzip.compress(bytes(3_000_000))
+    assert [(x.offset, x.length) for x in me.sniff(b"ab" + big + b"tail")] == [(2, len(big))]
+
+
+def test_slices_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(me, "BATCH_BYTES", 10)
+    data = [b"1234", None, b"123456", b"1", b"x" * 50, b"", b"yy"]
+    got = list(me.by_bytes(iter([pa.RecordBatch.from_pydict({"c": pa.array(data, pa.binary())})]), "c"))
+    assert [x for b in got for x in b.column("c").to_pylist()] == data and len(got) == 4
+
+
+def test_registered_query_corrects_declared_types(spark):
+    got = me.op2_media_columns(spark, "/root/testdata/sf0.001").collect()
+    assert {r["corrected_type"] for r in got} == {"audio/wav"} and {r["is_mismatch"] for r in got} == {True, False}
+    assert all(r["is_mismatch"] == (me.DECLARED[r["n_bytes"] % len(me.DECLARED)] != "audio/wav") for r in got)
