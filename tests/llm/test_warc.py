@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import re
 
 import pytest
 
@@ -38,7 +39,12 @@ def test_pages_round_trip(spark, tmp_path):
     got = [tuple(r) for r in warc.read_pages(spark, path).collect()]
     assert sorted(got, key=str) == expected(rows)
     uris = {r["target_uri"] for r in spark.read.format("warc").load(path).where("payload_digest is not null").collect()}
-    assert uris == {u for _, u, _, _ in rows}
+    assert uris == {u and u.replace("\r", "%0D").replace("\n", "%0A") for _, u, _, _ in rows}
+    records = spark.read.format("warc").load(path).collect()
+    ids = [r["record_id"] for r in records]
+    assert len(set(ids)) == len(rows) and all(re.fullmatch("<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
+    for r in records:
+        assert (r["profile"] == warc.PROFILE and r["refers_to"] in ids) if r["record_type"] == "revisit" else r["profile"] is None is r["refers_to"]
 
 
 def test_predicates_reach_the_reader(spark, tmp_path):
@@ -61,8 +67,13 @@ def test_skipped_payloads_are_not_kept():
 
 def test_damaged_archives_are_errors():
     data = warc.record_bytes({"record_type": "response"}, b"abc")
+    for whole in (data, data + data, gzip.compress(data), gzip.compress(data) * 2):
+        for k in range(1, len(whole)):
+            if k not in (len(data), len(gzip.compress(data))):  # between two records
+                with pytest.raises(ValueError):
+                    list(warc.records(warc.Stream(io.BytesIO(whole[:k])), [], True))
     with pytest.raises(ValueError):
-        list(warc.records(warc.Stream(io.BytesIO(data[:-6])), [], True))
+        list(warc.records(warc.Stream(io.BytesIO(data.replace(b"Length: 3", b"Length: 2"))), [], True))
     with pytest.raises(ValueError):
         list(warc.records(warc.Stream(io.BytesIO(b"GET / HTTP/1.1\r\n\r\n")), [], True))
 
@@ -84,3 +95,51 @@ def test_files_are_bounded(spark, tmp_path, monkeypatch):
     out.commit([done, None])
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert sorted(r["record_id"] for r in rows) == sorted(f"r{i}" for i in range(10))
+
+
+FOREIGN = b"".join(
+    b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-00000000000" + i + b">\r\nWARC-Target-URI: http://a.com/q?x=100%25&y=a%0Ab\r\nX-Other:\tone\r\n\ttwo\r\ncontent-length:  " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    for kind, i, block in [(b"warcinfo", b"1", b"software: x\r\n"), (b"request", b"2", b"GET / HTTP/1.1\r\n\r\n"), (b"response", b"3", b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n"), (b"metadata", b"4", b"")]
+)
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_archives_of_others_are_unaltered(spark, tmp_path, pack):
+    (tmp_path / f"crawl.warc{'' if pack(b'x') == b'x' else '.gz'}").write_bytes(pack(FOREIGN))
+    warc.register(spark)
+    found = spark.read.format("warc").load(f"file://{tmp_path}")
+    rows = {r["record_type"]: r for r in found.collect()}
+    assert set(rows) == {"warcinfo", "request", "response", "metadata"} and {r["target_uri"] for r in rows.values()} == {"http://a.com/q?x=100%25&y=a%0Ab"}
+    assert bytes(rows["response"]["payload"]) == b"HTTP/1.1 200 OK\r\n\r\nWARC/1.0\r\n" and rows["request"]["record_id"] == "<urn:uuid:00000000-0000-0000-0000-000000000002>"
+    assert [r["record_type"] for r in found.where("record_type = 'response'").collect()] == ["response"]
+
+
+def test_files_of_other_types_are_not_opened(spark, tmp_path):
+    path = write(spark, [(i, "u", "same text " * 20, "x") for i in range(5)], f"file://{tmp_path}/w")
+    reader = warc.WarcReader(path, True)
+    every = len(reader.partitions())
+    list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit")]))
+    assert 0 < len(reader.partitions()) < every and all(p.path.endswith(".only-revisit.warc.gz") for p in reader.partitions())
+
+
+def test_sieve_has_every_key(spark):
+    keys = spark.range(5000).selectExpr("xxhash64(id) as h")
+    rows = spark.range(50_000).selectExpr("id", "xxhash64(id) as h")
+    for bits in (15, 20):
+        got = warc.sieved(rows, warc.sieve(keys, bits), bits, "hit").where("hit").collect()
+        assert set(range(5000)) <= {r["id"] for r in got} and len(got) < 5000 + 50_000 * 5000 / 2**bits * 1.2
+
+
+@pytest.mark.parametrize("bits", [15, 4])
+def test_hot_payloads_and_a_full_sieve(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(warc, "bits_for", lambda keys: bits)  # with 16 bits nearly every row is caught by chance
+    hot, few = "error page " * 20, "<p>é</p>" * 20
+    rows = [(i, "u", hot if i % 3 == 0 else few if i % 50 == 1 else f"page {i} " * 20, "x") for i in range(300)] + [(7, "again", "page 7 " * 20, "x")] * 3
+    path = write(spark, rows, f"file://{tmp_path}/w")
+    assert sorted((tuple(r) for r in warc.read_pages(spark, path).collect()), key=str) == expected(rows)
+    assert spark.read.format("warc").load(path).select("record_id").distinct().count() == len(rows)
+
+
+def test_registered_query(spark):
+    rows = [(r["page_id"], r["url"], r["html"], "") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    assert sorted((tuple(r) for r in warc.op6_warc(spark, "/root/testdata/sf0.001").collect()), key=str) == expected(rows)
