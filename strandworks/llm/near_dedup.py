@@ -11,11 +11,15 @@ Equal texts are one node. Nodes that agree on a whole band share a bucket. Links
 thousands of near copies never becomes all its pairs:
 
 1. in each bucket every node is verified against one hub only, the node with most copies; links give components;
-2. buckets whose nodes are still in different components are compared in blocks, signature against signature, and only pairs
-   across components that may reach the threshold are verified.
+2. buckets whose nodes are still in different components are split by size, as texts whose shingle sets differ by more than
+   the threshold in size have no link: a class of sizes meets itself and the next one. Within these, blocks of nodes meet,
+   signature against signature, but not blocks of one component; only pairs across components that may reach the threshold
+   are verified.
 
 A pair already in one component needs no verification, as its link would change nothing. A link is an exact Jaccard
-similarity of at least 0.8 of the shingle sets. With 32 bands of 6 a pair at 0.8 shares a bucket with probability 0.9999.
+similarity of at least 0.8 of the shingle sets. With 32 bands of 6 a pair at 0.8 shares a bucket with probability 0.9999. What
+step 2 compares is lossless, so texts that are alike by the hundred thousand but not linked cost their pairs of signatures;
+these are bytes in blocks that no task holds together.
 
 Null text is empty text. Texts without words have no shingles: they group with exact copies only. Null and repeated doc_ids
 are allowed: every row gets its class. An empty table gives an empty result.
@@ -41,7 +45,7 @@ M = 2 * BANDED  # the second half only sharpens estimates
 THRESHOLD = 0.8
 #: Signatures of a pair at the threshold agree on less than this share with a probability below 0.0005 (3.3 standard errors).
 LEAST_ESTIMATE = THRESHOLD - 3.3 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
-BLOCK = 256
+BLOCK = 512
 PART_PAIRS = 200
 _WORD = re.compile(r"[^\W_]+")
 _POWERS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 for i in range(SHINGLE)], np.uint64)
@@ -150,11 +154,13 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     name = "near_texts_" + path.rsplit("-", 1)[1]
     once = rows.groupBy("node").agg(F.first("text", ignorenulls=True).alias("text"), F.count("*").alias("copies"))
     once.write.bucketBy(n, "node").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    found.schema, spark.sql(f"DROP TABLE {name}")  # the name was for the buckets only; the files, which are not the catalogue's, stay
+    return found
 
 
 def sign(texts: DataFrame) -> DataFrame:
-    """texts (node, text, copies) -> node, copies, marks, bands; without rows for texts that have no words.
+    """texts (node, text, copies) -> node, copies, size (of the shingle set), marks, bands; without rows for texts that have no words.
 
     Bands are made of whole marks; of the marks themselves the low bytes are kept.
     """
@@ -168,9 +174,10 @@ def sign(texts: DataFrame) -> DataFrame:
                 b = b.filter(pa.array([len(h) > 0 for h, _ in found], pa.bool_()))
                 marks = signatures([(h, np.ones(len(h))) for h, _ in found if len(h)])
                 low = [m.tobytes() for m in marks.astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(low, pa.binary()), pa.array(list(band_keys(marks)), pa.list_(pa.int64()))], ["node", "copies", "marks", "bands"])
+                sizes = pa.array([len(h) for h, _ in found if len(h)], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), sizes, pa.array(low, pa.binary()), pa.array(list(band_keys(marks)), pa.list_(pa.int64()))], ["node", "copies", "size", "marks", "bands"])
 
-    return texts.select("node", "text", "copies").mapInArrow(run, "node binary, copies long, marks binary, bands array<long>")
+    return texts.select("node", "text", "copies").mapInArrow(run, "node binary, copies long, size long, marks binary, bands array<long>")
 
 
 def shared_buckets(signed: DataFrame) -> DataFrame:
@@ -244,45 +251,58 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs across components that share a bucket and whose signatures agree on at least `least`; each pair once.
+def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least: float, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs across components that share a bucket, may have the threshold by their sizes, and whose signatures agree on at least `least`; each pair once.
 
-    Buckets are cut in blocks of about BLOCK nodes by a hash, and block meets block, so no task holds a whole bucket.
+    A bucket is cut by size class, each class in blocks of about BLOCK nodes by a hash; a block meets blocks of its own class
+    and of the next, so no task holds a whole bucket. The nodes of a bucket's largest component are in blocks of their own,
+    which do not meet among themselves.
     """
     own = labels.toDF("_node", "label")
     labelled = shared.join(own, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select(F.col("key").alias("_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(written(mixed, "mixed"), F.col("key") == F.col("_key")).select("key", "node", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(signed.select(F.col("node").alias("_node"), "marks", "bands"), F.col("node") == F.col("_node"))
-    # the number of the bucket's band: the pair is this bucket's only if no earlier band has one key
-    members = members.withColumn("band", F.array_position("bands", F.col("key")) - 1)
-    blocks = members.groupBy("key", "blocks", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "marks", "bands")).alias("x"))
-    left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    right = blocks.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("x").alias("y"))
-    met = left.join(right, (F.col("key") == F.col("_key")) & (F.col("other") == F.col("_block"))).select("band", (F.col("block") == F.col("other")).alias("same"), "x", "y")
-
-    def unpack(column: pa.StructArray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(F.col("key").alias("_key"))
+    members = labelled.join(written(mixed, "mixed"), F.col("key") == F.col("_key")).select("key", "node", "label")
+    parts = members.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
+    members = members.join(written(parts.withColumnRenamed("key", "_key"), "largest"), F.col("key") == F.col("_key")).select("key", "node", "label", (F.col("label") == F.col("most")).alias("main"))
+    size_class = F.floor(F.log("size") / F.lit(float(np.log(1 / threshold)) + 1e-9)).cast("int").alias("class")
+    members = members.join(signed.select(F.col("node").alias("_node"), size_class), F.col("node") == F.col("_node")).drop("_node")
+    members = written(members, "members")
+    sizes = members.groupBy("key", "class", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = written(sizes.select(F.col("key").alias("_key"), F.col("class").alias("_class"), F.col("main").alias("_main"), "blocks"), "block-counts")
+    placed = members.join(sizes, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")) & (F.col("main") == F.col("_main")))
+    placed = placed.select("key", "class", "main", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "label")
+    placed = placed.join(signed.select(F.col("node").alias("_node"), "marks"), F.col("node") == F.col("_node"))
+    blocks = written(placed.groupBy("key", "class", "main", "block").agg(F.collect_list(F.struct("node", "label", "marks")).alias("x")), "blocks")
+    brief = blocks.select("key", "class", "main", "block")  # which blocks meet is settled without signatures
+    near = brief.withColumn("_c", F.explode(F.array("class", F.col("class") + 1)))
+    other = brief.toDF("_key", "_class", "_main", "_block")
+    met = near.join(other, (F.col("key") == F.col("_key")) & (F.col("_c") == F.col("_class")))
+    once = (F.col("class") != F.col("_class")) | (F.struct("main", "block") <= F.struct("_main", "_block"))
+    met = written(met.where(once & ~(F.col("main") & F.col("_main"))).drop("_c"), "block-pairs")
+    one = blocks.toDF("k1", "c1", "m1", "b1", "x")
+    two = blocks.toDF("k2", "c2", "m2", "b2", "y")
+    both = met.join(one, (F.col("key") == F.col("k1")) & (F.col("class") == F.col("c1")) & (F.col("main") == F.col("m1")) & (F.col("block") == F.col("b1")))
+    both = both.join(two, (F.col("_key") == F.col("k2")) & (F.col("_class") == F.col("c2")) & (F.col("_main") == F.col("m2")) & (F.col("_block") == F.col("b2")))
+    same = (F.col("class") == F.col("_class")) & (F.col("main") == F.col("_main")) & (F.col("block") == F.col("_block"))
+
+    def unpack(column: pa.StructArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         node, label, marks = (column.field(c).to_pylist() for c in ("node", "label", "marks"))
-        bands = column.field("bands").flatten().to_numpy().reshape(len(column), BANDS)
-        return node, np.array(label, "V16"), np.frombuffer(b"".join(marks), np.uint8).reshape(len(column), M), bands
+        return node, np.array(label, "V16"), np.frombuffer(b"".join(marks), np.uint8).reshape(len(column), M)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for band, same, x, y in zip(*(batch.column(c) for c in ("band", "same", "x", "y")), strict=True):
-                band, same = band.as_py(), same.as_py()
-                nx, lx, mx, bx = unpack(x.values)
-                ny, ly, my, by = (nx, lx, mx, bx) if same else unpack(y.values)  # x and y need not list a block in one order
+            for same, x, y in zip(*(batch.column(c) for c in ("same", "x", "y")), strict=True):
+                nx, lx, mx = unpack(x.values)
+                ny, ly, my = (nx, lx, mx) if same.as_py() else unpack(y.values)  # x and y need not list a block in one order
                 for i in range(len(nx)):  # a node against the whole other block
-                    lo = i + 1 if same else 0
-                    # marks are low bytes only, so they do not tell which buckets a pair shares
-                    hit = ((mx[i] == my[lo:]).mean(1) >= least) & ((bx[i] == by[lo:]).argmax(1) == band) & (lx[i] != ly[lo:])
-                    for j in np.flatnonzero(hit):
-                        a.append(nx[i])
-                        b.append(ny[lo + j])
+                    lo = i + 1 if same.as_py() else 0
+                    for j in np.flatnonzero(((mx[i] == my[lo:]).mean(1) >= least) & (lx[i] != ly[lo:])):
+                        a.append(min(nx[i], ny[lo + j]))
+                        b.append(max(nx[i], ny[lo + j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return met.mapInArrow(run, "a binary, b binary")
+    return both.select(same.alias("same"), "x", "y").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_labels(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -291,7 +311,7 @@ def near_labels(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = written(shared_buckets(signed), "buckets")
     least = LEAST_ESTIMATE + threshold - THRESHOLD
     labels = components(written(verify(written(hub_pairs(shared, signed, least), "pairs"), texts, threshold), "links"))
-    more = verify(written(cross_pairs(shared, signed, labels, least), "pairs"), texts, threshold)
+    more = verify(written(cross_pairs(shared, signed, labels, least, threshold), "pairs"), texts, threshold)
     own, other = labels.toDF("_a", "la"), labels.toDF("_b", "lb")
     between = more.join(own, F.col("a") == F.col("_a"), "left").join(other, F.col("b") == F.col("_b"), "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     joined = components(written(between, "links"))

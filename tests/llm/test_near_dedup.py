@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandworks.llm import near_dedup as nd
 
@@ -131,7 +132,50 @@ def test_low_bytes_do_not_choose_the_band(spark):
     a, b, marks = bytes(16), b"b" * 16, bytes(nd.M)
     one, other = list(range(100, 100 + nd.BANDS)), list(range(200, 200 + nd.BANDS))
     one[5], one[9] = other[5], other[9] = 7, 8  # all bands agree in low bytes, only these have one key
-    signed = spark.createDataFrame([(a, 1, marks, one), (b, 1, marks, other)], "node binary, copies long, marks binary, bands array<long>")
+    signed = spark.createDataFrame([(a, 1, 100, marks, one), (b, 1, 90, marks, other)], "node binary, copies long, size long, marks binary, bands array<long>")
     none = spark.createDataFrame([], "node binary, label binary")
     got = nd.cross_pairs(nd.shared_buckets(signed), signed, none, nd.LEAST_ESTIMATE).collect()
     assert [{bytes(r["a"]), bytes(r["b"])} for r in got] == [{a, b}]
+
+
+def measured(spark, texts):
+    """Of the pairs that comparing all finds linked, the share that ends in one class."""
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(frame(spark, texts)).collect()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in texts.items() for w in [re.findall(r"[^\W_]+", (t or "").lower())] if w}
+    linked = [(i, j) for i, j in combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    return len(linked), sum(got[i] == got[j] for i, j in linked) / max(1, len(linked)), got
+
+
+def test_recall_with_repeated_shingles(spark):
+    """Pairs of 400 common words and 20 other words that are repeated 40 times: alike as sets, unlike as counts."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: ["w%d" % x for x in rng.integers(0, 10**6, n)]
+    texts: dict[int, str | None] = {}
+    for _ in range(60):
+        common = draw(400)
+        for _ in range(2):
+            texts[len(texts)] = " ".join(common + draw(20) * 40)
+    n, recall, got = measured(spark, texts)
+    assert n == 60 and recall == 1 and got == brute(texts)
+
+
+def test_sizes_split_buckets_without_loss(spark, monkeypatch):
+    """Growing texts: each linked to the next by size alone at the limit, all in shared buckets."""
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    words = ["w%d" % i for i in range(4000)]
+    sizes = [round(100 * 1.118**k) for k in range(20)]
+    texts = {k: " ".join(words[: n + 4]) for k, n in enumerate(sizes)} | {20 + k: " ".join(words[: n + 4] + [f"x{k}"]) for k, n in enumerate(sizes)}
+    n, recall, got = measured(spark, texts)
+    assert n > 40 and recall == 1 and got == brute(texts)
+    for a, b in ((100, 80), (1000, 800), (125, 100), (5, 4), (10**6, 8 * 10**5)):  # at the very limit: not further than one class
+        classes = [int(np.floor(np.log(x) / (np.log(1 / nd.THRESHOLD) + 1e-9))) for x in (a, b)]
+        assert classes[0] - classes[1] in (0, 1)
+
+
+def test_no_table_is_left_in_the_catalogue(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    texts = nd.distinct_texts(spark.createDataFrame([(b"a" * 16, "x"), (b"b" * 16, "y"), (b"a" * 16, "x")], "node binary, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((bytes(r["node"])[:1], r["copies"]) for r in texts.collect()) == [(b"a", 2), (b"b", 1)]
+    joined = texts.join(texts.selectExpr("node as n", "text as t"), texts["node"] == F.col("n"))
+    assert joined.count() == 2
