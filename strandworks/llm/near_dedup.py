@@ -271,38 +271,44 @@ def cross_pairs(shared: DataFrame, signed: DataFrame, labels: DataFrame, least:
     sizes = written(sizes.select(F.col("key").alias("_key"), F.col("class").alias("_class"), F.col("main").alias("_main"), "blocks"), "block-counts")
     placed = members.join(sizes, (F.col("key") == F.col("_key")) & (F.col("class") == F.col("_class")) & (F.col("main") == F.col("_main")))
     placed = placed.select("key", "class", "main", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "label")
-    placed = placed.join(signed.select(F.col("node").alias("_node"), "marks"), F.col("node") == F.col("_node"))
-    blocks = written(placed.groupBy("key", "class", "main", "block").agg(F.collect_list(F.struct("node", "label", "marks")).alias("x")), "blocks")
+    placed = placed.join(signed.select(F.col("node").alias("_node"), "marks", "bands"), F.col("node") == F.col("_node"))
+    # the number of the bucket's band: the pair is this bucket's only if no earlier band has one key
+    placed = placed.withColumn("band", F.array_position("bands", F.col("key")) - 1)
+    blocks = written(placed.groupBy("key", "class", "main", "block").agg(F.first("band").alias("band"), F.collect_list(F.struct("node", "label", "marks", "bands")).alias("x")), "blocks")
     brief = blocks.select("key", "class", "main", "block")  # which blocks meet is settled without signatures
     near = brief.withColumn("_c", F.explode(F.array("class", F.col("class") + 1)))
     other = brief.toDF("_key", "_class", "_main", "_block")
     met = near.join(other, (F.col("key") == F.col("_key")) & (F.col("_c") == F.col("_class")))
     once = (F.col("class") != F.col("_class")) | (F.struct("main", "block") <= F.struct("_main", "_block"))
     met = written(met.where(once & ~(F.col("main") & F.col("_main"))).drop("_c"), "block-pairs")
-    one = blocks.toDF("k1", "c1", "m1", "b1", "x")
-    two = blocks.toDF("k2", "c2", "m2", "b2", "y")
+    one = blocks.toDF("k1", "c1", "m1", "b1", "band", "x")
+    two = blocks.drop("band").toDF("k2", "c2", "m2", "b2", "y")
     both = met.join(one, (F.col("key") == F.col("k1")) & (F.col("class") == F.col("c1")) & (F.col("main") == F.col("m1")) & (F.col("block") == F.col("b1")))
     both = both.join(two, (F.col("_key") == F.col("k2")) & (F.col("_class") == F.col("c2")) & (F.col("_main") == F.col("m2")) & (F.col("_block") == F.col("b2")))
     same = (F.col("class") == F.col("_class")) & (F.col("main") == F.col("_main")) & (F.col("block") == F.col("_block"))
 
-    def unpack(column: pa.StructArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def unpack(column: pa.StructArray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         node, label, marks = (column.field(c).to_pylist() for c in ("node", "label", "marks"))
-        return node, np.array(label, "V16"), np.frombuffer(b"".join(marks), np.uint8).reshape(len(column), M)
+        bands = column.field("bands").flatten().to_numpy().reshape(len(column), BANDS)
+        return node, np.array(label, "V16"), np.frombuffer(b"".join(marks), np.uint8).reshape(len(column), M), bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for same, x, y in zip(*(batch.column(c) for c in ("same", "x", "y")), strict=True):
-                nx, lx, mx = unpack(x.values)
-                ny, ly, my = (nx, lx, mx) if same.as_py() else unpack(y.values)  # x and y need not list a block in one order
+            for same, band, x, y in zip(*(batch.column(c) for c in ("same", "band", "x", "y")), strict=True):
+                same, band = same.as_py(), band.as_py()
+                nx, lx, mx, bx = unpack(x.values)
+                ny, ly, my, by = (nx, lx, mx, bx) if same else unpack(y.values)  # x and y need not list a block in one order
                 for i in range(len(nx)):  # a node against the whole other block
-                    lo = i + 1 if same.as_py() else 0
-                    for j in np.flatnonzero(((mx[i] == my[lo:]).mean(1) >= least) & (lx[i] != ly[lo:])):
-                        a.append(min(nx[i], ny[lo + j]))
-                        b.append(max(nx[i], ny[lo + j]))
+                    lo = i + 1 if same else 0
+                    # marks are low bytes only, so they do not tell which buckets a pair shares
+                    hit = ((mx[i] == my[lo:]).mean(1) >= least) & ((bx[i] == by[lo:]).argmax(1) == band) & (lx[i] != ly[lo:])
+                    for j in np.flatnonzero(hit):
+                        a.append(nx[i])
+                        b.append(ny[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return both.select(same.alias("same"), "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+    return both.select(same.alias("same"), "band", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def near_labels(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
