@@ -212,12 +212,12 @@ def pooled(net: Net, parts: list[tuple[int, np.ndarray, np.ndarray]], sums: np.n
     """Adds the probabilities of the positions of parts (text, windows with margins, where they hold text) to their texts' sums."""
     windows, valid = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     owner = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
-    # like lengths run together, so what is filled up costs little
+    # like lengths run together, so what is filled up costs little, and windows without any need no mask
     ends = valid.shape[1] - valid[:, ::-1].argmax(1)
-    order = np.argsort(-ends, kind="stable")
+    order = np.lexsort((-ends, ~valid.all(1)))
     for i in range(0, len(order), ROWS):
         rows = order[i : i + ROWS]
-        longest = int(ends[rows[0]])
+        longest = int(ends[rows].max())
         p = position_probabilities(net, windows[rows, :longest], valid[rows, :longest])
         np.add.at(sums, owner[rows], p[MARGIN : MARGIN + WINDOW].sum(0).T)
 
