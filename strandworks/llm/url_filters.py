@@ -115,6 +115,20 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     return written(rules.join(covered, ["antecedent", "verdict"], "left_anti"), "url-rules")
 
 
+def without_doubles(labelled: DataFrame, min_support: float) -> DataFrame:
+    """labelled (tokens, verdict) without tokens that stand in the very rows that a later one (by name) stands in.
+
+    A rule with both says no more than one with either, so verdicts stay; but a long url of very many rows is one token, where
+    the combinations of its parts are more than can be counted. Rows of a token are told by their number and the sum of their
+    hashes. The driver gets frequent tokens only, each in min_support of the rows at least.
+    """
+    rows = labelled.count()
+    places = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(20,0)").alias("h")).groupBy("token").agg(F.count("*").alias("n"), F.sum("h").alias("h"))
+    alike = places.where(F.col("n") >= min_support * rows - 1).groupBy("n", "h").agg(F.sort_array(F.collect_list("token"), asc=False).alias("tokens"))
+    doubles = [r["token"] for r in alike.select(F.explode(F.slice("tokens", F.lit(2), F.size("tokens"))).alias("token")).collect()]
+    return labelled.withColumn("tokens", F.array_except("tokens", F.array(*map(F.lit, doubles)))) if doubles else labelled
+
+
 def subsets(items: Column) -> Column:
     """All sub-arrays of an array, in its order."""
     return F.aggregate(items, F.array(F.array().cast("array<string>")), lambda found, t: F.concat(found, F.transform(found, lambda x: F.array_append(x, t))))
@@ -145,7 +159,7 @@ def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_suppo
     rows = pick(pages, "page_id", "url").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     judged = match_rules(rows, rules)
     labelled = judged.select(url_tokens(F.col("url")).alias("tokens"), F.coalesce("rule_verdict", F.lit(UNLISTED)).alias("verdict"))
-    mined = mine_rules(labelled, min_support, min_confidence, min_lift)
+    mined = mine_rules(without_doubles(labelled, min_support), min_support, min_confidence, min_lift)
     open_urls = judged.where(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct()
     # written before it is joined, as only then can the rows of a hot url be split
     found = written(apply_mined(open_urls.withColumn("tokens", url_tokens(F.col("url"))), mined).withColumnRenamed("url", "_url"), "judged-urls")

@@ -81,6 +81,22 @@ def test_some_unlisted_urls_are_blocked_for_a_reason(spark):
     assert 0 < len(blocked) < len(got) / 4 and all(r["mined_rule"] and r["mined_confidence"] >= uf.MIN_CONFIDENCE for r in blocked)
 
 
+def test_a_long_hot_url_is_one_token(spark):
+    """Its 60 parts are frequent in all their combinations."""
+    long = "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, f"http://long.net/de/{long}") for i in range(300)] + [(i, "http://other.com/fr/2") for i in range(300, 900)] + [(900, f"http://long.fr/de/{long}")]
+    got = {r["page_id"]: r for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.1).collect()}
+    assert len(got) == len(rows) and got[0]["verdict"] == "block" and got[300]["verdict"] == "allow"
+    assert got[900]["rule"] is None and got[900]["verdict"] == "block" and got[900]["mined_rule"]
+
+
+def test_tokens_of_the_same_rows_are_one(spark):
+    rows = [(["a", "b", "c"], "block"), (["a", "b"], "none"), (["c", "d"], "allow"), (["a", "b"], "none")]
+    got = uf.without_doubles(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.1).collect()
+    assert [sorted(r["tokens"]) for r in got] == [["b", "c"], ["b"], ["c", "d"], ["b"]]
+    assert uf.without_doubles(spark.createDataFrame([], "tokens array<string>, verdict string"), 0.1).count() == 0
+
+
 def test_hot_and_odd_urls(spark):
     rows = [(i, "http://a.com/en/1") for i in range(300)] + [(i, "http://hot.com/fr/2") for i in range(300, 900)] + [(900, None), (901, ""), (None, "://"), (902, "http://a.com/fr/" + "x/" * 3000)]
     got = uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.1).collect()
