@@ -40,8 +40,8 @@ def words(text: Column) -> Column:
 def shingle_hashes(found: Column) -> Column:
     """Hashes of the runs of SHINGLE words; one hash of all words where there are fewer, none where there are none."""
     n = F.size(found)
-    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, SHINGLE)))
+    starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + j) for j in range(SHINGLE)]))  # no word, no part of the hash
 
 
 def bin_of(h: Column) -> Column:
@@ -51,32 +51,34 @@ def bin_of(h: Column) -> Column:
 
 def bin_minima(hashes: Column) -> Column:
     """The smallest hash of each occupied bin, in the order of bins: sorted hashes have bins together, smallest first."""
-    return let(F.sort_array(hashes), lambda h: F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, i - 1)))))
+    return let(F.sort_array(hashes), lambda h: F.filter(h, lambda x, i: (i == 0) | (F.shiftright(x, 64 - BIN_BITS) != F.shiftright(F.get(h, i - 1), 64 - BIN_BITS))))
+
+
+def scattered(values: Column, bins: Column) -> Column:
+    """An array of BINS elements with values[i] at bins[i], ascending, and null elsewhere, made in one pass."""
+    gap = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
+    runs = F.transform(values, lambda v, i: F.concat(gap(F.get(bins, i) - F.coalesce(F.get(bins, i - 1), F.lit(-1)) - 1), F.array(v)))
+    return F.flatten(F.concat(runs, F.array(gap(F.lit(BINS - 1) - F.get(bins, F.size(bins) - 1)))))
 
 
 def densified(minima: Column) -> Column:
-    """The low bits of each bin's value, empty bins filled.
+    """The low bits of each bin's value as hex digits, empty bins filled.
 
     Empty bin k tries bins hash(k, 1), hash(k, 2), ... and takes the first occupied one; after PROBES misses, the occupied bin
     that comes first in an order of all bins drawn for k.
     """
-    low = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    low = lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))), BITS // 4, "0")
     every = F.sequence(F.lit(0), F.lit(BINS - 1))
-
-    def fill(m: Column, bins: Column) -> Column:
-        at = F.transform(every, lambda k: F.array_position(bins, k))
-        sparse = F.transform(at, lambda p: F.when(p > 0, low(F.get(m, p.cast("int") - 1))))
-        probe = lambda d, k, t: F.get(d, F.pmod(F.xxhash64(k, F.lit(t)), F.lit(BINS)).cast("int"))
-        last = lambda k: low(F.array_min(F.transform(m, lambda x: F.struct(F.xxhash64(k, bin_of(x)).alias("r"), x.alias("x"))))["x"])
-        return let(sparse, lambda d: F.transform(every, lambda k: F.coalesce(F.get(d, k), *[probe(d, k, t) for t in range(1, PROBES + 1)], last(k))))
-
-    filled = let(F.transform(minima, bin_of), lambda bins: fill(minima, bins))
-    return F.when(F.size(minima) == BINS, F.transform(minima, low)).when(F.size(minima) == 0, F.array().cast("array<int>")).otherwise(filled)
+    probe = lambda d, k, t: F.get(d, F.pmod(F.xxhash64(k, F.lit(t)), F.lit(BINS)).cast("int"))
+    last = lambda k: low(F.array_min(F.transform(minima, lambda x: F.struct(F.xxhash64(k, bin_of(x)).alias("r"), x.alias("x"))))["x"])
+    fill = lambda d: F.transform(every, lambda k: F.coalesce(F.get(d, k), *[probe(d, k, t) for t in range(1, PROBES + 1)], last(k)))
+    filled = let(let(F.transform(minima, bin_of), lambda bins: scattered(F.transform(minima, low), bins)), fill)
+    return F.when(F.size(minima) == BINS, F.transform(minima, low)).when(F.size(minima) == 0, F.array().cast("array<string>")).otherwise(filled)
 
 
 def fingerprint(text: Column) -> Column:
     values = let(words(F.coalesce(text, F.lit(""))), lambda w: let(bin_minima(shingle_hashes(w)), densified))
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v), BITS // 4, "0")), "")
+    return F.array_join(values, "")
 
 
 def likeness(a: Column, b: Column) -> Column:
