@@ -13,6 +13,7 @@ from .license_scan import op1_license_scan, op1_sql
 from .media import op2_media_columns
 from .mixing import op10_mixing, op10_sql
 from .near_dedup import op5_near_dedup
+from .ngram_join import op11_ngram_join
 from .packing import op8_best_fit_packing
 from .url_filters import op7_url_filters
 from .warc import op6_warc
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
+        "op11_ngram_join": op11_ngram_join,
     }
 
 
