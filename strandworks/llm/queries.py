@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import op13_centroids, op13_sql
 from .fingerprints import op9_fingerprints
 from .html_extract import op4_html_extraction
 from .language_id import op3_language_id
+from .lexical_search import op12_lexical_search, op12_sql
 from .license_scan import op1_license_scan, op1_sql
 from .media import op2_media_columns
 from .mixing import op10_mixing, op10_sql
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9_fingerprints,
         "op10_mixing": op10_mixing,
         "op11_ngram_join": op11_ngram_join,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -39,4 +43,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": op1_sql(),
         "op10_mixing": op10_sql(),
+        "op12_lexical_search": op12_sql(),
+        "op13_centroids": op13_sql(),
     }
