@@ -42,11 +42,11 @@ SHARE = (85, 100)
 TOKEN_BITS = 48
 #: Text of a fragment, shingles of a batch, and nodes of a batch from which on a shingle is counted there.
 FRAGMENT_BYTES = 16 << 20
-BATCH = 1_000_000
+BATCH = 500_000
 COMMON = 64
 #: At most so many nodes have so many copies that only one of them is cut; and tables of at most so many rows are broadcast.
 HOT_NODES = 100_000
-FEW_ROWS = 500_000
+FEW_ROWS = 200_000
 PIECES = 16
 _POWERS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(SHINGLE)]
 
@@ -216,14 +216,16 @@ def enough(inter: Column, a: Column, b: Column, share: tuple[int, int]) -> Colum
 
 def live_nodes(found: DataFrame, share: tuple[int, int]) -> DataFrame:
     """cut() -> node, size, tokens: nodes of which enough shingles stand in other nodes too, these in the global order."""
-    rows = found.where("kind = 1").select("node", "size", "token")
-    places = small(written(found.where("kind = 3").groupBy("token").agg(F.max("size").alias("level")).withColumnRenamed("token", "_token"), "places"))
-    apart = found.where("kind = 2").select("node", "size", "token").join(places, F.col("token") == F.col("_token"))
-    rows = rows.unionByName(apart.select("node", "size", (F.shiftleft(F.col("level"), TOKEN_BITS).bitwiseOR(F.col("token"))).alias("token")))
+    rows = found.where("kind < 3").select("kind", "node", "size", "token")
     # a copy of a set in two batches may count twice, so this keeps too many at times, never too few
     some = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") * share[1] >= F.col("size") * share[0])
     some = small(written(some.select(F.col("node").alias("_node")), "some-nodes"))
-    live = rows.join(some, F.col("node") == F.col("_node")).groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("token")).alias("tokens"))
+    rows = written(rows.join(some, F.col("node") == F.col("_node")).drop("_node"), "some-tokens")
+    places = small(written(found.where("kind = 3").groupBy("token").agg(F.max("size").alias("level")).withColumnRenamed("token", "_token"), "places"))
+    apart = rows.where("kind = 2").join(places, F.col("token") == F.col("_token"))
+    apart = apart.select("node", "size", (F.shiftleft(F.col("level"), TOKEN_BITS).bitwiseOR(F.col("token"))).alias("token"))
+    rows = rows.where("kind = 1").select("node", "size", "token").unionByName(apart)
+    live = rows.groupBy("node").agg(F.max("size").alias("size"), F.sort_array(F.collect_set("token")).alias("tokens"))
     return live.where(F.size("tokens") * share[1] >= F.col("size") * share[0])
 
 

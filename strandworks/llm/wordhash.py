@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from .near_dedup import mix
 
-PIECE = 1 << 22
+PIECE = 1 << 20
 _STEP = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _BACK = pow(_STEP, -1, 1 << 64)
 
