@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import let
 from ..params import JobParams
 
 
@@ -31,6 +32,31 @@ def stitch_reads(called: DataFrame, params: JobParams, keys: tuple[str, ...] = (
     return whole.select(*keys, F.array_join("c.seq", "").alias("seq"), F.array_join("c.qstring", "").alias("qstring"))
 
 
+def stitch_arrays(called: DataFrame, params: JobParams) -> DataFrame:
+    """Reads (len_raw_signal, chunks: an array of idx, input_offset, moves, seq, qstring, ...) with seq and qstring in place of chunks.
+
+    The rule of stitch_reads(), within one row: neither window nor shuffle, so streams can have it too. Chunks may stand in
+    any order.
+    """
+    n, s = F.col("len_raw_signal"), params.stride
+    ordered = F.array_sort("chunks", lambda x, y: F.when(x["idx"] < y["idx"], -1).when(x["idx"] > y["idx"], 1).otherwise(0))
+    placed = called.withColumn("chunks", ordered)
+    start = lambda i: F.get("chunks", i)["input_offset"]
+    end = lambda o: o + F.least(F.lit(params.samples), n - o)
+    cut = lambda o, following: end(o) - F.floor((end(o) - following) / 2)
+    bases = lambda moves: F.aggregate(moves, F.lit(0), lambda a, m: a + m)
+
+    def kept(c: Column, i: Column) -> Column:
+        o = c["input_offset"]
+        step = lambda x: F.greatest(F.lit(0), F.ceil((x - o) / F.lit(s))).cast("int")
+        lo, hi = F.when(i == 0, F.lit(0)).otherwise(cut(start(i - 1), o)), F.coalesce(cut(o, start(i + 1)), n)
+        skip, take = bases(F.slice(c["moves"], F.lit(1), step(lo))), bases(F.slice(c["moves"], step(lo) + 1, F.greatest(step(hi) - step(lo), F.lit(0))))
+        return let(F.struct(skip.alias("skip"), take.alias("take")), lambda p: F.struct(*[F.substring(c[t], p["skip"] + 1, p["take"]).alias(t) for t in ("seq", "qstring")]))
+
+    parts = placed.withColumn("chunks", F.transform("chunks", kept))
+    return parts.withColumns({t: F.array_join(F.col(f"chunks.{t}"), "") for t in ("seq", "qstring")}).drop("chunks")
+
+
 def orient_reads(reads: DataFrame, is_rna: Column) -> DataFrame:
     """reads with bases and qualities reversed where is_rna; not complemented."""
     return reads.withColumns({c: F.when(is_rna, F.reverse(c)).otherwise(F.col(c)) for c in ("seq", "qstring")})
@@ -59,10 +85,15 @@ def require_whole(reads: DataFrame) -> DataFrame:
     return reads.where(F.when(broken_rules(reads) != "", error).otherwise(F.lit(True)))
 
 
+def rule_counts(frame: DataFrame, rules: dict[str, Column], count: str) -> DataFrame:
+    """How many rows break each rule (rule, count), rules that none breaks included."""
+    counts = frame.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias(count)) for n in rules])))
+
+
 def check_reads(reads: DataFrame, strict: bool = False) -> DataFrame:
     """How many reads break each rule (rule, n_reads), rules that none breaks included; strict: the first one ends the job."""
     rules = integrity_rules(reads)
     if strict:
         reads = require_whole(reads)
-    counts = reads.agg(*[F.count_if(c).alias(n) for n, c in rules.items()])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("n_reads")) for n in rules])))
+    return rule_counts(reads, rules, "n_reads")

@@ -78,6 +78,18 @@ def padded(part: Column, size: int) -> Column:
     return F.when(F.size(part) < size, whole).otherwise(part)
 
 
+def chunk_arrays(reads: DataFrame, params: JobParams) -> DataFrame:
+    """reads (signal) -> the other columns and chunks, an array of idx, input_offset, raw_chunk_size and padded signal.
+
+    As chunk_signal(), but a read's chunks stay together in its row.
+    """
+    kept = [c for c in reads.columns if c not in ("raw_signal", "signal")]
+    cs = params.samples
+    part = lambda o: F.slice("signal", o.cast("int") + 1, F.lit(cs))
+    cut = F.transform(chunk_offsets(F.col("len_raw_signal"), params), lambda o, i: let(part(o), lambda p: F.struct(i.alias("idx"), o.alias("input_offset"), F.size(p).alias("raw_chunk_size"), padded(p, cs).alias("signal"))))
+    return drop_empty_reads(reads).select(*kept, cut.alias("chunks"))
+
+
 def chunk_signal(reads: DataFrame, params: JobParams) -> DataFrame:
     """reads (signal) -> one row a chunk with its own samples, short ones repeat-padded to the chunk size.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import fresh_path
 from ..operators import accuracy, assemble, infer, quality, signal, summary
 from ..sources import fastq, paf, slow5
-from ..streaming.ingest import stream_reads
+from ..streaming.ingest import stream_calls, stream_reads
 from . import proxies as px
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,7 @@ def read_slow5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_slow5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "reads")
     slow5.write_slow5(px.reads(spark, sf_dir), path, ATTRIBUTES)
-    text = slow5.lines(spark, path)
-    found = slow5.attach_attributes(slow5.parse(text), slow5.header_attributes(text), list(ATTRIBUTES))
+    found = slow5.attach_attributes(slow5.read_slow5(spark, path), slow5.read_header(spark, path), list(ATTRIBUTES))
     return found.select("read_id", "read_group", *ATTRIBUTES)
 
 
@@ -66,10 +65,35 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(found, "signal")
 
 
+def stream_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals to FASTQ in a stream: files of two column orders arrive, every read-level step runs, calls are read back."""
+    source, sink = fresh_path(spark, "arriving"), fresh_path(spark, "called")
+    reads = px.some_empty(px.reads(spark, sf_dir))
+    first, *others = slow5.COLUMNS  # a read's id comes first in any file
+    for k, names in enumerate(([first, *others], [first, *reversed(others)])):
+        columns = {n: slow5.COLUMNS[n] for n in names}
+        slow5.write_slow5(reads.where(F.col("read_group") % 2 == k), f"{source}/{k}", columns=columns)
+    stream_calls(spark, f"{source}/*", sink, fresh_path(spark, "progress"), infer.step_caller, px.READ_PARAMS, F.col("read_group") % 2 == 1, ("empty_sequence", "empty_qualities"), bytes_per_trigger=64 << 20)
+    return fastq.read_fastq(spark, sink).select("read_id", "seq", "qstring")
+
+
 def write_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fastq.fastq_lines(px.calls(spark, sf_dir))
 
 
+def write_fastq_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the order of their documents: written by ranges, read back and numbered by file and byte."""
+    path = fresh_path(spark, "calls")
+    fastq.write_fastq(px.calls(spark, sf_dir), path, ("doc_id",))
+    return quality.numbered(fastq.read_fastq(spark, path, split_bytes=1 << 20)).select("ordinal", "read_id", F.length("seq").alias("n_bases"))
+
+
+def write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a FASTQ write tells of itself, without a second pass."""
+    told = fastq.write_fastq(px.calls(spark, sf_dir), fresh_path(spark, "calls"))
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in told.items()])
+
+
 def drop_empty_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.drop_empty_reads(px.some_empty(px.reads(spark, sf_dir))).select("read_id", "len_raw_signal")
 
@@ -119,6 +143,13 @@ def preview_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.preview_reads(px.reads(spark, sf_dir), ("read_id",), batch_reads=20).select("read_id", "len_raw_signal")
 
 
+def preview_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first reads of several files as they stand there."""
+    path = fresh_path(spark, "reads")
+    slow5.write_slow5(px.reads(spark, sf_dir).repartitionByRange(4, "read_id").sortWithinPartitions("read_id"), path)
+    return summary.preview_reads(slow5.read_slow5(spark, path, positions=True, only=["read_id", "len_raw_signal"]), ("path", "position"), batch_reads=20).select("read_id", "len_raw_signal")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.score_chunks(signal.chunk_signal(px.vectors(spark, sf_dir), px.CHUNK_PARAMS), infer.step_caller, px.CHUNK_PARAMS)
 
@@ -135,6 +166,36 @@ def stitch_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.stitch_reads(infer.emit_bases(scored(spark, sf_dir)), px.CHUNK_PARAMS)
 
 
+def stitch_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stitch_reads with a read's chunks in one row from cut to join."""
+    scores = infer.score_reads(signal.chunk_arrays(px.vectors(spark, sf_dir), px.CHUNK_PARAMS), infer.step_caller, px.CHUNK_PARAMS)
+    return assemble.stitch_arrays(infer.emit_arrays(scores), px.CHUNK_PARAMS).select("read_id", "seq", "qstring")
+
+
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored chunks, some without qualities, some with half their bases, some with three bases for one."""
+    v = F.col("read_id").cast("long")
+    return scored(spark, sf_dir).withColumns(
+        {
+            "qstring": F.when(v % 5 == 0, "").otherwise(F.col("qstring")),
+            "seq": F.when(v % 7 == 0, px.half(F.col("seq"))).otherwise(F.col("seq")),
+            "moves": F.when(v % 11 == 0, F.transform("moves", lambda m: (m * 3).cast("tinyint"))).otherwise(F.col("moves")),
+        }
+    )
+
+
+def check_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = F.when(F.col("doc_id") % 7 == 0, px.half(F.col("qstring"))).otherwise(F.col("qstring"))
+    return infer.check_calls(damaged(spark, sf_dir), px.calls(spark, sf_dir).withColumn("qstring", cut))
+
+
+def quarantine_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of both sinks by what they break; good ones break nothing."""
+    good, broken = infer.quarantine(damaged(spark, sf_dir))
+    both = good.select(F.lit("").alias("broken"), "seq").unionByName(broken.select(F.array_join("broken", ",").alias("broken"), "seq"))
+    return both.groupBy("broken").agg(F.count("*").alias("n_chunks"), F.sum(F.length("seq")).alias("n_bases"))
+
+
 def read_qscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     printable = F.regexp_replace(F.coalesce("text", F.lit("")), "[^!-~]", "")
     docs = px.table(spark, sf_dir, "documents").select("doc_id", printable.alias("qstring"))
@@ -201,7 +262,10 @@ def queries() -> dict[str, Query]:
         "read_fastq": read_fastq,
         "read_paf": read_paf,
         "stream_reads": stream,
+        "stream_fastq": stream_fastq,
         "write_fastq": write_fastq,
+        "write_fastq_ordered": write_fastq_ordered,
+        "write_totals": write_totals,
         "drop_empty_reads": drop_empty_reads,
         "calibrate_signal": calibrate_signal,
         "normalize_signal": normalize_signal,
@@ -212,9 +276,13 @@ def queries() -> dict[str, Query]:
         "check_reads": check_reads,
         "alignment_identity": alignment_identity,
         "preview_reads": preview_reads,
+        "preview_file_order": preview_file_order,
         "score_chunks": score_chunks,
         "emit_bases": emit_bases,
         "stitch_reads": stitch_reads,
+        "stitch_arrays": stitch_arrays,
+        "check_calls": check_calls,
+        "quarantine_calls": quarantine_calls,
         "read_qscore": read_qscore,
         "run_summary": run_summary,
         "identity_summary": identity_summary,
@@ -236,9 +304,32 @@ CALLED = "string_agg(base, '' ORDER BY k) FILTER (WHERE x > 0)"
 QUALITIES = "string_agg(q, '' ORDER BY k) FILTER (WHERE x > 0)"
 
 
+#: What step_caller makes of whole normalised reads, those of odd read groups reversed.
+WHOLE = f"""{px.READS_SQL}, pa AS (SELECT read_id, read_group, list_transform(raw_signal, lambda v: (v + "offset") * "range" / digitisation) AS s FROM reads WHERE user_id % 5 <> 0),
+middle AS (SELECT *, list_aggregate(s, 'median') AS m FROM pa), spread AS (SELECT *, nullif(list_aggregate(list_transform(s, lambda v: abs(v - m)), 'median'), 0) * 1.4826 AS d FROM middle),
+sample AS (SELECT read_id, read_group, unnest(range(len(s))) AS i, (unnest(s) - m) / d AS x FROM spread),
+called AS (SELECT *, CASE WHEN x > 0.1 THEN 'A' WHEN x > 0.05 THEN 'C' ELSE 'G' END AS base, chr((33 + least(40, floor(abs(x) * 100)))::INT) AS q FROM sample WHERE x > 0),
+whole AS (SELECT read_id, read_group % 2 = 1 AS rna, string_agg(base, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS seq, string_agg(q, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS qs FROM called GROUP BY ALL)"""
+#: Chunks as damaged() leaves them, with what the rules look at.
+DAMAGED = f"""{px.CHUNKS_SQL}, lettered AS (SELECT vec_id, idx, count(*) FILTER (WHERE x > 0) AS c, coalesce({CALLED}, '') AS seq, coalesce({QUALITIES}, '') AS q FROM chunks GROUP BY vec_id, idx),
+hurt AS (SELECT CASE WHEN vec_id % 11 = 0 THEN 3 * c ELSE c END AS n, CASE WHEN vec_id % 7 = 0 THEN substring(seq, 1, length(seq) // 2) ELSE seq END AS seq, CASE WHEN vec_id % 5 = 0 THEN '' ELSE q END AS q FROM lettered),
+ruled AS (SELECT *, n > 20 AS more, least(length(seq), n) = 0 AS noseq, least(length(q), n) = 0 AS noq, least(length(seq), n) <> n OR least(length(q), n) <> n AS differ FROM hurt)"""
+READ_RULES = "SELECT 'empty_sequence' AS rule, 'read' AS level, count(*) FILTER (WHERE length(seq) = 0) AS n FROM cut UNION ALL SELECT 'empty_qualities', 'read', count(*) FILTER (WHERE length(q) = 0) FROM cut UNION ALL SELECT 'lengths_differ', 'read', count(*) FILTER (WHERE length(seq) <> length(q)) FROM cut"
+
+
 def oracle_sql() -> dict[str, str]:
     names = "read_id, read_group, digitisation, \"offset\", \"range\", len_raw_signal, array_to_string(raw_signal, ',') AS raw_signal, NULL::DOUBLE AS median_before"
     return {
+        "stream_fastq": f"WITH {WHOLE} SELECT read_id, seq, qs AS qstring FROM whole",
+        "write_fastq_ordered": f"WITH {px.CALLS_SQL} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, read_id, length(seq)::INT AS n_bases FROM calls WHERE seq <> ''",
+        "write_totals": f"WITH {px.CALLS_SQL} SELECT count(*) AS reads, count(*) FILTER (WHERE seq = '') AS reads_without_bases, count(*) FILTER (WHERE seq <> '') AS records, (sum(strlen(read_id) + strlen(seq) + strlen(qstring) + 6) FILTER (WHERE seq <> ''))::BIGINT AS bytes FROM calls",
+        "preview_file_order": f"WITH {px.READS_SQL} SELECT read_id, len_raw_signal FROM reads ORDER BY read_id LIMIT 20",
+        "stitch_arrays": f"WITH {px.CHUNKS_SQL} SELECT vec_id::VARCHAR AS read_id, coalesce(string_agg(base, '' ORDER BY i) FILTER (WHERE x > 0), '') AS seq, coalesce(string_agg(q, '' ORDER BY i) FILTER (WHERE x > 0), '') AS qstring FROM called GROUP BY vec_id",
+        "check_calls": f"""WITH {DAMAGED}, {px.CALLS_SQL.replace("calls AS", "documents_called AS")}, cut AS (SELECT seq, CASE WHEN doc_id % 7 = 0 THEN substring(qstring, 1, length(qstring) // 2) ELSE qstring END AS q FROM documents_called)
+SELECT 'more_bases_than_steps' AS rule, 'chunk' AS level, count(*) FILTER (WHERE more) AS n FROM ruled UNION ALL SELECT 'empty_sequence', 'chunk', count(*) FILTER (WHERE noseq) FROM ruled
+UNION ALL SELECT 'empty_qualities', 'chunk', count(*) FILTER (WHERE noq) FROM ruled UNION ALL SELECT 'lengths_differ', 'chunk', count(*) FILTER (WHERE differ) FROM ruled UNION ALL {READ_RULES}""",
+        "quarantine_calls": f"""WITH {DAMAGED}, listed AS (SELECT seq, concat_ws(',', CASE WHEN more THEN 'more_bases_than_steps' END, CASE WHEN noseq THEN 'empty_sequence' END, CASE WHEN noq THEN 'empty_qualities' END, CASE WHEN differ THEN 'lengths_differ' END) AS broken FROM ruled)
+SELECT broken, count(*) AS n_chunks, sum(length(seq))::BIGINT AS n_bases FROM listed GROUP BY broken""",
         "read_slow5": f"WITH {px.READS_SQL} SELECT {names} FROM reads",
         "read_slow5_header": f"WITH {px.READS_SQL} SELECT read_id, read_group, 'exp' || read_group AS exp_name, CASE read_group WHEN 0 THEN '30.5' WHEN 1 THEN '31.5' WHEN 3 THEN '32.5' END AS asic_temp FROM reads",
         "read_runs": f"WITH {px.READS_SQL} SELECT read_group::VARCHAR AS run, count(*) AS n_reads, sum(len_raw_signal)::BIGINT AS n_samples FROM reads GROUP BY 1",
@@ -282,10 +373,6 @@ SELECT medians.model, round(m, 6) AS median, threshold, CASE WHEN threshold IS N
         "compare_qscores": f"""WITH {px.CALLS_SQL}, {SCORES} SELECT lang, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS n, round(avg(abs(a - b)), 6) AS mean_abs_diff,
   count(*) FILTER (WHERE a <> b) AS n_diff, 0::BIGINT AS n_left_only, 0::BIGINT AS n_right_only FROM score GROUP BY lang""",
         "qscore_gate": f"WITH {px.CALLS_SQL}, {SCORES} SELECT lang AS model, round(avg(abs(a - b)), 6) AS mean_abs_diff, CASE WHEN avg(abs(a - b)) <= 0.36 THEN 'pass' ELSE 'fail' END AS status FROM score GROUP BY lang",
-        "call_reads": f"""WITH {px.READS_SQL}, pa AS (SELECT read_id, read_group, list_transform(raw_signal, lambda v: (v + "offset") * "range" / digitisation) AS s FROM reads WHERE user_id % 5 <> 0),
-middle AS (SELECT *, list_aggregate(s, 'median') AS m FROM pa), spread AS (SELECT *, nullif(list_aggregate(list_transform(s, lambda v: abs(v - m)), 'median'), 0) * 1.4826 AS d FROM middle),
-sample AS (SELECT read_id, read_group, unnest(range(len(s))) AS i, (unnest(s) - m) / d AS x FROM spread),
-called AS (SELECT *, CASE WHEN x > 0.1 THEN 'A' WHEN x > 0.05 THEN 'C' ELSE 'G' END AS base, chr((33 + least(40, floor(abs(x) * 100)))::INT) AS q FROM sample WHERE x > 0),
-whole AS (SELECT read_id, read_group % 2 = 1 AS rna, string_agg(base, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS seq, string_agg(q, '' ORDER BY CASE WHEN read_group % 2 = 1 THEN -i ELSE i END) AS qs FROM called GROUP BY ALL)
+        "call_reads": f"""WITH {WHOLE}
 SELECT read_id, CASE WHEN rna THEN 'rna' ELSE 'dna' END AS sample_type, length(seq)::INT AS n_bases, '@' || read_id || chr(10) || seq || chr(10) || '+' || chr(10) || qs AS value, {SCORE.format(q='qs')} AS qscore FROM whole""",
     }

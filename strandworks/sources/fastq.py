@@ -8,18 +8,16 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import Lines, listed, open_fs, ranges
+
 SPLIT_BYTES = 64 << 20
 SCHEMA = "path string, position long, read_id string, seq string, qstring string"
 
 
-def open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 @dataclass
 class Split(InputPartition):
     path: str
@@ -72,6 +70,29 @@ def records(file: BinaryIO, start: int, end: int) -> Iterator[tuple[int, str, st
         fill()
 
 
+def range_batches(path: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """The records of a range, in batches of bounded size."""
+    store, at = open_fs(path)
+    names = ["path", "position", "read_id", "seq", "qstring"]
+    with store.open_input_file(at) as raw:
+        rows, size = [], 0
+        for r in records(Lines(raw), start, end):
+            rows.append((path, *r))
+            size += len(r[2])
+            if len(rows) >= 10_000 or size >= 16 << 20:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges (path, start, end) -> their records."""
+    for b in batches:
+        for path, start, end in zip(*(b.column(c).to_pylist() for c in ("path", "start", "end")), strict=True):
+            yield from range_batches(path, start, end)
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, path: str, split_bytes: int) -> None:
         self.path, self.split_bytes = path, split_bytes
@@ -86,39 +107,7 @@ class FastqReader(DataSourceReader):
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, Split):
             return
-        store, at = open_fs(partition.path)
-        names = ["path", "position", "read_id", "seq", "qstring"]
-        with store.open_input_file(at) as raw:
-            rows, size = [], 0
-            for r in records(_Lines(raw), partition.start, partition.end):
-                rows.append((partition.path, *r))
-                size += len(r[2])
-                if len(rows) >= 10_000 or size >= 16 << 20:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
-
-
-class _Lines:
-    """seek() and readline() over an Arrow file, buffered."""
-
-    def __init__(self, raw: pa.NativeFile, chunk: int = 1 << 20) -> None:
-        self.raw, self.chunk, self.kept, self.at = raw, chunk, b"", 0
-
-    def seek(self, at: int) -> None:
-        self.raw.seek(at)
-        self.kept, self.at = b"", 0
-
-    def readline(self) -> bytes:
-        while (i := self.kept.find(b"\n", self.at)) < 0:
-            more = self.raw.read(self.chunk)
-            if not more:
-                i = len(self.kept) - 1
-                break
-            self.kept, self.at = self.kept[self.at :] + more, 0
-        line, self.at = self.kept[self.at : i + 1], i + 1
-        return line
+        yield from range_batches(partition.path, partition.start, partition.end)
 
 
 class FastqSource(DataSource):
@@ -135,10 +124,14 @@ class FastqSource(DataSource):
         return FastqReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
-def read_fastq(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """path, position, read_id, seq, qstring; (path, position) gives the order of the file."""
-    spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
+def read_fastq(spark: SparkSession, path: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """path, position, read_id, seq, qstring; (path, position) gives the order of the file.
+
+    Files are listed by Spark, so of a folder that a stream has written only those count that the stream has committed.
+    """
+    files = listed(spark, path)
+    n_bytes = files.agg(F.sum("length")).first()[0] or 0
+    return ranges(files, split_bytes).repartition(max(1, -(-n_bytes // split_bytes))).mapInArrow(scan, SCHEMA)
 
 
 def record_text(read_id: Column, seq: Column, qstring: Column) -> Column:
@@ -152,5 +145,16 @@ def fastq_lines(reads: DataFrame) -> DataFrame:
     return reads.where(F.length("seq") > 0).select("read_id", record_text(F.col("read_id"), F.col("seq"), F.col("qstring")).alias("value")).withColumn("n_bytes", (F.octet_length("value") + 1).cast("long"))
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    fastq_lines(reads).select("value").write.text(path)
+def write_fastq(reads: DataFrame, path: str, order: tuple[str, ...] = ()) -> dict[str, int]:
+    """Writes reads (read_id, seq, qstring) and tells what the job has seen: reads, reads_without_bases, records, bytes.
+
+    order: columns by which the files and the records in them are put, such as (path, position) of the reads' own files; files
+    are cut by ranges of these, so what stands one after the other in a folder's files is the order as a whole.
+    """
+    seen, wrote = Observation(), Observation()
+    if order:  # before anything is counted, as cutting ranges looks at rows once more
+        reads = reads.repartitionByRange(*order).sortWithinPartitions(*order)
+    counted = reads.observe(seen, F.count(F.lit(1)).alias("reads"), F.count_if(F.coalesce(F.length("seq"), F.lit(0)) == 0).alias("reads_without_bases"))
+    lines = fastq_lines(counted).observe(wrote, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"))
+    lines.select("value").write.text(path)
+    return {**seen.get, **wrote.get}

@@ -1,4 +1,7 @@
-"""SLOW5 text files: reads, header attributes, directories of runs."""
+"""SLOW5 text files: reads, header attributes, directories of runs.
+
+Files are read by byte ranges (slow5_scan), each with the header of its own file; parse() does the same for lines in a column.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import written
+from .files import listed, ranges
+from .slow5_scan import HEADS, MISSING, Scan, columns_of, heads, spark_type
 
 #: Fixed values of the format: columns and their types, in file order.
 COLUMNS = {
@@ -24,29 +29,35 @@ COLUMNS = {
     "start_mux": "uint8_t",
     "start_time": "uint64_t",
 }
-MISSING = "."
-SPARK_TYPES = {"char*": "string", "double": "double", "float": "float", "int32_t": "int", "uint32_t": "bigint", "uint64_t": "bigint", "int64_t": "bigint", "uint8_t": "smallint", "int8_t": "tinyint", "int16_t": "smallint", "uint16_t": "int", "int16_t*": "array<smallint>"}
+#: Rows of attributes or of files up to this many go to every task; more are joined by shuffle.
+FEW_ROWS = 100_000
+#: Bytes of a range.
+SPLIT_BYTES = 32 << 20
+RUN_FILES = "*.{slow5,txt}"
 
 
 def lines(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """value and path of every line; splittable by line."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{slow5,txt}") if recursive else spark.read
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", RUN_FILES) if recursive else spark.read
     return reader.text(path).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def layouts(text: DataFrame) -> list[tuple[dict[str, str], list[str]]]:
-    """The headers of lines (value, path): columns with their types, and the files that have them; few layouts as a rule.
+def layouts(text: DataFrame) -> tuple[list[dict[str, str]], DataFrame]:
+    """The headers of lines (value, path): each layout's columns with their types, and a table path, layout (its number).
 
-    A file whose header names no columns, or names them twice in different ways, is an error.
+    Few layouts as a rule; of files, the driver gets none. A file whose header names no columns, or names them twice in
+    different ways, is an error.
     """
     head = text.where(F.startswith("value", F.lit("#read_id")) | F.startswith("value", F.lit("#char*")))
     name = F.when(F.startswith("value", F.lit("#read_id")), F.substring("value", 2, 1 << 20))
     kind = F.when(F.startswith("value", F.lit("#char*")), F.substring("value", 2, 1 << 20))
-    files = head.groupBy("path").agg(F.min(name).alias("names"), F.min(kind).alias("kinds"), ((F.min(name) == F.max(name)) & (F.min(kind) == F.max(kind))).alias("one"))
-    found = files.groupBy("names", "kinds", "one").agg(F.collect_list("path").alias("paths")).collect()
+    agree = F.coalesce((F.min(name) == F.max(name)) & (F.min(kind) == F.max(kind)), F.lit(False))
+    files = written(head.groupBy("path").agg(F.min(name).alias("names"), F.min(kind).alias("kinds"), agree.alias("one")), "layouts")
+    found = files.groupBy("names", "kinds", "one").agg(F.min("path").alias("path")).orderBy("names", "kinds").collect()
     if not found or not all(r["one"] for r in found):
-        raise ValueError("no SLOW5 header line names the columns" if not found else f"a SLOW5 header names its columns in part or in several ways: {next(r['paths'][0] for r in found if not r['one'])}")
-    return [(dict(zip(r["names"].split("\t"), r["kinds"].split("\t"), strict=True)), r["paths"]) for r in sorted(found, key=lambda r: r["names"])]
+        raise ValueError("no SLOW5 header line names the columns" if not found else f"a SLOW5 header names its columns in part or in several ways: {next(r['path'] for r in found if not r['one'])}")
+    number = F.coalesce(*[F.when((F.col("names") == r["names"]) & (F.col("kinds") == r["kinds"]), F.lit(k)) for k, r in enumerate(found)])
+    return [columns_of(r["names"], r["kinds"]) for r in found], files.select("path", number.alias("layout"))
 
 
 def parse(text: DataFrame, columns: dict[str, str] | None = None, mode: str = "failfast") -> DataFrame:
@@ -59,30 +70,29 @@ def parse(text: DataFrame, columns: dict[str, str] | None = None, mode: str = "f
     """
     if columns is not None:
         return parse_as(text, columns, mode)
-    found = layouts(text)
+    found, files = layouts(text)
     if len(found) == 1:
-        return parse_as(text, found[0][0], mode)
+        return parse_as(text, found[0], mode)
     kinds: dict[str, str] = {}
-    for names, _ in found:
+    for names in found:
         for n, k in names.items():
             if spark_type(kinds.setdefault(n, k)) != spark_type(k):
                 raise ValueError(f"SLOW5 headers disagree about the type of {n}: {kinds[n]} and {k}")
     others = [c for c in text.columns if c != "value"]
+    files = files.toDF("_path", "_layout")
+    laid = text.join(F.broadcast(files) if files.count() <= FEW_ROWS else files, F.col("path") == F.col("_path"))
     whole: DataFrame | None = None
-    for names, paths in found:
-        part = parse_as(text.where(F.col("path").isin(paths)), names, mode)
+    for number, names in enumerate(found):
+        own = F.when(F.col("_layout") == number, F.col("value"))  # null, not filtered, so that no check of fields goes below the join
+        part = parse_as(laid.withColumn("value", own).drop("_path", "_layout"), names, mode)
         part = part.select(*others, *[F.col(c) if c in names else F.lit(None).cast(spark_type(k)).alias(c) for c, k in kinds.items()], *(["_corrupt"] if mode == "flag" else []))
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
 
-def spark_type(kind: str) -> str:
-    return "string" if kind.startswith("enum{") else SPARK_TYPES[kind]
-
-
 def parse_as(text: DataFrame, columns: dict[str, str], mode: str) -> DataFrame:
     """parse() of lines that all have these columns in this order."""
-    records = text.where(~F.startswith("value", F.lit("#")) & ~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
+    records = text.where(F.col("value").isNotNull() & ~F.startswith("value", F.lit("#")) & ~F.startswith("value", F.lit("@")) & (F.col("value") != ""))
     records = records.withColumn("_f", F.split("value", "\t", -1))
     others = [c for c in text.columns if c != "value"]
 
@@ -92,15 +102,15 @@ def parse_as(text: DataFrame, columns: dict[str, str], mode: str) -> DataFrame:
             labels = F.array(*[F.lit(x) for x in kind[5:-1].split(",")])
             return F.get(labels, raw.try_cast("int"))
         if kind.endswith("*") and kind != "char*":
-            return F.when(raw == "", F.array().cast("array<smallint>")).otherwise(F.transform(F.split(raw, ","), lambda x: x.try_cast("smallint")))
-        return raw.try_cast(SPARK_TYPES[kind])
+            return F.when(raw == "", F.array().cast(spark_type(kind))).otherwise(F.transform(F.split(raw, ","), lambda x: x.try_cast(spark_type(kind[:-1]))))
+        return raw.try_cast(spark_type(kind))
 
     parsed = records.select(*others, F.col("value"), F.col("_f"), *[field(i, kind).alias(name) for i, (name, kind) in enumerate(columns.items())])
     wrong = F.size("_f") != len(columns)
     for i, (name, kind) in enumerate(columns.items()):
         given = F.get(F.col("_f"), F.lit(i))
         wrong = wrong | F.coalesce(F.col(name).isNull() & (given != MISSING), F.lit(True))
-        if kind == "int16_t*":
+        if kind.endswith("*") and kind != "char*":
             wrong = wrong | F.coalesce(F.exists(name, lambda x: x.isNull()), F.lit(False))
     wrong = wrong | F.coalesce(F.size("raw_signal") != F.col("len_raw_signal"), F.lit(True))
     if mode == "flag":
@@ -109,16 +119,71 @@ def parse_as(text: DataFrame, columns: dict[str, str], mode: str) -> DataFrame:
     return parsed.where(F.when(wrong, error).otherwise(F.lit(True))).select(*others, *columns)  # in a filter, so that no plan prunes it
 
 
-def read_slow5(spark: SparkSession, path: str, mode: str = "failfast") -> DataFrame:
-    """The reads of a file or directory, with the file's path as run."""
-    return parse(lines(spark, path), mode=mode)
+def file_heads(files: DataFrame) -> DataFrame:
+    """Files (path, length) -> HEADS: the names and types of columns and the attributes of each, read up to its first record."""
+    return files.mapInArrow(heads, HEADS)
+
+
+def columns_of_files(found: DataFrame) -> tuple[dict[str, str], dict[str, str] | None]:
+    """file_heads() -> all columns with their types, and those of files without a header: of the others, if these agree.
+
+    The driver gets a row a layout, no files. Types that are not the same in all files are an error.
+    """
+    some = found.groupBy("names", "kinds", "one").agg(F.min("path").alias("path")).orderBy("names", "kinds").collect()
+    given = [r for r in some if r["names"] is not None or r["kinds"] is not None]
+    if not given:
+        raise ValueError("no SLOW5 header line names the columns")
+    for r in given:
+        if not r["one"] or r["names"] is None or r["kinds"] is None:
+            raise ValueError(f"a SLOW5 header names its columns in part or in several ways: {r['path']}")
+    columns: dict[str, str] = {}
+    for r in given:
+        for n, k in columns_of(r["names"], r["kinds"]).items():
+            if spark_type(columns.setdefault(n, k)) != spark_type(k):
+                raise ValueError(f"SLOW5 headers disagree about the type of {n}: {columns[n]} and {k}")
+    if len(given) < len(some) and len(given) > 1:
+        raise ValueError(f"a SLOW5 file without a header, and several layouts beside it: {next(r['path'] for r in some if r not in given)}")
+    return columns, columns_of(given[0]["names"], given[0]["kinds"]) if len(given) == 1 else None
+
+
+def scan(files: DataFrame, mode: str = "failfast", only: list[str] | None = None, wide: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Files (path, length) -> path, position and the columns of their records, all or those of only.
+
+    Ranges are dealt out evenly, so many small files make few tasks and a large one makes many. Every field of every record
+    is looked at; an array is built only where it is wanted.
+    """
+    columns, alone = columns_of_files(file_heads(files))
+    if only is not None:
+        if lost := [c for c in only if c not in columns]:
+            raise ValueError(f"no SLOW5 header names {', '.join(lost)}")
+        columns = {c: columns[c] for c in only}
+    work = Scan(columns, alone, mode == "flag", wide)
+    n_bytes = files.agg(F.sum("length")).first()[0] or 0
+    return ranges(files, split_bytes).repartition(max(1, -(-n_bytes // split_bytes))).mapInArrow(work, work.schema())
 
 
-def read_runs(spark: SparkSession, directory: str, mode: str = "failfast") -> DataFrame:
+def read_slow5(spark: SparkSession, path: str | list[str], mode: str = "failfast", positions: bool = False, only: list[str] | None = None, wide: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The reads of a file or directory, with the file's path.
+
+    positions: with the byte at which a record begins, so (path, position) is the order of the files. only: these columns and
+    no others; without raw_signal no samples leave the reader. wide: unsigned 64-bit integers as decimals. mode as in parse().
+    """
+    found = scan(listed(spark, path), mode, only, wide, split_bytes)
+    return found if positions else found.drop("position")
+
+
+def read_runs(spark: SparkSession, directory: str, mode: str = "failfast", positions: bool = False, only: list[str] | None = None, wide: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Every file below directory as one job, with path and run: the name of the file's folder, without run= before it."""
-    text = lines(spark, directory, recursive=True)
+    found = scan(listed(spark, directory, recursive=True, glob=RUN_FILES), mode, only, wide, split_bytes)
     run = F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^run=", "")
-    return parse(text.select("value", "path", run.alias("run")), mode=mode)
+    return found.select("path", run.alias("run"), *(["position"] if positions else []), *found.columns[2:])
+
+
+def read_header(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """path, read_group, attr, value of every file, as header_attributes(); files are read up to their first record only."""
+    found = file_heads(listed(spark, path, recursive, RUN_FILES if recursive else None))
+    rows = found.select("path", F.explode("attributes").alias("a")).select("path", F.col("a.attr").alias("attr"), F.posexplode("a.values").alias("g", "value"))
+    return rows.select("path", F.col("g").cast("bigint").alias("read_group"), "attr", "value")
 
 
 def header_attributes(text: DataFrame) -> DataFrame:
@@ -128,10 +193,6 @@ def header_attributes(text: DataFrame) -> DataFrame:
     return rows.select("path", F.col("g").cast("bigint").alias("read_group"), "attr", F.nullif("v", F.lit(MISSING)).alias("value"))
 
 
-#: Attribute rows up to this many go to every task; more are joined by shuffle.
-FEW_ROWS = 100_000
-
-
 def attach_attributes(reads: DataFrame, header: DataFrame, names: list[str]) -> DataFrame:
     """reads (path, read_group, ...) with one column a header attribute of names.
 
