@@ -5,49 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import with_quantiles
+
 
 def alignment_identity(alignments: DataFrame) -> DataFrame:
     """alignments (matches, block_len) with identity, null where block_len is 0."""
     return alignments.withColumn("identity", F.try_divide(F.col("matches").cast("double"), F.col("block_len").cast("double")))
 
 
-def quantile(p: float, approximate: int | None = None) -> Column:
-    """A quantile of identity, exact unless an accuracy is given.
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+MEDIAN = {"median": 0.5}
 
-    An exact one holds every distinct identity of a group in one task; where identities rarely repeat and a group is very
-    large, give an accuracy: the rank is then off by at most 1 / accuracy of the group, and its sketches stay small.
-    """
-    return F.percentile_approx("identity", p, approximate) if approximate else F.percentile("identity", F.lit(p))
 
+def summed(alignments: DataFrame, groups: tuple[str, ...], others: dict[str, Column], ps: dict[str, float], approximate: int | None) -> DataFrame:
+    """alignments by groups: the aggregates of others, and quantiles of identity.
 
-def summaries(approximate: int | None = None) -> list[Column]:
-    """mean, sstdev, q1, median, q3 and n of identity."""
-    return [
-        F.avg("identity").alias("mean"),
-        F.stddev_samp("identity").alias("sstdev"),
-        quantile(0.25, approximate).alias("q1"),
-        quantile(0.5, approximate).alias("median"),
-        quantile(0.75, approximate).alias("q3"),
-        F.count("identity").alias("n"),
-    ]
+    These are exact, found by selection without a task that holds a group, unless an accuracy is given: the rank is then off by
+    at most 1 / approximate of the group, for one look at the rows instead of three or more.
+    """
+    if approximate:
+        return alignments.groupBy(*groups).agg(*[c.alias(n) for n, c in others.items()], *[F.percentile_approx("identity", p, approximate).alias(n) for n, p in ps.items()])
+    rows = alignments.groupBy(*groups).agg(*[c.alias(n) for n, c in others.items()])
+    return with_quantiles(rows, alignments, "identity", groups, ps)
 
 
 def identity_summary(alignments: DataFrame, groups: tuple[str, ...] = (), approximate: int | None = None) -> DataFrame:
-    """alignments (groups, identity) -> groups, mean, sstdev, q1, median, q3, n; approximate as in quantile()."""
-    return alignments.groupBy(*groups).agg(*summaries(approximate))
+    """alignments (groups, identity) -> groups, mean, sstdev, q1, median, q3, n; approximate as in summed()."""
+    others = {"mean": F.avg("identity"), "sstdev": F.stddev_samp("identity"), "n": F.count("identity")}
+    return summed(alignments, groups, others, QUARTILES, approximate).select(*groups, "mean", "sstdev", *QUARTILES, "n")
 
 
 def compare_runs(alignments: DataFrame, callers: tuple[str, ...], model: str = "model", caller: str = "caller", approximate: int | None = None) -> DataFrame:
-    """alignments (model, caller, identity) -> a row a model, <caller>_mean and <caller>_median of each caller; approximate as in quantile()."""
-    return alignments.groupBy(model).pivot(caller, list(callers)).agg(F.avg("identity").alias("mean"), quantile(0.5, approximate).alias("median"))
+    """alignments (model, caller, identity) -> a row a model, <caller>_mean and <caller>_median of each caller; approximate as in summed()."""
+    each = summed(alignments, (model, caller), {"mean": F.avg("identity")}, MEDIAN, approximate)
+    return each.groupBy(model).pivot(caller, list(callers)).agg(F.max("mean").alias("mean"), F.max("median").alias("median"))  # of one row each
 
 
 def accuracy_gate(alignments: DataFrame, thresholds: DataFrame, model: str = "model", approximate: int | None = None) -> DataFrame:
-    """alignments (model, identity), thresholds (model, threshold) -> model, median, threshold, status; approximate as in quantile().
+    """alignments (model, identity), thresholds (model, threshold) -> model, median, threshold, status; approximate as in summed().
 
     status: pass, fail, or unknown_model for a model without a threshold.
     """
-    medians = alignments.groupBy(model).agg(quantile(0.5, approximate).alias("median"))
+    medians = summed(alignments, (model,), {"n": F.count("identity")}, MEDIAN, approximate)
     status = F.when(F.col("threshold").isNull(), "unknown_model").when(F.col("median") >= F.col("threshold"), "pass").otherwise("fail")
     return medians.join(thresholds, model, "left").select(model, "median", "threshold", status.alias("status"))
 
