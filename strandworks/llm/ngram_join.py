@@ -41,7 +41,7 @@ SHINGLE = 4
 SHARE = (85, 100)
 TOKEN_BITS = 48
 #: Text of a fragment, shingles of a batch, and nodes of a batch from which on a shingle is counted there.
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 BATCH = 500_000
 COMMON = 64
 #: At most so many nodes have so many copies that only one of them is cut; and tables of at most so many rows are broadcast.
