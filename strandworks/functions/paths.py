@@ -27,7 +27,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         root = own_folder(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession) -> str:
+    """What an application's intermediate files stand in."""
+    return f"strandworks-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all intermediate files of this application, by Spark's own file systems; results not yet read are lost."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{folder(spark)}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -12,27 +12,62 @@ from pyspark.sql.types import DoubleType
 OFFSET = 33
 LAST = 126
 LEAST_ERROR = 1e-4
+#: Characters that are looked up at once, or one string if it is longer; and strings that are added up side by side.
+PIECE = 1 << 22
+ABREAST = 256
+ERRORS = np.array([10 ** ((c - OFFSET) / -10) for c in range(OFFSET, LAST + 1)])
 
 
-def read_score(quality: Column) -> Column:
-    """Phred score of the mean error probability, null for null or empty strings.
+def sums_of(errors: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The sum of errors[start : start + size] of each string, added one by one from the left, as SQL engines do.
 
-    One Arrow step: higher-order functions would make an object of each character. A character that is no quality ends the job.
+    Strings go side by side, a character of each at a time, while many are that long; the few longest are then finished one
+    after the other.
     """
-    errors = np.array([10 ** ((c - OFFSET) / -10) for c in range(OFFSET, LAST + 1)])
+    order = np.argsort(-size, kind="stable")
+    start, size, sums, k = start[order], size[order], np.zeros(len(size)), 0
+    while (n := int(np.searchsorted(-size, -k))) >= ABREAST:  # strings longer than k
+        sums[:n] += errors[start[:n] + k]
+        k += 1
+    for i in range(n):
+        sums[i] = np.cumsum(np.r_[sums[i], errors[start[i] + k : start[i] + size[i]]])[-1]
+    out = np.empty(len(size))
+    out[order] = sums
+    return out
+
 
-    def mean_error(text: str | None) -> float | None:
-        if not text:
-            return None
-        codes = np.frombuffer(text.encode(), np.uint8)
-        if codes.min() < OFFSET or codes.max() > LAST:
-            raise ValueError("a quality string has other characters than ! to ~")
-        return errors[codes - OFFSET].cumsum()[-1] / len(codes)  # added one by one, as SQL engines do
+def mean_errors(texts: pa.Array) -> pa.Array:
+    """Mean error probability of each string, null for null or empty ones, by look-ups in the column's buffer.
+
+    A character that is no quality ends the job.
+    """
+    wide = pa.types.is_large_string(texts.type)
+    texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    n = len(texts)
+    if not n or data is None:
+        return pa.nulls(n, pa.float64())
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    codes, size = np.frombuffer(data, np.uint8), np.diff(at)
+    sums = np.zeros(n)
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + PIECE, "right")) - 1))
+        part = codes[at[lo] : at[hi]]
+        if len(part):
+            if part.min() < OFFSET or part.max() > LAST:
+                raise ValueError("a quality string has other characters than ! to ~")
+            sums[lo:hi] = sums_of(ERRORS[part - OFFSET], at[lo:hi] - at[lo], size[lo:hi])
+        lo = hi
+    return pa.array(sums / np.maximum(size, 1), mask=size == 0)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([mean_error(t) for t in texts], dtype="float64")
 
-    error = F.pandas_udf(run, DoubleType())(quality)
+def read_score(quality: Column) -> Column:
+    """Phred score of the mean error probability, null for null or empty strings.
+
+    One Arrow step over whole columns: higher-order functions would make an object of each character.
+    """
+    error = F.arrow_udf(mean_errors, DoubleType())(quality)
     return F.when(F.length(quality) > 0, F.log10(F.greatest(error, F.lit(LEAST_ERROR))) * -10)
 
 

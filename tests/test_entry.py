@@ -80,3 +80,22 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn", applicationId="x"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         fresh_path(session, "x")
+
+
+def test_intermediate_files_can_be_removed(spark):
+    from pathlib import Path as Local
+
+    from strandworks.functions import paths
+
+    before, paths_of = paths.written(spark.range(5), "kept"), paths.fresh_path(spark, "x").rsplit("/", 1)[0]
+    assert before.count() == 5 and any(Local(paths_of.removeprefix("file://")).iterdir())
+    held = paths.own_folder, paths.folder
+    try:
+        paths.folder = lambda s: "strandworks-another"  # what other applications have stays
+        other = paths.written(spark.range(3), "gone")
+        paths.clean_up(spark)
+        assert before.count() == 5
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            other.count()
+    finally:
+        paths.own_folder, paths.folder = held

@@ -1,0 +1,34 @@
+"""Mean errors over Arrow buffers against a plain loop."""
+
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from strandworks.functions import quality
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("!+5?I~@", max_size=12)), max_size=20), st.integers(0, 3), st.integers(1, 40), st.booleans(), st.sampled_from([1, 3, 256]))
+def test_equals_a_plain_loop(texts, cut, piece, wide, abreast):
+    """To the last bit, as scores are compared for equality."""
+    kind = pa.large_string() if wide else pa.string()
+    before, quality.PIECE, quality.ABREAST = quality.PIECE, piece, abreast
+    try:
+        got = quality.mean_errors(pa.array([*(["zz"] * cut), *texts], kind).slice(cut)).to_pylist()
+    finally:
+        quality.PIECE, quality.ABREAST = before, 256
+
+    def plain(t):
+        total = 0.0
+        for c in t:
+            total += 10 ** ((ord(c) - 33) / -10)
+        return total / len(t)
+
+    assert got == [plain(t) if t else None for t in texts]
+
+
+@pytest.mark.parametrize("bad", ["I I", "é", "\x7f", "\n"])
+def test_other_characters(bad):
+    with pytest.raises(ValueError, match="other characters"):
+        quality.mean_errors(pa.array(["II", None, bad]))
