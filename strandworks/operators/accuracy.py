@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import written
 from .quantiles import with_quantiles
 
 
@@ -25,8 +26,8 @@ def summed(alignments: DataFrame, groups: tuple[str, ...], others: dict[str, Col
     """
     if approximate:
         return alignments.groupBy(*groups).agg(*[c.alias(n) for n, c in others.items()], *[F.percentile_approx("identity", p, approximate).alias(n) for n, p in ps.items()])
-    rows = alignments.groupBy(*groups).agg(*[c.alias(n) for n, c in others.items()])
-    return with_quantiles(rows, alignments, "identity", groups, ps)
+    held = written(alignments.select(*groups, "identity"), "identities")
+    return with_quantiles(held.groupBy(*groups).agg(*[c.alias(n) for n, c in others.items()]), held, "identity", groups, ps)
 
 
 def identity_summary(alignments: DataFrame, groups: tuple[str, ...] = (), approximate: int | None = None) -> DataFrame:

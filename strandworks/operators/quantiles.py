@@ -48,11 +48,13 @@ def before(keys: list[Column], order: str, count: str) -> Column:
 
 
 def order_statistics(rows: DataFrame, value: str, groups: tuple[str, ...], ps: tuple[float, ...], few_rows: int = FEW_ROWS, buckets: int = BUCKETS) -> DataFrame:
-    """rows -> t0.. (the groups), n, k, x: the k-th smallest value of each group, from 0, for every k that ps need; nulls are none."""
+    """rows -> t0.. (the groups), n, k, x: the k-th smallest value of each group, from 0, for every k that ps need; nulls are none.
+
+    rows are looked at several times, so they should be a written table.
+    """
     names = list(groups)
     g, t = [f"g{i}" for i in range(len(names))], [f"t{i}" for i in range(len(names))]
     base = rows.select(*[F.col(c).alias(x) for c, x in zip(names, g, strict=True)], F.lit(0).alias("key"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    base = written(base, "values")
     sizes = base.groupBy("key", *g).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     targets = sizes.select(*[F.col(a).alias(b) for a, b in zip(g, t, strict=True)], F.col("key").alias("one"), "n", F.explode(ranks(ps)).alias("k"), "lo", "hi", F.lit(0).cast("long").alias("skip"), F.col("n").alias("held"))
     targets = written(targets, "ranks")
@@ -76,12 +78,12 @@ def order_statistics(rows: DataFrame, value: str, groups: tuple[str, ...], ps: t
     return found.unionByName(targets.where(~many).select(*t, "n", "k", F.col("lo").alias("x")))
 
 
-def exact_quantiles(rows: DataFrame, value: str, groups: tuple[str, ...], ps: dict[str, float], few_rows: int = FEW_ROWS, buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(rows: DataFrame, value: str, groups: tuple[str, ...], ps: dict[str, float], few_rows: int = FEW_ROWS, buckets: int = BUCKETS, held: bool = False) -> DataFrame:
     """rows (groups, value) -> t0.. (the groups), and a column for each of ps (name: quantile), as percentile() would give them.
 
-    Between two order statistics a quantile is linear. Groups without values give no row.
+    Between two order statistics a quantile is linear. Groups without values give no row. held: rows are a written table.
     """
-    found = order_statistics(rows, value, groups, tuple(ps.values()), few_rows, buckets)
+    found = order_statistics(rows if held else written(rows.select(*groups, value), "values"), value, groups, tuple(ps.values()), few_rows, buckets)
 
     def of(p: float) -> Column:
         at = F.lit(p) * (F.first("n") - 1)
@@ -94,8 +96,8 @@ def exact_quantiles(rows: DataFrame, value: str, groups: tuple[str, ...], ps: di
 
 
 def with_quantiles(summary: DataFrame, rows: DataFrame, value: str, groups: tuple[str, ...], ps: dict[str, float]) -> DataFrame:
-    """summary (groups, ...: one row a group) with the quantiles of rows' groups; null where a group has no values."""
-    found = exact_quantiles(rows, value, groups, ps)
+    """summary (groups, ...: one row a group) with the quantiles of the groups of rows, a written table; null where a group has no values."""
+    found = exact_quantiles(rows, value, groups, ps, held=True)
     named = summary.toDF(*[f"s_{c}" for c in summary.columns])
     agree = F.lit(True)
     for i, c in enumerate(groups):
