@@ -4,8 +4,8 @@ An automaton over all magic bytes finds every place where a medium may begin; a
 and says how long the medium is, or that there is none. What validates at offset 0 corrects the declared type; what
 validates further inside is carved as embedded media. Null content is no bytes: it has no type and nothing to carve.
 
-Validators walk from chunk to chunk; those that look for an end mark (PDF, ZIP, JPEG) find it among all marks of the content,
-which are listed once. Magic bytes inside a compressed stream that validated are part of it and are passed over. So sniffing
+Validators walk from chunk to chunk, and a walk that comes to where another of its format has been takes that one's outcome;
+those that look for an end mark (PDF, ZIP, JPEG) find it among all marks of the content, which are listed once. Magic bytes inside a compressed stream that validated are part of it and are passed over. So sniffing
 takes time in proportion to the content, also where it is all magic bytes; only gzip headers set to inflate one another's
 stored bytes cost more.
 """
@@ -33,6 +33,7 @@ from .common import pick, table
 BLOCK = 64
 RATE = 8000
 INFLATED = 1 << 16
+WINDOW = 16
 BATCH_BYTES = 16 << 20
 DECLARED = ("audio/wav", "application/octet-stream", "image/png", "audio/wav", "text/plain")
 #: What stands inside these is compressed, so magic bytes there mean nothing.
@@ -92,35 +93,78 @@ class Content(bytes):
         i = bisect_left(found, at)
         return found[i] if i < len(found) else -1
 
-
-def _riff(b: bytes, at: int, form: bytes) -> int | None:
+    def walk(self, name: str, at: int, step: Callable[[int], int], ends: Callable[[int], int | None]) -> int:
+        """Where a walk from `at` comes to: ends(p) says so where it is over, step(p) is the place after p.
+
+        What a walk is to come to depends on the place alone. It is kept for the first place in each WINDOW bytes that a walk
+        passes, so a walk that comes to where another has been takes that one's outcome, a few steps on at most.
+        """
+        known, passed, window = self.__dict__.setdefault("known", {}).setdefault(name, {}), [], -1
+        while (outcome := ends(at)) is None:
+            if at // WINDOW != window:
+                window = at // WINDOW
+                if at in known:
+                    outcome = known[at]
+                    break
+                passed.append(at)
+            at = step(at)
+        known.update(dict.fromkeys(passed, outcome))
+        return outcome
+
+    def chunk_after(self, p: int) -> tuple[int, bool]:
+        """Where the RIFF chunk after that at p begins, and whether a byte fills up between them; past all content if none can."""
+        if p + 8 > len(self):
+            return len(self) + 2, False
+        n = int.from_bytes(self[p + 4 : p + 8], "little")
+        return p + 8 + n + (n & 1), bool(n & 1)
+
+    def riffs(self) -> dict[int, int]:
+        """RIFF headers by place, with the end that they say, of those whose chunks tile what is between exactly.
+
+        Chunks lead on to later ones, whichever header a walk began at. Headers are taken by ascending ends, and a walk leaves
+        behind, where it passed, the first place not before its end: a later walk, whose end is no smaller, goes on from there.
+        """
+        known = self.__dict__.setdefault("known", {})
+        if "riff" not in known:
+            known["riff"], onward = {}, {}
+            said = ((at + 8 + int.from_bytes(self[at + 4 : at + 8], "little"), at) for at in self.places(b"RIFF") if at + 12 <= len(self))
+            for end, at in sorted(x for x in said if x[1] + 12 < x[0] <= len(self)):
+                p, filled, passed = at + 12, False, []
+                while p < end:
+                    passed.append(p)
+                    p, filled = onward.get(p) or self.chunk_after(p)
+                onward.update(dict.fromkeys(passed, (p, filled)))
+                if p == end or p == end + 1 and filled:  # the last chunk needs no byte to fill up
+                    known["riff"][at] = end
+        return known["riff"]
+
+    def format_or_data(self, p: int) -> int:
+        """The first chunk from p on that is a WAV's fmt or data; past all content if there is none."""
+        over = lambda q: q if q + 8 > len(self) or self[q : q + 4] in (b"fmt ", b"data") else None
+        return self.walk("wav", p, lambda q: self.chunk_after(q)[0], over)
+
+
+def _riff(b: Content, at: int, form: bytes) -> int | None:
     """The length by the RIFF size if the form matches and its chunks tile the content exactly."""
-    if len(b) - at < 12 or b[at + 8 : at + 12] != form:
+    if b[at + 8 : at + 12] != form or at not in b.riffs():
         return None
-    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    p = at + 12
-    while p + 8 <= end <= len(b):
-        n = int.from_bytes(b[p + 4 : p + 8], "little")
-        p += 8 + n + (n & 1 if p + 8 + n < end else 0)
-    return end - at if p == end <= len(b) and end > at + 12 else None
+    return b.riffs()[at] - at
 
 
-def wav_length(b: bytes, at: int) -> int | None:
+def wav_length(b: Content, at: int) -> int | None:
     """RIFF chunks in any number and order, but one fmt of 16 bytes or more before one data."""
     if not (n := _riff(b, at, b"WAVE")):
         return None
-    p, kinds = at + 12, []
-    while p < at + n:
-        kind, size = b[p : p + 4], int.from_bytes(b[p + 4 : p + 8], "little")
-        if kind in (b"fmt ", b"data"):
-            kinds.append(kind)
-            if kind == b"fmt " and size < 16:
-                return None
-        p += 8 + size + (size & 1)
-    return n if kinds == [b"fmt ", b"data"] else None
+    first = b.format_or_data(at + 12)
+    if first >= at + n or b[first : first + 4] != b"fmt " or int.from_bytes(b[first + 4 : first + 8], "little") < 16:
+        return None
+    second = b.format_or_data(b.chunk_after(first)[0])
+    if second >= at + n or b[second : second + 4] != b"data":
+        return None
+    return n if b.format_or_data(b.chunk_after(second)[0]) >= at + n else None
 
 
-def webp_length(b: bytes, at: int) -> int | None:
+def webp_length(b: Content, at: int) -> int | None:
     return _riff(b, at, b"WEBP")
 
 
@@ -137,25 +181,24 @@ def png_length(b: bytes, at: int) -> int | None:
     return None
 
 
-def gif_length(b: bytes, at: int) -> int | None:
+def gif_length(b: Content, at: int) -> int | None:
     """Screen descriptor, colour tables, blocks and their sub-blocks up to the trailer."""
     if len(b) - at < 14:
         return None
     table_bytes = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
-    p = at + 13 + table_bytes(b[at + 10])
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 - at
-        if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            p += 11 + table_bytes(b[p + 9])
-        else:
-            return None
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        p += 1
-    return None
+    over = lambda p: p + 1 if p >= len(b) or not b[p] else None  # noqa: E731  past the empty sub-block
+
+    def after(p: int) -> int:
+        begin = p + 2 if b[p] == 0x21 else p + 11 + table_bytes(b[p + 9])
+        return b.walk("gif sub-blocks", begin, lambda q: q + 1 + b[q], over)
+
+    def ends(p: int) -> int | None:
+        if p >= len(b) or b[p] not in (0x3B, 0x21, 0x2C) or b[p] == 0x2C and p + 10 > len(b):
+            return 0
+        return p + 1 if b[p] == 0x3B else None
+
+    end = b.walk("gif", at + 13 + table_bytes(b[at + 10]), after, ends)
+    return end - at if end else None
 
 
 def jpeg_length(b: bytes, at: int) -> int | None:
@@ -213,17 +256,22 @@ def zip_length(b: Content, at: int) -> int | None:
     return None
 
 
-def flac_length(b: bytes, at: int) -> int | None:
+def flac_length(b: Content, at: int) -> int | None:
     """Metadata blocks up to the last; the frames have no length, so the stream takes the rest."""
-    p = at + 4
-    while p + 4 <= len(b):
-        last, kind, n = b[p] & 0x80, b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
-        if p == at + 4 and (kind != 0 or n != 34):
+    size = lambda p: int.from_bytes(b[p + 1 : p + 4], "big")
+
+    def ends(p: int) -> int | None:
+        if p + 4 > len(b):
+            return 0
+        if not b[p] & 0x80:
             return None
-        p += 4 + n
-        if last:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8 else None
-    return None
+        q = p + 4 + size(p)
+        return int(q + 2 <= len(b) and b[q] == 0xFF and b[q + 1] & 0xFE == 0xF8)
+
+    p = at + 4
+    if p + 4 > len(b) or b[p] & 0x7F or size(p) != 34:
+        return None
+    return len(b) - at if b.walk("flac", p, lambda p: p + 4 + size(p), ends) else None
 
 
 class Format(NamedTuple):

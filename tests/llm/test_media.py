@@ -137,3 +137,102 @@ def test_registered_query_corrects_declared_types(spark):
     got = me.op2_media_columns(spark, "/root/testdata/sf0.001").collect()
     assert {r["corrected_type"] for r in got} == {"audio/wav"} and {r["is_mismatch"] for r in got} == {True, False}
     assert all(r["is_mismatch"] == (me.DECLARED[r["n_bytes"] % len(me.DECLARED)] != "audio/wav") for r in got)
+
+
+def plain_riff(b, at, form):
+    if len(b) - at < 12 or b[at + 8 : at + 12] != form:
+        return None
+    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+    p, kinds = at + 12, []
+    while p + 8 <= end <= len(b):
+        n = int.from_bytes(b[p + 4 : p + 8], "little")
+        kinds.append((b[p : p + 4], n))
+        p += 8 + n + (n & 1 if p + 8 + n < end else 0)
+    if p != end or end > len(b) or end <= at + 12:
+        return None
+    kinds = [k for k in kinds if k[0] in (b"fmt ", b"data")]
+    wav = [k for k, _ in kinds] == [b"fmt ", b"data"] and kinds[0][1] >= 16
+    return end - at if form == b"WEBP" or wav else None
+
+
+def plain_gif(b, at):
+    if len(b) - at < 14:
+        return None
+    table = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
+    p = at + 13 + table(b[at + 10])
+    while p < len(b):
+        if b[p] == 0x3B:
+            return p + 1 - at
+        if b[p] == 0x21:
+            p += 2
+        elif b[p] == 0x2C and p + 10 <= len(b):
+            p += 11 + table(b[p + 9])
+        else:
+            return None
+        while p < len(b) and b[p]:
+            p += 1 + b[p]
+        p += 1
+    return None
+
+
+def plain_flac(b, at):
+    p = at + 4
+    while p + 4 <= len(b):
+        n = int.from_bytes(b[p + 1 : p + 4], "big")
+        if p == at + 4 and (b[p] & 0x7F or n != 34):
+            return None
+        last, p = b[p] & 0x80, p + 4 + n
+        if last:
+            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFE == 0xF8 else None
+    return None
+
+
+def every_offset(b):
+    """What the walks of these formats find from each offset on its own."""
+    out = []
+    for at in range(len(b)):
+        if b[at : at + 4] == b"RIFF":
+            out += [(at, n, k) for form, k in ((b"WAVE", "audio/wav"), (b"WEBP", "image/webp")) if (n := plain_riff(b, at, form))]
+        if b[at : at + 6] in (b"GIF87a", b"GIF89a") and (n := plain_gif(b, at)):
+            out.append((at, n, "image/gif"))
+        if b[at : at + 4] == b"fLaC" and (n := plain_flac(b, at)):
+            out.append((at, n, "audio/flac"))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_offset_by_itself_finds_the_same(seed):
+    r = np.random.default_rng(seed)
+    little = lambda n: struct.pack("<I", n)
+    pieces = [b"RIFF", b"WAVE", b"WEBP", b"fmt ", b"data", b"JUNK", b"GIF89a", b"GIF87a", b"fLaC", b"\x21\xf9", b"\x2c", b"\x3b", b"\0", b"\0\0\0\x22" + bytes(34), b"\x80\0\0\x22" + bytes(34), b"\xff\xf8", bytes(13), b"\x01A", b"\x03abc", gif(), FILES["audio/wav"], FILES["audio/flac"]]
+    parts = []
+    for _ in range(r.integers(5, 120)):
+        parts.append(pieces[r.integers(len(pieces))] if r.random() < 0.7 else little(int(r.integers(0, 60))))
+    b = b"".join(parts)
+    b += little(0) * int(r.integers(0, 3))
+    if seed % 2:  # nested headers that all say the same end, and chunks that lead from one into another
+        body = b"".join(x + little(int(r.integers(0, 5))) + bytes(int(r.integers(0, 5))) for x in (b"JUNK", b"fmt ", b"data", b"JUNK") * 4)
+        for k in range(6):
+            body = b"RIFF" + little(4 + len(body)) + b"WAVE" + body if k % 3 else b"fmt " + little(16) + bytes(16) + b"data" + little(len(body)) + body
+        b += body + (b"\0" if seed % 4 == 1 else b"")
+    kinds = {"audio/wav", "image/webp", "image/gif", "audio/flac"}
+    closed = [(x.offset, x.offset + x.length) for x in me.sniff(b) if x.kind in me.CLOSED_KINDS]
+    assert not closed and sorted((x.offset, x.length, x.kind) for x in me.sniff(b) if x.kind in kinds) == sorted(every_offset(b))
+
+
+@pytest.mark.parametrize("unit", [b"GIF89aAAAA\x01AA!A", b"fLaC\0\0\0\x22" + bytes(34), b"RIFF\x08\0\0\0WAVE", b"RIFFAAAAWAVEfmt \x10\0\0\0", b"GIF89aAAAAAAA!A\x01A\x01A"])
+def test_walks_that_meet_take_linear_time(unit):
+    for n in (1_000_000, 4_000_000):
+        b = unit * (n // len(unit))
+        start = time.process_time()
+        me.sniff(b)
+        assert time.process_time() - start < 8 * n / 1_000_000  # each walk on its own takes minutes
+
+
+def test_nested_headers_of_one_end_take_linear_time():
+    body = b"fmt \x10\0\0\0" + bytes(16) + b"data\0\0\0\0"
+    heads = [b"RIFF" + struct.pack("<I", 4 + len(body) + 20 * k) + b"WAVEJUNK\0\0\0\0" for k in reversed(range(60_000))]  # each as a chunk of its own leads on
+    body = b"".join(heads) + body
+    start = time.process_time()
+    me.sniff(body)
+    assert time.process_time() - start < 10
