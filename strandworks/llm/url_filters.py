@@ -26,6 +26,8 @@ UNLISTED = "none"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 2.0
+#: Mined rules up to this many go to every task.
+FEW_RULES = 50_000
 
 
 class ListRule(NamedTuple):
@@ -138,14 +140,16 @@ def apply_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, tokens), distinct -> (url, mined_verdict, mined_confidence, mined_rule) of the surest rule that fits: by confidence, then support, then tokens.
 
     Inverted index: a rule is filed under the rarest of its tokens among the urls, so a url meets it once and few urls meet it
-    in vain; the other tokens are then checked. The index is as large as the rules, whose number support bounds.
+    in vain; the other tokens are then checked. The index is as large as the rules: it is broadcast if these are FEW_RULES at
+    most, and joined by shuffle otherwise.
     """
+    near = F.broadcast if rules.count() <= FEW_RULES else lambda x: x
     wanted = rules.select(F.explode("antecedent").alias("token")).distinct()
-    counts = written(urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted), "token").groupBy("token").count(), "token-counts")
+    counts = written(urls.select(F.explode("tokens").alias("token")).join(near(wanted), "token").groupBy("token").count(), "token-counts")
     filed = rules.withColumn("id", F.monotonically_increasing_id()).select("*", F.explode("antecedent").alias("token")).join(counts, "token")
     key = filed.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min(F.struct("count", "token"))["token"].alias("key"), F.count("*").alias("known"))
     index = written(key.where(F.col("known") == F.size("antecedent")), "url-index")  # a rule with a token that no url has fits none
-    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(F.broadcast(index), "key")
+    met = urls.select("url", "tokens", F.explode("tokens").alias("key")).join(near(index), "key")
     met = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = met.groupBy("url").agg(F.max(F.struct("confidence", "support", "verdict", "antecedent")).alias("best"))
     return best.select("url", F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("mined_confidence"), F.array_join("best.antecedent", " ").alias("mined_rule"))
