@@ -31,6 +31,8 @@ PROBES = 6
 LEAST_LONG = -(1 << 63)
 RANGE_BYTES = 8 << 20
 POINTS = 8
+#: Ranges there are at most, whatever the table: the driver cuts so many, and the plan names their beginnings.
+MOST_RANGES = 16_384
 
 
 def words(text: Column) -> Column:
@@ -94,8 +96,10 @@ def range_starts(rows: DataFrame, range_bytes: int) -> list[tuple[int, int]]:
     """Where ranges of about range_bytes of text begin, ascending (key, tie); the first row of all is the first.
 
     Rows are drawn by a hash with a probability in proportion to their bytes, POINTS for each range, so as many points as
-    make a range stand for range_bytes. The driver gets 16 bytes for each range_bytes / POINTS of text: some 100 MB at 100 TB.
+    make a range stand for range_bytes. The driver gets 16 bytes for each point, which are about POINTS * MOST_RANGES (2 MB)
+    at most: beyond MOST_RANGES * range_bytes of text, ranges are larger and not more.
     """
+    range_bytes = max(range_bytes, -(-(rows.agg(F.sum("bytes")).first()[0] or 0) // MOST_RANGES))
     uniform = F.pmod(F.xxhash64("key", "tie", F.lit("range")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.where(uniform < F.col("bytes") * F.lit(POINTS / range_bytes)).select("key", "tie").distinct()
     points = drawn.toArrow().sort_by([("key", "ascending"), ("tie", "ascending")])
