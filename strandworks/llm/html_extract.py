@@ -1,10 +1,13 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of the blocks before
-and after it, whether an element made for boilerplate, the article's element or a heading encloses it, and, as one weak
-feature, whether a part of the page with a telling name does. A CART tree, grown on the labelled blocks of TRAINING_PAGES,
-keeps or drops each block. Null html is read as empty; a page without kept blocks has an empty text. Nothing is capped, and
-pages are read in linear time, so one very long or broken page is one row of one task, as it is in the table.
+and after it, whether an element made for boilerplate, the article's element, a heading or a part of the page with a telling
+name encloses it, whether the page has any text outside such parts (if not, names tell nothing), and whether it stands beside a
+main text that has an element of its own. A CART tree, grown on the labelled blocks of TRAINING_PAGES, keeps or drops each block.
+Names of quotes, paragraphs, headings and the like are not looked at, and how long a block is does not excuse its part's name.
+
+Null html is read as empty; a page without kept blocks has an empty text; repeated rows give repeated rows. Nothing is capped,
+and pages are read in linear time, so one very long or broken page is one row of one task, as it is in the table.
 """
 
 from __future__ import annotations
@@ -25,18 +28,23 @@ from .common import pick, table
 #: Element names of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    "head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What stands in these is no text of the page. Unclosed, the first run to its end; the others are elements like any other.
 RAW_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
 CLOSED_TAGS = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "iframe", "svg", "canvas", "object")}
 #: Elements and roles that are made for what is not the article; header only above it.
-BOILER_TAGS = frozenset("nav footer aside form menu button select label fieldset dialog".split())
-BOILER_ROLES = frozenset("navigation contentinfo complementary banner search dialog".split())
+BOILER_TAGS = frozenset("nav footer aside form menu button select fieldset dialog".split())
+BOILER_ROLES = frozenset("navigation contentinfo complementary banner search dialog alert alertdialog".split())
 MAIN_TAGS = frozenset("article main".split())
 SHELL_TAGS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a text has for words of others or for itself; what they are called tells nothing.
+QUOTE_TAGS = HEADINGS | frozenset("p a b i em strong span q blockquote cite code pre figure figcaption img li td th dd dt mark small sub sup time body html".split())
+LINKED = 0.5
+#: So many plain words are a text; more tell nothing about the other blocks.
+ENOUGH = 10
 #: What pages call their parts. A name counts if it is made of these words only, the first kind among them:
 #: ad-slot and site-footer do, ad-hoc and search-history do not.
 PART_WORDS = frozenset(
@@ -45,7 +53,7 @@ PART_WORDS = frozenset(
     "cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login form search tags pagination pager".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
-PLACE_WORDS = frozenset("site page main global left right top bottom inner outer wrapper container box block area section slot unit zone panel row column list item items links bar buttons content body".split())
+PLACE_WORDS = frozenset("site page main global left right top bottom inner outer wrapper container box block area section slot unit zone panel row column list item items links bar buttons content body reader readers user users visitor visitors post posts latest recent more".split())
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _TAG_END = re.compile(r">|=\s*([\"'])")
@@ -64,7 +72,7 @@ class Block(NamedTuple):
     label: str
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate element", "in main", "heading", "named")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in boilerplate element", "in main", "heading", "named", "plain words", "beside main")
 
 
 class Frame(NamedTuple):
@@ -182,7 +190,7 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         marks = [(k.lower(), a or b or c) for k, a, b, c in _MARKS.findall(attrs)] if "=" in attrs and tag not in SHELL_TAGS else ()
         boiler = tag in BOILER_TAGS or tag == "header" and not top.main or any(k == "role" and v.lower() in BOILER_ROLES for k, v in marks)
-        named = any(k != "role" and any(part_name(n, not top.main) for n in v.split()) for k, v in marks)
+        named = tag not in QUOTE_TAGS and any(k != "role" and any(part_name(n, not top.main) for n in v.split()) for k, v in marks)
         keep = re.search(r'data-keep="(\d)"', attrs) if "data-keep" in attrs else None
         stack.append(Frame(tag, top.links + (tag == "a"), top.boiler + boiler, top.main + (tag in MAIN_TAGS), top.heading + (tag in HEADINGS), top.named + named, keep[1] if keep else top.label))
         opened[tag] += 1
@@ -192,13 +200,21 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row a block, in the order of FEATURES; past either end of the page stands a block of no words."""
+    """One row a block, in the order of FEATURES; past either end of the page stands a block of no words.
+
+    Plain blocks are those that are neither links nor in elements or parts that are named as no article. "plain words" counts
+    those of the page, up to ENOUGH: without any, names tell nothing. "beside main": the page has a main text that the block
+    is no part of.
+    """
     if not found:
         return np.zeros((0, len(FEATURES)))
     own = np.array([(b.words, b.link_density) for b in found], float)
     ring = np.vstack([[(0, 0)], own, [(0, 0)]])
     flags = np.array([(b.in_boiler, b.in_main, b.heading, b.named) for b in found], float)
-    return np.hstack([own, ring[:-2], ring[2:], flags])
+    plain = sum(b.words for b in found if not (b.in_boiler or b.named) and b.link_density <= LINKED)
+    inside = sum(b.words for b in found if b.in_main and not (b.in_boiler or b.named) and b.link_density <= LINKED)
+    page = np.array([(min(plain, ENOUGH), not b.in_main and inside >= ENOUGH) for b in found], float)
+    return np.hstack([own, ring[:-2], ring[2:], flags, page])
 
 
 #: The labelled table: data-keep tells whether the blocks in an element belong to the article. Names mislead in it on purpose
@@ -211,6 +227,25 @@ _ESSAY = f"{_LONG} then {_LONG} until {_LONG}"
 _MENU = '<div data-keep="0"><ul><li><a href="/">Home</a></li><li><a href="/n">World news</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather today</a></li></ul></div>'
 _LEGAL = '<div data-keep="0"><a href="/k">Privacy</a> | <a href="/l">Contact us by mail</a></div>'
 _OWN = f'<h1>Short title</h1><p>{_PROSE}</p><p>Yes.</p><p>{_LONG}</p><p>One <a href="/x">link</a></p><p>{_PROSE}</p>'
+
+
+def said(n: int) -> str:
+    """n words."""
+    return " ".join((f"{_ESSAY} " * (n // 60 + 1)).split()[:n])
+
+
+def spoken(n: int) -> list[str]:
+    """Labelled pages with comments, sidebars, adverts and quotes of n words."""
+    text = said(n)
+    return [
+        f'<article data-keep="1"><h1>Title</h1><p>{_PROSE}</p><p>{_LONG}</p><section id="comments" data-keep="0"><p>{text}</p><p>ok</p></section></article>',
+        f'<div data-keep="1"><p>{_LONG}</p><p>{_PROSE}</p></div><div class="comments" data-keep="0"><div><p>{text}</p></div><div><p>{text} {_SHORT}</p></div></div>',
+        f'<article data-keep="1"><p>{_PROSE}</p><div class="sidebar" data-keep="0"><p>{text}</p></div><p>{_LONG}</p><div class="ad" data-keep="0">{text}</div><p>It was late.</p></article>{_LEGAL}',
+        f'<main data-keep="1"><p>{_LONG}</p><blockquote class="comment"><p>{text}</p></blockquote><p>{_PROSE}</p><p class="notice">{text}</p><p>No.</p></main>{_MENU}',
+        f'{_MENU}<div class="comment" data-keep="1"><h1>Title</h1><p>{text} {_PROSE}</p><p>{text} {_LONG}</p></div>{_LEGAL}',
+    ]
+
+
 TRAINING_PAGES = (
     f'<nav data-keep="0"><ul><li><a href="/">Home</a></li><li>Weather</li></ul></nav><div class="ad" data-keep="0">Buy two shoes and pay for one today only.</div><article data-keep="1">{_OWN}</article><footer data-keep="0">&copy; a place. {_PROSE}</footer>',
     f'<header data-keep="0"><h1>Site name</h1><p>{_SHORT}</p></header><main data-keep="1"><h2>Flood</h2><p>No.</p><p>{_PROSE}</p><ul><li>first</li><li>second point</li></ul></main><aside data-keep="0"><h3>More</h3><p>{_LONG}</p><a href="/y">Read on</a></aside><form data-keep="0"><label>Name</label> {_PROSE}</form>',
@@ -239,6 +274,17 @@ TRAINING_PAGES = (
     f'{_MENU}<article data-keep="1"><p>No.</p><p>{_SHORT}</p><p><a href="/q">The report</a></p><p>It was late.</p><p><a href="/q">Its second part</a></p><p>So it was.</p><p>{_PROSE}</p></article>{_LEGAL}',
     f'<nav data-keep="0"><a href="/">Home</a></nav><article data-keep="1"><p>{_SHORT}</p><p>And so on</p><p><a href="/q">A source</a></p></article>{_MENU}',
     f'{_MENU}<main data-keep="1"><h1><a href="/self">A title that links to its page</a></h1><p>{_SHORT}</p><p>{_PROSE}</p><h2><a href="/self">Second part</a></h2><p>{_LONG}</p></main>{_MENU}',
+    # what readers, sidebars and adverts say, however long, within the article and behind it; quotes are the article's own
+    *(page for n in (20, 60, 130, 250, 500) for page in spoken(n)),
+    # no article: a heading, short lines and the last ones belong to the long text that they stand beside
+    f'{_MENU}<div data-keep="1"><h2>Head</h2><p>Yes.</p><p>{_LONG}</p><p>No.</p><p>Ok then.</p></div>{_LEGAL}',
+    f'<div data-keep="0">Home News</div><div data-keep="1"><h2>A longer heading of the day</h2><p>{_PROSE}</p><h3>Then</h3><p>{_LONG}</p><p>So it ended.</p></div><div data-keep="0">Back to top</div>',
+    f'<div data-keep="0"><a href="/">Logo</a></div><div data-keep="1"><h1>Flood</h1><p>{_ESSAY}</p><p>By a writer</p></div><div data-keep="0">Printed in the valley</div>{_LEGAL}',
+    f'<div data-keep="1"><h2>Head</h2><p>Yes.</p><p>{_ESSAY}</p><p>No.</p></div>',
+    f'<div data-keep="1"><h2>Head</h2><p>Yes.</p><p>{_LONG}</p><p>No.</p><p>Ok then.</p></div>',
+    # a page that has a main text has no more of it elsewhere
+    f'<div data-keep="0">Home News</div><article data-keep="1"><h1>Title</h1><p>{_PROSE}</p><p>{_LONG}</p></article><div data-keep="0">All times are local</div><div data-keep="0"><p>{_LONG}</p></div>',
+    f'<div data-keep="0"><p>{_PROSE}</p></div><main data-keep="1"><p>{_PROSE}</p><p>So it was.</p><p>{_ESSAY}</p></main><div data-keep="0"><p>{_SHORT}</p></div>',
     # small pages
     '<article data-keep="1"><p>A.</p></article><footer data-keep="0">B.</footer>',
     '<nav data-keep="0"><a href="/">Home</a></nav><article data-keep="1"><h1>Two words</h1><p>No.</p></article><footer data-keep="0"><a href="/">Home</a> again</footer>',

@@ -139,3 +139,54 @@ def test_given_pages(spark):
     for r in pages.collect():
         parts = re.split(r"</?(?:h1|p|b|br)>", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
         assert text[r["page_id"]] == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
+
+
+# Held-out pages: other words, lengths, names and elements than those of the labelled table.
+_RIVER = "the mill by the lower bridge was sold again to a farmer who kept bees and wrote letters to the paper about its prices".split()
+_VOICE = "i think this whole story is wrong because nobody asked us who live here what we saw on that night".split()
+
+
+def some(n, words=_RIVER, at=0):
+    return " ".join((words * (n // len(words) + 2))[at : at + n])
+
+
+LEAD, BODY = some(24), some(70, at=3)
+PARTS = ("class=comments", "id=comments", "class=reader-comments", "class=sidebar", "class=ad", "class=advert", "class=related", "class=newsletter", "id=cookie-banner", "class=promo")
+
+
+@pytest.mark.parametrize("n", [20, 60, 130, 300, 500, 1200])
+@pytest.mark.parametrize("element", ["div", "section", "ul", "aside"])
+def test_what_others_say_is_left_out_at_any_length(n, element):
+    text = some(n, _VOICE)
+    for part in PARTS:
+        pages = {
+            f"<article><h1>Title here</h1><p>{LEAD}</p><p>{BODY}</p><{element} {part}><p>{text}</p></{element}></article>": f"Title here\n{LEAD}\n{BODY}",
+            f"<article><p>{LEAD}</p><{element} {part}>{text}</{element}><p>{BODY}</p></article>": f"{LEAD}\n{BODY}",
+            f"<div><p>{LEAD}</p><p>{BODY}</p></div><{element} {part}><p>{text}</p><p>I agree.</p></{element}>": f"{LEAD}\n{BODY}",
+            f"<{element} {part}>{text}</{element}><p>{BODY}</p><p>{LEAD}</p>": f"{BODY}\n{LEAD}",
+        }
+        for page, want in pages.items():
+            assert he.main_text(page, he.model()) == want, page[:80]
+
+
+@pytest.mark.parametrize("n", [5, 20, 130, 500])
+@pytest.mark.parametrize("quote", ["<blockquote class=comment><p>{}</p></blockquote>", "<p class=notice>{}</p>", "<figure class=banner><figcaption>{}</figcaption></figure>", "<h2 class=share>{}</h2>", "<div class=search-results-analysis>{}</div>"])
+def test_quotes_and_misleading_names_stay(n, quote):
+    text = some(n, _VOICE)
+    for page, want in ((f"<article><p>{LEAD}</p>{quote}<p>{BODY}</p></article>", f"{LEAD}\n{text}\n{BODY}"), (f"<article><p>{LEAD}</p>{quote}</article>", f"{LEAD}\n{text}"), (f"<div><p>{LEAD}</p>{quote}<p>{BODY}</p></div>", f"{LEAD}\n{text}\n{BODY}")):
+        assert he.main_text(page.format(text), he.model()) == want
+
+
+OTHERS = {
+    f"<div><h2>Head</h2><p>Yes.</p><p>{BODY}</p><p>No.</p><p>Ok then.</p></div>": f"Head\nYes.\n{BODY}\nNo.\nOk then.",
+    f"<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul><div><h2>Head</h2><p>Yes.</p><p>{BODY}</p><p>No.</p><p>Ok then.</p></div><div><a href=t>Terms</a></div>": f"Head\nYes.\n{BODY}\nNo.\nOk then.",
+    f"<article><p>{LEAD} <label>red</label> {LEAD}</p></article>": f"{LEAD} red {LEAD}",
+    f"<div role=alert>{some(30, at=9)}</div><p>{BODY}</p>": BODY,
+    f"<div class=comment><p>{some(200)}</p><p>{some(150, at=3)}</p></div>": f"{some(200)}\n{some(150, at=3)}",
+    f"<article><p>{LEAD}</p><p>{BODY}</p></article><div>All times are local</div><div><p>{some(90, _VOICE)}</p></div>": f"{LEAD}\n{BODY}",
+}
+
+
+@pytest.mark.parametrize("page", OTHERS)
+def test_pages_without_an_article_and_around_one(page):
+    assert he.main_text(page, he.model()) == OTHERS[page]
