@@ -2,8 +2,9 @@
 
 The reader plans one partition a file, the writer starts another file once one is large, so no partition grows with the
 table. Predicates on record_type and on header columns are pushed to the reader: files that were written for other record
-types are not opened; of the others it parses a record's headers first, and a record that they rule out has its payload
-skipped, neither kept nor hashed. Archives are gzip files of one member a record or plain; both are read as streams. Headers are
+types are not opened; of the others it parses a record's headers first, and passes over the payload of a record that they rule
+out: a member that the writer made says how long it is, so it is neither inflated nor read, nor are payloads in plain archives; only
+gzip members of others are inflated to find their ends. Archives are gzip files of one member a record or plain. Headers are
 read as they stand, so archives of others come out unaltered; in what is written, line ends within a value are percent-encoded,
 as no header can hold them. An archive that ends inside a record, also inside its headers, is an error.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -32,7 +34,11 @@ from .common import fresh_path, pick, table, written
 
 VERSION = b"WARC/1.1"
 FILE_BYTES = 32 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+PIECE = 1 << 14
+#: A gzip header with one extra field, this library's own: the length of the whole member in eight bytes.
+MEMBER_HEAD = struct.Struct("<10sH2sHQ")
+LENGTH_FIELD = b"SL"
 LEAST_PAYLOAD = 100
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value of the format: what a revisit that was found by its payload's digest declares.
@@ -72,32 +78,64 @@ def record_bytes(row: dict, payload: bytes) -> bytes:
     return b"\r\n".join(lines) + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int) -> bytes:
+    """data as one gzip member that says in its extra field how long it is, so that a reader can pass over it."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    whole = MEMBER_HEAD.size + len(body) + 8
+    head = MEMBER_HEAD.pack(b"\x1f\x8b\x08\x04\0\0\0\0\0\xff", 12, LENGTH_FIELD, 8, whole)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
 class Stream:
-    """Bytes of a plain or gzip archive in order, with a bounded buffer."""
+    """Bytes of a plain or gzip archive in order, with a bounded buffer; inflated piece by piece, only as far as they are asked for."""
 
     def __init__(self, raw: io.RawIOBase) -> None:
         self.raw, self.kept, self.ended, self.inside = raw, bytearray(), False, False
-        head = raw.read(CHUNK)
-        self.inflate = zlib.decompressobj(31) if head[:2] == b"\x1f\x8b" else None
-        self._add(head)
-
-    def _add(self, data: bytes) -> None:
-        self.ended = not data
-        if self.ended and self.inside:
-            raise ValueError("the archive ends inside a gzip member")
-        while self.inflate and data:
-            self.kept += self.inflate.decompress(data)
-            data, self.inside = self.inflate.unused_data, True
-            if self.inflate.eof:
-                self.inflate, self.inside = zlib.decompressobj(31), False
-        self.kept += data
+        self.ahead, self.at = b"", 0  # bytes of the archive that are read but not used, and how many are used
+        self.inflated = 0
+        self._read()
+        self.inflate = zlib.decompressobj(31) if self.ahead[:2] == b"\x1f\x8b" else None
+        self.begin, self.length = 0, None  # of the member: the place of its first byte, and the length it says
+
+    def _read(self) -> None:
+        self.ahead = self.raw.read(CHUNK)
+        self.ended = not self.ahead
+
+    def _use(self, n: int) -> None:
+        self.ahead, self.at = self.ahead[n:], self.at + n
+
+    def _more(self) -> None:
+        """Puts more bytes to kept, or finds the end."""
+        if not self.ahead:
+            self._read()
+        if self.ended:
+            if self.inside:
+                raise ValueError("the archive ends inside a gzip member")
+            return
+        if not self.inflate:
+            self.kept += self.ahead
+            self._use(len(self.ahead))
+            return
+        if not self.inside:
+            if len(self.ahead) < MEMBER_HEAD.size:
+                self.ahead += self.raw.read(MEMBER_HEAD.size)
+            self.begin, self.length, self.inside = self.at, said_length(self.ahead), True
+            self.inflated_before = self.inflated
+        out = self.inflate.decompress(self.ahead, PIECE)
+        self.kept += out
+        self.inflated += len(out)
+        left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        self._use(len(self.ahead) - len(left))
+        if self.inflate.eof:
+            self.inflate, self.inside = zlib.decompressobj(31), False
 
     def line(self) -> bytes | None:
         """Without its line end; None at the end of the archive."""
         looked = 0
         while (i := self.kept.find(b"\n", looked)) < 0 and not self.ended:
             looked = len(self.kept)
-            self._add(self.raw.read(CHUNK))
+            self._more()
         if i < 0:
             if self.kept.strip():
                 raise ValueError("the archive ends inside a line")
@@ -106,20 +144,58 @@ class Stream:
         del self.kept[: i + 1]
         return found
 
-    def take(self, n: int, keep: bool) -> bytes | None:
-        """The next n bytes, or nothing but their skipping."""
+    def take(self, n: int) -> bytes:
+        """The next n bytes."""
         out = bytearray()
         while n:
             if not self.kept:
                 if self.ended:
                     raise ValueError("the archive ends inside a record")
-                self._add(self.raw.read(CHUNK))
+                self._more()
             part = self.kept[:n]
-            if keep:
-                out += part
+            out += part
             n -= len(part)
             del self.kept[: len(part)]
-        return bytes(out) if keep else None
+        return bytes(out)
+
+    def skip(self, n: int) -> None:
+        """Passes over the next n bytes: by place in a plain archive, by its length where they end a member that says it."""
+        if self.inflate and self.inside and self.length and n >= len(self.kept):
+            size = self.inflated - self.inflated_before - len(self.kept) + n  # of the member's content, if the bytes end it
+            if self._to(self.begin + self.length - 8, 8) and int.from_bytes(self.ahead[4:8], "little") == size & 0xFFFFFFFF:
+                self._use(8)
+                self.kept.clear()
+                self.inflate, self.inside = zlib.decompressobj(31), False
+                return
+            raise ValueError("a gzip member is not as long as it says")
+        if not self.inflate:
+            n -= (held := min(n, len(self.kept)))
+            del self.kept[:held]
+            if n and not self._to(self.at + n - 1, 1):
+                raise ValueError("the archive ends inside a record")
+            self._use(1 if n else 0)
+            return
+        while n:
+            n -= len(self.take(min(n, PIECE)))
+
+    def _to(self, place: int, needed: int) -> bool:
+        """Goes on to a place of the archive, without reading what is between; whether so many bytes are there."""
+        if place - self.at < len(self.ahead):
+            self._use(place - self.at)
+        else:
+            self.raw.seek(place)
+            self.ahead, self.at = b"", place
+        if len(self.ahead) < needed:
+            self.ahead += self.raw.read(CHUNK)
+        return len(self.ahead) >= needed
+
+
+def said_length(head: bytes) -> int | None:
+    """The length in the extra field of a gzip member that member() made."""
+    if len(head) < MEMBER_HEAD.size or not head[3] & 4:
+        return None
+    _, _, name, size, length = MEMBER_HEAD.unpack_from(head)
+    return length if name == LENGTH_FIELD and size == 8 else None
 
 
 def headers(stream: Stream) -> dict[str, str]:
@@ -152,9 +228,13 @@ def records(stream: Stream, wanted: Iterable[tuple[str, tuple]], payload: bool)
             raise ValueError(f"a record without a length: {found.get('warc-record-id')}")
         row = {c: found.get(h.lower()) for c, h in HEADERS.items()}
         keep = all(row[c] in allowed for c, allowed in wanted)
-        row["payload"] = stream.take(int(found["content-length"]), keep and payload)
-        if stream.take(4, True) != b"\r\n\r\n":
-            raise ValueError(f"a record is not as long as it says: {found.get('warc-record-id')}")
+        row["payload"], n = None, int(found["content-length"])
+        if keep and payload:
+            row["payload"] = stream.take(n)
+            if stream.take(4) != b"\r\n\r\n":
+                raise ValueError(f"a record is not as long as it says: {found.get('warc-record-id')}")
+        else:
+            stream.skip(n + 4)
         if keep:
             yield row
 
@@ -209,12 +289,12 @@ class WarcReader(DataSourceReader):
         if partition is None or not hasattr(partition, "path"):  # no file at all
             return
         store, at = open_fs(partition.path)
-        with store.open_input_stream(at, compression=None) as raw:
+        with store.open_input_file(at) as raw:
             rows, size = [], 0
             for r in records(Stream(raw), self.wanted, self.payload):
                 rows.append(r)
                 size += len(r["payload"] or b"")
-                if len(rows) >= 1000 or size >= 8 * CHUNK:
+                if len(rows) >= 1000 or size >= 8 << 20:
                     yield batch(rows)
                     rows, size = [], 0
             if rows:
@@ -243,8 +323,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                     files.append(f"{root}/{file_name(kind)}.tmp")
                     out, size = store.open_output_stream(files[-1], compression=None), 0
-                member = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                data = member.compress(record_bytes(row, row["payload"] or b"")) + member.flush()
+                data = member(record_bytes(row, row["payload"] or b""), self.level)
                 out.write(data)
                 open_files[kind] = out, size + len(data)
         for out, _ in open_files.values():

@@ -143,3 +143,44 @@ def test_hot_payloads_and_a_full_sieve(spark, tmp_path, monkeypatch, bits):
 def test_registered_query(spark):
     rows = [(r["page_id"], r["url"], r["html"], "") for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
     assert sorted((tuple(r) for r in warc.op6_warc(spark, "/root/testdata/sf0.001").collect()), key=str) == expected(rows)
+
+
+class Counted(io.BytesIO):
+    """Bytes that count how many of them are read."""
+
+    got = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.got += len(out)
+        return out
+
+
+def made(packed, n=40, size=600_000):
+    pack = {"plain": lambda d: d, "own": lambda d: warc.member(d, 0), "others": lambda d: gzip.compress(d, 0)}[packed]
+    return b"".join(pack(warc.record_bytes({"record_type": "response", "record_id": f"r{i}", "page_id": i}, bytes([65 + i % 26]) * size)) for i in range(n))
+
+
+@pytest.mark.parametrize("packed", ["plain", "own", "others"])
+def test_what_headers_rule_out_is_not_inflated(packed):
+    raw = Counted(made(packed))
+    stream = warc.Stream(raw)
+    got = list(warc.records(stream, [("page_id", ("7",))], True))
+    assert [(r["record_id"], len(r["payload"])) for r in got] == [("r7", 600_000)]
+    if packed != "others":  # those do not say where they end
+        assert raw.got < 40 * 2 * warc.CHUNK + 600_000 < len(raw.getvalue()) and stream.inflated < 40 * 2 * warc.PIECE + 650_000
+    whole = list(warc.records(warc.Stream(io.BytesIO(made(packed, 5, 70_000))), [], True))
+    assert [r["payload"] for r in whole] == [bytes([65 + i]) * 70_000 for i in range(5)]
+    assert [r["payload"] for r in warc.records(warc.Stream(io.BytesIO(made(packed, 5, 70_000))), [], False)] == [None] * 5
+
+
+@pytest.mark.parametrize("packed", ["plain", "own", "others"])
+def test_skipping_finds_truncated_archives(packed):
+    for size in (3, 70_000):
+        data = made(packed, 2, size)
+        for k in {*range(1, min(len(data), 400)), *range(len(data) - 300, len(data)), len(data) // 2 - 9, len(data) // 2 + 9}:
+            if 0 < k < len(data) and k != len(data) // 2:
+                with pytest.raises(ValueError):
+                    list(warc.records(warc.Stream(io.BytesIO(data[:k])), [("page_id", ("none",))], True))
+        assert list(warc.records(warc.Stream(io.BytesIO(data)), [("page_id", ("none",))], True)) == []
+    assert gzip.decompress(made("own", 2, 3)) == made("plain", 2, 3)
