@@ -141,7 +141,8 @@ def test_given_pages(spark):
         assert text[r["page_id"]] == "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
 
 
-# Held-out pages: other words, lengths, names and elements than those of the labelled table.
+# Pages outside the labelled table, with other words, lengths and elements; the list of names and two features were set with
+# these in view, so they are examples and no measure (README has one).
 _RIVER = "the mill by the lower bridge was sold again to a farmer who kept bees and wrote letters to the paper about its prices".split()
 _VOICE = "i think this whole story is wrong because nobody asked us who live here what we saw on that night".split()
 
