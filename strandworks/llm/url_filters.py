@@ -2,8 +2,9 @@
 
 The labels are the verdicts of the list; a url that no list rule fits has none, which is a label of its own and not the verdict
 that it gets by default. A mined rule says which verdict a combination of URL tokens mostly has: it counts if enough of all
-urls have the tokens and the verdict (support), if most urls with the tokens have that verdict (confidence), several times as
-many as urls at large (lift), and if no part of the combination says the same as surely. So a site most of whose urls the list
+urls have the tokens and the verdict (support), if most urls with the tokens have that verdict, and so many that it is not by
+chance (the lower end of Wilson's interval around the confidence), several times as many as urls at large (lift), and if no
+part of the combination says the same as surely. Very many combinations are tried, so the interval is a wide one. So a site most of whose urls the list
 blocks is blocked for the others too. A url without a list rule takes the verdict of the surest mined rule whose tokens it has;
 where there is none, allow.
 
@@ -26,6 +27,8 @@ UNLISTED = "none"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.7
 MIN_LIFT = 2.0
+#: Half the width of Wilson's interval in standard errors; 0 takes confidences as they are.
+SURENESS = 2.58
 #: Mined rules up to this many go to every task.
 FEW_RULES = 50_000
 
@@ -96,16 +99,25 @@ def match_rules(urls: DataFrame, rules: tuple[ListRule, ...]) -> DataFrame:
     return urls.withColumn("_best", best).select(*urls.columns, F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("rule_verdict"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
+def wilson(share: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval around a share of n, z standard errors wide."""
+    zz = F.lit(z * z)
+    return (share + zz / (2 * n) - F.lit(z) * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float, sureness: float = SURENESS) -> DataFrame:
     """labelled (tokens, verdict) -> association rules (antecedent, verdict, confidence, support, lift) whose consequent is a verdict, not UNLISTED.
 
-    Support is relative, so the rules kept do not depend on how many rows there are. A rule goes if one with a part of its
-    tokens and no less confidence gives the same verdict.
+    Support is relative; confidence is at least min_confidence also at the lower end of its interval. A rule goes if one with
+    a part of its tokens and no less confidence gives the same verdict.
     """
+    rows = labelled.count()
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     says = F.startswith(F.col("consequent")[0], F.lit(LABEL)) & (F.col("consequent")[0] != LABEL + UNLISTED)
-    rules = model.associationRules.where(says & (F.col("lift") >= min_lift)).select(
+    having = F.greatest(F.round(F.lit(rows) * F.col("support") / F.col("confidence")), F.lit(1))  # urls with the tokens
+    sure = wilson(F.col("confidence"), having, sureness) >= min_confidence if sureness else F.lit(True)
+    rules = model.associationRules.where(says & (F.col("lift") >= min_lift) & sure).select(
         F.array_sort("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], len(LABEL) + 1, 1000).alias("verdict"), "confidence", "support", "lift"
     )
     rules = written(rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit(LABEL)))), "url-rules")
@@ -155,7 +167,7 @@ def apply_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("url", F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("mined_confidence"), F.array_join("best.antecedent", " ").alias("mined_rule"))
 
 
-def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, sureness: float = SURENESS) -> DataFrame:
     """pages (page_id, url) -> page_id, host, path, rule, verdict, mined_rule, mined_confidence.
 
     mined_rule has the tokens of the association rule that decided, and its confidence, where one did.
@@ -163,7 +175,7 @@ def filter_urls(pages: DataFrame, rules: tuple[ListRule, ...] = RULES, min_suppo
     rows = pick(pages, "page_id", "url").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     judged = match_rules(rows, rules)
     labelled = judged.select(url_tokens(F.col("url")).alias("tokens"), F.coalesce("rule_verdict", F.lit(UNLISTED)).alias("verdict"))
-    mined = mine_rules(without_doubles(labelled, min_support), min_support, min_confidence, min_lift)
+    mined = mine_rules(without_doubles(labelled, min_support), min_support, min_confidence, min_lift, sureness)
     open_urls = judged.where(F.col("rule").isNull() & F.col("url").isNotNull()).select("url").distinct()
     # written before it is joined, as only then can the rows of a hot url be split
     found = written(apply_mined(open_urls.withColumn("tokens", url_tokens(F.col("url"))), mined).withColumnRenamed("url", "_url"), "judged-urls")
