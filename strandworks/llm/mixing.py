@@ -8,11 +8,12 @@ The sample has no document twice, and its expected tokens have the target mix: e
 factor, the fraction asked for or, where that would make the scarcest cell's probability more than 1, the largest that does
 not. So scarce cells bound the size of the sample, never its mix. Who wants the fraction in any case takes `copies`: weight
 times fraction, rounded up or down by a hash of doc_id, which repeats the documents of scarce cells; repeated_sample() does.
-reached_margins() tells the shares that either has.
+`reached` is that factor, the share of all tokens that the sample is expected to have; reached_margins() tells the shares of
+values in both.
 
 Targets are shares by value; a value without a given target gets the tempered share of its tokens (tokens^temperature, over
-what the given targets leave). Sources and languages are tempered by default; topics, which are forms of text here as the
-tables name none, keep their shares. Null sources and languages are values of their own (shown as null); null text has no
+what the given targets leave). All three are tempered by default: sources and languages by the root, topics, which are
+forms of text here as the tables name none, by a little only, as the scarcest form bounds the sample. Null sources and languages are values of their own (shown as null); null text has no
 tokens and counts as one, so that it can be sampled. Repeated rows of a doc_id share their fate. Targets that no weights meet,
 as of values that never meet, are approached until MOST_SWEEPS. Empty tables give empty results.
 """
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import DOCUMENT_COLUMNS, pick, table, written
 
 DIMENSIONS = ("source", "lang", "topic")
-TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 1.0}
+TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.95}
 FRACTION = 0.5
 #: Raking ends when no margin is off by more than TOLERANCE, or after MOST_SWEEPS.
 TOLERANCE = 1e-13
@@ -78,11 +79,14 @@ def rake(cells: DataFrame, sweeps: int) -> DataFrame:
 
 
 def probabilities(cells: DataFrame, fraction: float) -> DataFrame:
-    """cells (n, share) with weight, how much more of the cell is wanted than there is, and probability: weight times the largest factor, up to fraction, that keeps it at 1."""
+    """cells (n, share) with weight, how much more of the cell is wanted than there is, probability and reached.
+
+    probability is weight times reached, the largest factor, up to fraction, that keeps it at 1.
+    """
     total, most = cells.agg(F.sum("n"), F.max(F.col("share") / F.col("n"))).first()
     weight = F.col("share") * F.lit(float(total or 0)) / F.col("n")
     factor = min(fraction, 1 / (most * total)) if most else fraction
-    return cells.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * F.col("weight")))
+    return cells.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.lit(factor) * F.col("weight"))).withColumn("reached", F.lit(factor))
 
 
 def uniform(doc_id: Column) -> Column:
@@ -113,14 +117,14 @@ def fitted_cells(rows: DataFrame, given: dict[str, dict[str, float]], fraction:
 
 
 def mix_documents(docs: DataFrame, given: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, temperatures: dict[str, float] | None = None, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) -> the same columns, tokens, topic, weight, probability, sampled, copies: all rows.
+    """docs (doc_id, text, lang, source, n_chars) -> the same columns, tokens, topic, weight, probability, reached, sampled, copies: all rows.
 
     weight is the fitted share of the document's cell over its tokens, times all tokens: 1 where the mix is as wanted.
     copies is weight times fraction, rounded up if a hash of doc_id is below what is left of it, else down.
     """
     rows = pick(docs, *DOCUMENT_COLUMNS).withColumns({"tokens": tokens(F.col("text")), "topic": topic(F.col("text"))})
     cells, small = fitted_cells(rows.select(*DIMENSIONS, "tokens"), given or {}, fraction, TEMPERATURES | (temperatures or {}), most_sweeps)
-    own = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability")
+    own = cells.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", "probability", "reached")
     met = rows.join(F.broadcast(own) if small else written(own, "fitted"), F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("topic") == F.col("_topic")))
     return met.drop(*[f"_{d}" for d in DIMENSIONS]).withColumn("sampled", uniform(F.col("doc_id")) < F.col("probability")).withColumn("copies", copies(F.col("doc_id"), F.lit(fraction) * F.col("weight")))
 
@@ -154,7 +158,7 @@ def reached_margins(mixed: DataFrame) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their calibrated probability and whether they are in the sample."""
-    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled", F.round("reached", 6).alias("reached"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -179,9 +183,10 @@ cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS n FROM
             steps.append(f"s{k + 1} AS MATERIALIZED (SELECT * REPLACE (share * target_{d} / sum(share) OVER (PARTITION BY {d}) AS share) FROM s{k})")
             k += 1
     steps.append(f"whole AS MATERIALIZED (SELECT * REPLACE (share / sum(share) OVER () AS share), sum(n) OVER () AS total FROM s{k})")
-    steps.append(f"final AS (SELECT source, lang, topic, share * total / n AS weight, least(1, least({fraction}, 1 / (max(share / n) OVER () * total)) * share * total / n) AS probability FROM whole)")
+    steps.append(f"scaled AS (SELECT *, share * total / n AS weight, least({fraction}, 1 / (max(share / n) OVER () * total)) AS reached FROM whole)")
+    steps.append("final AS (SELECT source, lang, topic, weight, least(1, reached * weight) AS probability, reached FROM scaled)")
     return "WITH " + ",\n".join(steps) + (
         "\nSELECT doc_id, d.source, d.lang, d.topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,"
-        " ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296 < probability AS sampled"
+        " ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296 < probability AS sampled, round(reached, 6) AS reached"
         " FROM formed d JOIN final f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic"
     )

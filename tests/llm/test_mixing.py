@@ -70,6 +70,18 @@ def test_default_sample_is_large(docs):
     assert sum(r["probability"] * r["tokens"] for r in rows) > 0.3 * sum(r["tokens"] for r in rows)
 
 
+def test_every_default_target_moves_and_is_met(docs):
+    """No dimension keeps its shares, the sample is expected to have the targets, and its size is told."""
+    rows = mx.mix_documents(docs).collect()
+    for d in mx.DIMENSIONS:
+        plain, expected = margins(rows, d, lambda r: r["tokens"]), margins(rows, d, lambda r: r["probability"] * r["tokens"])
+        tempered = {k: v ** mx.TEMPERATURES[d] for k, v in plain.items()}
+        want = {k: v / sum(tempered.values()) for k, v in tempered.items()}
+        assert all(abs(expected[k] - v) < 1e-3 for k, v in want.items()) and sum(abs(want[k] - plain[k]) for k in plain) > 0.01
+    reached = sum(r["probability"] * r["tokens"] for r in rows) / sum(r["tokens"] for r in rows)
+    assert all(abs(r["reached"] - reached) < 1e-6 for r in rows)
+
+
 def test_targets_that_nothing_meets_end(spark):
     frame = spark.createDataFrame([(i, "w " * 50, "en", "a" if i % 2 else "b", 1, "x") for i in range(8)], SCHEMA)
     got = mx.mix_documents(frame, {"source": {"a": 0.9, "c": 0.1}}, most_sweeps=5).collect()
@@ -79,9 +91,10 @@ def test_targets_that_nothing_meets_end(spark):
 def test_equals_sql(spark, docs):
     duck = duckdb.connect()
     duck.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    want = sorted(duck.execute(f"SELECT doc_id, source, lang, topic, tokens, weight, probability, sampled FROM ({mx.op10_sql()})").fetchall())
+    want = sorted(duck.execute(f"SELECT doc_id, source, lang, topic, tokens, weight, probability, sampled, reached FROM ({mx.op10_sql()})").fetchall())
     got = sorted(tuple(r) for r in mx.op10_mixing(spark, "/root/testdata/sf0.001").collect())
-    assert [x[:5] + x[7:] for x in got] == [x[:5] + x[7:] for x in want]
+    assert [x[:5] + x[7:8] for x in got] == [x[:5] + x[7:8] for x in want]
+    assert all(abs(x[8] - y[8]) < 2e-6 for x, y in zip(got, want, strict=True))
     assert all(abs(a - b) < 2e-6 for x, y in zip(got, want, strict=True) for a, b in zip(x[5:7], y[5:7], strict=True))
 
 
