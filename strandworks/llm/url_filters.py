@@ -43,8 +43,8 @@ class ListRule(NamedTuple):
 RULES = (
     ListRule("block", "com", "/en/"),
     ListRule("allow", "example.com", "/en/7"),
-    ListRule("block", "net", "/de/"),
-    ListRule("allow", "example.net", "/de/8"),
+    ListRule("allow", "net", "/de/"),
+    ListRule("block", "example.net", "/de/8"),
     ListRule("block", "org", "/es/"),
 )
 

@@ -123,3 +123,34 @@ def test_hot_and_odd_urls(spark):
     rows = [(i, "http://a.com/en/1") for i in range(300)] + [(i, "http://hot.com/fr/2") for i in range(300, 900)] + [(900, None), (901, ""), (None, "://"), (902, "http://a.com/fr/" + "x/" * 3000)]
     got = uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.1).collect()
     assert len(got) == len(rows) and {r["verdict"] for r in got if r["page_id"] is not None and 300 <= r["page_id"] < 900} == {"allow"}
+
+
+#: The contract's list, by hand: not taken from the code.
+LISTED = [
+    ("http://a.com/en/1", "com/en/", "block"),
+    ("http://example.com/en/6", "com/en/", "block"),
+    ("http://b.example.com/en/71", "example.com/en/7", "allow"),
+    ("http://a.net/de/8", "net/de/", "allow"),
+    ("http://net/de/", "net/de/", "allow"),
+    ("http://example.net/de/7", "net/de/", "allow"),
+    ("http://Example.NET/de/8", "example.net/de/8", "block"),
+    ("http://b.example.net/de/81?x", "example.net/de/8", "block"),
+    ("http://a.org/es/", "org/es/", "block"),
+    ("http://a.org/de/", None, "allow"),
+]
+
+
+def test_verdicts_are_those_of_the_contracts_list(spark, tmp_path):
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(LISTED)], "page_id long, url string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = uf.op7_url_filters(spark, f"file://{tmp_path}").orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [r[1:] for r in LISTED]
+
+
+def test_a_site_that_the_contracts_list_blocks(spark):
+    rows = [(i, f"http://www.pills.org/{'es' if i % 10 else 'fr'}/{i}x") for i in range(90)] + [(i, f"http://www.news{i % 50}.org/fr/{i}x") for i in range(90, 900)]
+    got = uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).where("rule is null").collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(0, 90, 10))
+    long = "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, f"http://long.org/es/{long}") for i in range(300)] + [(i, "http://other.com/fr/2") for i in range(300, 900)] + [(900, f"http://long.fr/es/{long}")]
+    got = {r["page_id"]: r for r in uf.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), min_support=0.1).collect()}
+    assert got[0]["verdict"] == "block" and got[300]["verdict"] == "allow" and got[900]["verdict"] == "block" and got[900]["mined_rule"]
