@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -62,13 +64,22 @@ def mean_errors(texts: pa.Array) -> pa.Array:
     return pa.array(sums / np.maximum(size, 1), mask=size == 0)
 
 
+def scores(texts: pa.Array) -> pa.Array:
+    """Phred score of each string's mean error, null for null or empty ones.
+
+    The logarithm is the C library's, as SQL engines take it: the JVM's own ends otherwise in the last bit for some errors, and
+    scores are compared for equality. numpy's depends on the processor.
+    """
+    errors = mean_errors(texts)
+    return pa.array([None if e is None else -10 * math.log10(max(e, LEAST_ERROR)) for e in errors.to_pylist()], pa.float64())
+
+
 def read_score(quality: Column) -> Column:
     """Phred score of the mean error probability, null for null or empty strings.
 
     One Arrow step over whole columns: higher-order functions would make an object of each character.
     """
-    error = F.arrow_udf(mean_errors, DoubleType())(quality)
-    return F.when(F.length(quality) > 0, F.log10(F.greatest(error, F.lit(LEAST_ERROR))) * -10)
+    return F.arrow_udf(scores, DoubleType())(quality)
 
 
 def six_digits(score: Column) -> Column:

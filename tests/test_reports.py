@@ -77,3 +77,16 @@ def test_summaries(spark):
     got = {r["run"]: tuple(r)[1:] for r in summary.run_summary(reads, F.octet_length("line")).collect()}
     assert got == {"r": (2, 3, 1), "s": (1, 2, 1)}
     assert [r["read_id"] for r in summary.preview_reads(reads, ("run", "read_id"), batches=2, batch_reads=1).collect()] == ["a", "b"]
+
+
+def test_scores_are_the_c_librarys_to_the_last_bit(spark):
+    """The errors of these differ in the last bit, and so do their scores by SQL; the JVM's logarithm makes them equal."""
+    import duckdb
+
+    a, b = "+++I+I++++", "+++I+"
+    sql = "-10 * log10(greatest(list_sum(list_transform(string_split(q, ''), lambda c: pow(10, -(ascii(c) - 33) / 10.0))) / length(q), 1e-4))"
+    want = duckdb.sql(f"SELECT {sql} FROM (VALUES (1, '{a}'), (2, '{b}')) t(i, q) ORDER BY i").fetchall()
+    got = quality.read_qscore(spark.createDataFrame([(1, a), (2, b)], "i int, qstring string")).orderBy("i").collect()
+    assert [r["qscore"] for r in got] == [r[0] for r in want] and want[0] != want[1]
+    runs = [spark.createDataFrame([("r", q)], "read_id string, qstring string") for q in (a, b)]
+    assert quality.compare_qscores(*runs).first()["n_diff"] == 1
