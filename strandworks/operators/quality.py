@@ -35,14 +35,15 @@ def numbered(reads: DataFrame) -> DataFrame:
     """reads (path, position) with ordinal: the number of reads before it, by file and position.
 
     Reads are counted in byte ranges of a file, ranges are summed within their file and files among themselves, so no task
-    numbers more than a range, adds up more than a file's ranges or sees more than one row a file.
+    numbers more than a range, adds up more than a file's ranges or sees more than one row a file. Reads meet the sums where they
+    were numbered, by merging: left to sizes, Spark may take the reads for the smaller side and send them to all by the driver.
     """
     ranged = reads.withColumn("_r", F.floor(F.col("position") / F.lit(RANGE_BYTES)))
     counts = written(ranged.groupBy("path", "_r").agg(F.count("*").alias("_n")), "range-counts")
     earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = counts.groupBy("path").agg(F.sum("_n").alias("_n")).select(F.col("path").alias("_file"), earlier(Window.orderBy("path")).alias("_files_before"))
     ranges = counts.select(F.col("path").alias("_path"), F.col("_r").alias("_range"), earlier(Window.partitionBy("path").orderBy("_r")).alias("_ranges_before"))
-    starts = ranges.join(files, F.col("_path") == F.col("_file")).select("_path", "_range", (F.col("_files_before") + F.col("_ranges_before")).alias("_before"))
+    starts = ranges.join(files, F.col("_path") == F.col("_file")).select("_path", "_range", (F.col("_files_before") + F.col("_ranges_before")).alias("_before")).hint("merge")
     within = F.row_number().over(Window.partitionBy("path", "_r").orderBy("position")) - 1
     return ranged.withColumn("_w", within).join(starts, (F.col("path") == F.col("_path")) & (F.col("_r") == F.col("_range"))).withColumn("ordinal", F.col("_before") + F.col("_w")).drop("_r", "_w", "_path", "_range", "_before")
 

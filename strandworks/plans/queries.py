@@ -85,7 +85,8 @@ def write_fastq_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the order of their documents: written by ranges, read back and numbered by file and byte."""
     path = fresh_path(spark, "calls")
     fastq.write_fastq(px.calls(spark, sf_dir), path, ("doc_id",))
-    return quality.numbered(fastq.read_fastq(spark, path, split_bytes=1 << 20)).select("ordinal", "read_id", F.length("seq").alias("n_bases"))
+    reads = fastq.read_fastq(spark, path, split_bytes=1 << 20).select("path", "position", "read_id", F.length("seq").alias("n_bases"))  # bases are not moved
+    return quality.numbered(reads).select("ordinal", "read_id", "n_bases")
 
 
 def write_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scores, comparisons, identity reports and gates."""
 
 import math
+import re
 import statistics
 
 import pytest
@@ -44,6 +45,21 @@ def test_positions(spark):
     assert (got["n"], got["n_diff"], got["n_left_only"]) == (56, 0, 1)
 
 
+def test_numbered_reads_stay_off_the_driver(spark):
+    """However small they are taken for, reads are not broadcast."""
+    rows = [(f"f{i % 3}", 40 * i, f"r{i}") for i in range(90)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = quality.numbered(spark.createDataFrame(rows, "path string, position long, read_id string"))
+        assert {r["read_id"]: r["ordinal"] for r in got.collect()} == {r[2]: k for k, r in enumerate(sorted(rows))}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = re.findall(r"(\w+Join) \[path#\d+L?, _r#\d+L?\]", plan)
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_identity_reports(spark):
     rows = [("a", "x", m, 10) for m in range(1, 10)] + [("a", "y", 5, 10), ("b", "x", 1, 4), ("c", "y", 3, 0)]
     found = accuracy.alignment_identity(spark.createDataFrame(rows, "model string, caller string, matches long, block_len long"))
