@@ -209,6 +209,11 @@ def small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
 
 
+def unsent(rows: DataFrame) -> DataFrame:
+    """rows, never broadcast: Spark takes exploded rows for as many as before, and rows that Parquet packs well for few bytes, so these would go through the driver."""
+    return rows.hint("merge")
+
+
 def enough(inter: Column, a: Column, b: Column, share: tuple[int, int]) -> Column:
     """Whether sets of sizes a and b with this intersection are linked."""
     return inter * share[1] >= (a + b - inter) * share[0]
@@ -251,7 +256,7 @@ def may_link(a: str, b: str, share: tuple[int, int]) -> Column:
 def hub_pairs(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Distinct a, b, size_a, size_b: each token's nodes with the one of them that has least of its own."""
     hub = F.min(F.struct("own", "node", "size", "pos")).alias("h")
-    hubs = written(entries.groupBy("token").agg(hub, F.count("*").alias("n")).where("n > 1").select(F.col("token").alias("_token"), F.col("h.node").alias("a"), F.col("h.size").alias("size_a"), F.col("h.pos").alias("pos_a")), "hubs")
+    hubs = unsent(written(entries.groupBy("token").agg(hub, F.count("*").alias("n")).where("n > 1").select(F.col("token").alias("_token"), F.col("h.node").alias("a"), F.col("h.size").alias("size_a"), F.col("h.pos").alias("pos_a")), "hubs"))
     met = entries.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b")).join(hubs, F.col("token") == F.col("_token"))
     return met.where((F.col("a") != F.col("b")) & may_link("_a", "_b", share)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("size_a")).otherwise(F.col("size_b")).alias("size_a"), F.when(F.col("a") < F.col("b"), F.col("size_b")).otherwise(F.col("size_a")).alias("size_b")).distinct()
 
@@ -269,7 +274,7 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, share: tuple[int, int]) -
     one = rows.where(~F.col("main")).select("token", "class", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "label")])
     two = rows.select(F.col("token").alias("_token"), F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)).alias("_class"), "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "label")])
     once = F.col("main") | (F.col("node_a") < F.col("node_b"))
-    met = one.join(two, (F.col("token") == F.col("_token")) & (F.col("class") == F.col("_class")) & (F.col("label_a") != F.col("label_b")) & once & may_link("_a", "_b", share))
+    met = one.join(unsent(two), (F.col("token") == F.col("_token")) & (F.col("class") == F.col("_class")) & (F.col("label_a") != F.col("label_b")) & once & may_link("_a", "_b", share))
     swap = F.col("node_a") > F.col("node_b")
     either = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return met.select(either("node_a", "node_b").alias("a"), either("node_b", "node_a").alias("b"), either("size_a", "size_b").alias("size_a"), either("size_b", "size_a").alias("size_b")).distinct()
@@ -307,7 +312,7 @@ def linked(pairs: DataFrame, parts: DataFrame, n_pieces: int, share: tuple[int,
     dealt = pairs.select("a", "b", "size_a", "size_b", F.explode(F.sequence(F.lit(0), F.lit(n_pieces - 1))).alias("piece"))
     left = parts.select(F.col("node").alias("_a"), F.col("piece").alias("_pa"), F.col("part").alias("x"))
     right = parts.select(F.col("node").alias("_b"), F.col("piece").alias("_pb"), F.col("part").alias("y"))
-    met = dealt.join(left, (F.col("a") == F.col("_a")) & (F.col("piece") == F.col("_pa"))).join(right, (F.col("b") == F.col("_b")) & (F.col("piece") == F.col("_pb")))
+    met = unsent(dealt).join(left, (F.col("a") == F.col("_a")) & (F.col("piece") == F.col("_pa"))).join(right, (F.col("b") == F.col("_b")) & (F.col("piece") == F.col("_pb")))
     partial = written(met.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("x", "y")).alias("n")), "overlaps")
     whole = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return whole.where(enough(F.col("n"), F.col("size_a"), F.col("size_b"), share)).select("a", "b")

@@ -135,6 +135,36 @@ def test_many_copies_and_near_copies(spark):
     assert all(got[d][1] == 0 for d in range(1500)) and all(got[d][1] == d for d in range(1500, 1600))
 
 
+def broadcasts(plan):
+    """Of a plan that has run: what stands below each broadcast."""
+
+    def below(p):
+        name = p.nodeName()
+        kids = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        found = [below(k) for k in kids]
+        names = [name, *(x for names, _ in found for x in names)]
+        return names, [x for _, own in found for x in own] + ([names] if name == "BroadcastExchange" else [])
+
+    return below(plan)[1]
+
+
+def test_rows_dealt_out_in_copies_are_not_broadcast(spark, monkeypatch):
+    """A pair has a row for each piece, and Spark takes them all for the size of the pairs."""
+    seen, written = {}, nj.written
+
+    def watched(df, name):
+        df.collect()
+        seen.setdefault(name, []).append(broadcasts(df._jdf.queryExecution().executedPlan()))
+        return written(df, name)
+
+    monkeypatch.setattr(nj, "written", watched)
+    rows = drawn(0)
+    assert run(spark, rows) == plain(rows)
+    assert len(seen["overlaps"]) == len(seen["pairs"]) == 2
+    assert not [(name, names) for name, plans in seen.items() for plan in plans for names in plan if "Generate" in names]
+    assert not seen["pairs"][0]  # nor the hubs, of which there is one for each shingle
+
+
 def test_the_registered_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
